@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -31,6 +32,54 @@ def read_ranks(path: str) -> list[bytes]:
     return [token for _, token in pairs]
 
 
+#: Letters and digits up to U+00FF, and the characters there that a Latin-1 pattern doesn't treat as Unicode does.
+_LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "N": "0-9"}
+_NOT_LATIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]|[\xb2\xb3\xb9]")
+
+
+def _latin(pattern: str) -> str | None:
+    """The pattern with its letter and number properties spelled out for Latin-1 texts; None if it has others."""
+    out, inside = "", False
+    for part in re.findall(r"\\p\{\w+\}|\\.|[^\\]", pattern):
+        if part in (r"\p{L}", r"\p{N}"):
+            own = _LATIN[part[3]]
+            part = own if inside else f"[{own}]"
+        elif part[:2].lower() == r"\p":
+            return None
+        elif part in "[]":
+            inside = part == "["
+        out += part
+    try:
+        re.compile(out)
+    except re.error:
+        return None
+    return out
+
+
+class Splitter:
+    """Splits texts into pre-tokens by a pattern of the regex module.
+
+    For texts of Latin-1 characters the standard module finds the same with
+    explicit classes, about twice as fast.
+    """
+
+    def __init__(self, pattern: str):
+        import regex
+
+        latin = _latin(pattern)
+        self.full, self.latin = regex.compile(pattern), re.compile(latin) if latin else None
+
+    def pieces(self, text: str):
+        """Lists of pre-tokens, PIECE at most in each."""
+        find = self.full if self.latin is None or _NOT_LATIN.search(text) else self.latin
+        if len(text) <= PIECE:
+            yield find.findall(text)
+            return
+        found = (m.group() for m in find.finditer(text))
+        while piece := list(islice(found, PIECE)):
+            yield piece
+
+
 class MinimalPerfectHash:
     """Maps each of n keys to its own slot of n, by hashing and displacing.
 
@@ -91,12 +140,9 @@ class Codec:
 
     def prepare(self) -> Codec:
         """What a worker needs and a broadcast needn't carry; made once in each worker."""
-        import regex
-
         if hasattr(self, "seen"):
             return self
-
-        self.find = regex.compile(self.pattern)
+        self.split = Splitter(self.pattern)
         self.pairs = {t[0] << 8 | t[1]: r for r, t in enumerate(self.tokens) if len(t) == 2}
         self.seen = Remembered(self)
         return self
@@ -126,13 +172,8 @@ class Codec:
 
     def encode(self, text: str):
         """Ids of a text as little-endian unsigned 32-bit integers, a chunk of bytes at a time."""
-        seen = self.seen
-        if len(text) <= PIECE:
-            yield b"".join(map(seen.__getitem__, self.find.findall(text)))
-            return
-        found = (m.group() for m in self.find.finditer(text))
-        while piece := list(islice(found, PIECE)):
-            yield b"".join(map(seen.__getitem__, piece))
+        for piece in self.split.pieces(text):
+            yield b"".join(map(self.seen.__getitem__, piece))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

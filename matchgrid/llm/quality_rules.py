@@ -22,9 +22,9 @@ COMMON = {
 WORDS = sorted({w for own in COMMON.values() for w in own})
 
 #: Distances (square roots of Jensen-Shannon divergences, 0 to 1) from which a text is rejected.
-CHAR_DISTANCE, WORD_DISTANCE = 0.30, 0.75
+CHAR_DISTANCE, WORD_DISTANCE = 0.30, 0.29
 #: Texts with fewer characters in words, or fewer words, aren't judged by that histogram.
-LEAST_CHARS, LEAST_WORDS = 200, 60
+LEAST_CHARS, LEAST_WORDS = 200, 150
 #: Languages up to which the references are broadcast: a row of about 1 KB each.
 BROADCAST_LANGUAGES = 1000
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
-from itertools import accumulate, islice
+from itertools import accumulate
 from uuid import uuid4
 
 import numpy as np
@@ -21,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import PIECE, REMEMBERED
+from .bpe import REMEMBERED, Splitter
 from .common import open_fs, shared_files, written
 
 #: Fixed values of the zstd seekable format.
@@ -109,7 +111,6 @@ class _Encoder(dict):
     """
 
     def __init__(self, definition: str, pattern: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -118,10 +119,10 @@ class _Encoder(dict):
         own = json.loads(definition)
         before = own.get("pre_tokenizer") or {}
         self.apart = own.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.find = regex.compile(pattern)
+        self.split, self.code = Splitter(pattern), "H" if self.width == 2 else "I"
 
     def bytes_of(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return np.array(ids, f"<u{self.width}").tobytes() if sys.byteorder == "big" else array(self.code, ids).tobytes()
 
     def __missing__(self, token: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -134,12 +135,9 @@ class _Encoder(dict):
     def encode(self, text: str):
         if not self.apart:
             yield self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        elif len(text) <= PIECE:
-            yield b"".join(map(self.__getitem__, self.find.findall(text)))
-        else:
-            found = (m.group() for m in self.find.finditer(text))
-            while piece := list(islice(found, PIECE)):
-                yield b"".join(map(self.__getitem__, piece))
+            return
+        for piece in self.split.pieces(text):
+            yield b"".join(map(self.__getitem__, piece))
 
 
 _ENCODERS: dict[tuple[int, str], _Encoder] = {}
