@@ -93,27 +93,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of every word of a text, in order.
-
-    Words are ``[^\\x20\\x09-\\x0D]+``; a word's hash is a polynomial in its
-    UTF-8 bytes, mixed; it depends on the word alone.
-    """
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
+def _hashed_piece(raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     lengths = ends - starts
     chars = (_LOWER[raw] if lower else raw)[inside].astype(np.uint64) + np.uint64(1)
     first = np.cumsum(lengths) - lengths
     at = np.arange(len(chars)) - np.repeat(first, lengths)
-    weights = _powers(int(lengths.max()))[at]
-    sums = np.add.reduceat(chars * weights, first)
-    return mix(sums ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    sums = np.add.reduceat(chars * _powers(int(lengths.max()))[at], first)
+    return mix(sums ^ (lengths.astype(np.uint64) << np.uint64(48))), starts
+
+
+def hashed_words(raw: np.ndarray, lower: bool = True, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the start of every word of a text's UTF-8 bytes, in order.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``; a word's hash is a polynomial in its bytes,
+    mixed; it depends on the word alone. Works on about ``piece`` bytes at a
+    time, so that a huge text needs little more memory than its words.
+    """
+    if len(raw) <= piece:
+        return _hashed_piece(raw, lower)
+    out, lo = [], 0
+    while lo < len(raw):
+        hi = lo + piece
+        while hi < len(raw) and not _SPACE[raw[lo:hi][-4096:]].any():
+            hi += 4096
+        if hi < len(raw):
+            hi -= int(np.argmax(_SPACE[raw[lo:hi][::-1][:4096]]))
+        hashes, starts = _hashed_piece(raw[lo:hi], lower)
+        out.append((hashes, starts + lo))
+        lo = hi
+    return np.concatenate([h for h, _ in out]), np.concatenate([s for _, s in out])
+
+
+def word_hashes(text: str, lower: bool = True) -> np.ndarray:
+    """hashed_words of a text, without the starts."""
+    return hashed_words(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), lower)[0]
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dup, quality_mil, quality_rules, token_files
+from . import bpe, decontaminate, line_dedup, lm_trie, near_dup, pii, quality_mil, quality_rules, token_files
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(index)
 
 
+def op9_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
@@ -49,8 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_mil": op3_quality_mil,
     "op4_near_dup": op4_near_dup,
+    "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_files": op7_token_files,
+    "op9_lm_trie": op9_lm_trie,
     "op10_line_dedup": op10_line_dedup,
 }
 
