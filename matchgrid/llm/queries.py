@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, lm_trie, near_dup, pii, quality_mil, quality_rules, token_files
+from . import bpe, decontaminate, line_dedup, lm_trie, near_dup, pii, quality_mil, quality_rules, secrets, token_files
 from .common import read_table
 
 
@@ -43,6 +43,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(index)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = secrets.train(secrets.example_findings(spark))
+    return secrets.secret_scan(read_table(spark, sf_dir, "documents"), trees)
+
+
 def op9_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_trie.lm_scores(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_files": op7_token_files,
+    "op8_secrets": op8_secrets,
     "op9_lm_trie": op9_lm_trie,
     "op10_line_dedup": op10_line_dedup,
 }
