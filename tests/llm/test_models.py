@@ -1,0 +1,176 @@
+"""Tokenisers, files and trained models."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow.parquet as pq
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from matchgrid.llm import bpe, lm_trie, pii, quality_mil, secrets, token_files
+from matchgrid.llm.elias_fano import EliasFano
+
+from . import brute
+
+SF = "/root/testdata/sf0.001"
+TEXTS = [None, "", " ", "Hello  world's\n\n ", "É漢字🙂 ١٢ ½ \x1c\x85\xa0x", "a" * 5000, "don't   stop 12345 <|endoftext|>", "ab " * 70_000, "Hello  world's\n\n "]
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return TEXTS + pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist()
+
+
+def test_perfect_hash():
+    tokens = bpe.read_ranks(RANKS)[:3000]
+    table = bpe.MinimalPerfectHash(tokens)
+    assert [table.get(t) for t in tokens] == list(range(3000)) and table.get(b"no such token") == -1
+    assert sorted(table.values) == list(range(3000))
+
+
+def test_bpe(spark, texts):
+    tokens = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    out = {r["doc_id"]: r for r in bpe.encode_decode(table(spark, texts), RANKS, P.PATTERN, keep_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(library.encode_ordinary(t or ""), "<u4").tobytes()
+        assert out[i]["n_tokens"] == len(ids) // 4 and bytes(out[i]["ids"]) == ids
+        assert out[i]["ids_sha256"] == hashlib.sha256(ids).hexdigest() and out[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    back = bpe.decode_ids(bpe.encode_decode(table(spark, texts), RANKS, P.PATTERN, keep_ids=True), RANKS, P.PATTERN)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.encode_decode(table(spark, texts).limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_splitting_is_the_same_on_both_ways():
+    s = bpe.Splitter(P.PATTERN)
+    for a in range(256):
+        for b in (0x20, 0x27, 0x31, 0x41, 0x85, 0xA0, 0xB2, 0xE9):
+            t = f"x{chr(a)}{chr(b)}1 {chr(a)}"
+            assert [x for p in s.pieces(t) for x in p] == s.full.findall(t)
+
+
+def test_token_files(spark, texts):
+    path = P.path("byte_bpe_50k.json")
+    index = token_files.write_token_files(table(spark, texts), path, P.PATTERN, end_id=2)
+    out = {r["doc_id"]: r for r in token_files.read_token_files(index).collect()}
+    library, start = Tokenizer.from_file(path), 0
+    library.encode_special_tokens = True
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    one = token_files.read_token_files(index.where("doc_id = 12")).collect()
+    assert len(one) == 1 and one[0] == out[12]
+    empty = token_files.write_token_files(table(spark, texts).limit(0), path, P.PATTERN, end_id=2)
+    assert token_files.read_token_files(empty).count() == 0
+
+
+def test_frames(tmp_path):
+    from pyarrow import fs
+
+    path = str(tmp_path / "x.tokens")
+    ids = np.arange(100_000, dtype="<u2")
+    w = token_files.FrameWriter(fs.LocalFileSystem().open_output_stream(path), 2, frame=4096)
+    for part in np.array_split(ids, 77):
+        w.write(part.tobytes())
+    w.close()
+    r = token_files.FrameReader(fs.LocalFileSystem().open_input_file(path))
+    assert len(r.sizes) == 49 and np.concatenate(list(r.read(2000, 5000))).tolist() == ids[2000:7000].tolist()
+    data = bytearray(open(path, "rb").read())
+    data[r.places[3] + 20] ^= 1
+    open(path, "wb").write(data)
+    bad = token_files.FrameReader(fs.LocalFileSystem().open_input_file(path))
+    with pytest.raises(Exception):
+        list(bad.read(0, 20_000))
+    assert next(bad.read(0, 10)).tolist() == list(range(10))
+
+
+def test_elias_fano():
+    r = np.random.default_rng(3)
+    for n, u in ((0, 5), (1, 1 << 64), (500, 600), (4000, 1 << 63), (4000, 4000)):
+        v = np.sort(r.integers(0, min(u, 1 << 63), n, dtype=np.uint64))
+        e = EliasFano.build(v, u)
+        assert (e.get(np.arange(n)) == v).all()
+        x = np.concatenate([v, r.integers(0, min(u, 1 << 63), 300, dtype=np.uint64)])
+        found, own = e.find(x), set(v.tolist())
+        assert all((p == np.searchsorted(v, q)) if int(q) in own else p == -1 for p, q in zip(found.tolist(), x, strict=True))
+
+
+def test_lm_scores(spark, texts):
+    out = {r["doc_id"]: r for r in lm_trie.lm_scores(table(spark, texts)).collect()}
+    tokens = {i: brute.WORD.findall(brute.lower(t or "")) + [None] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c, pairs, after = Counter(), Counter(), defaultdict(set)
+    for i, own in tokens.items():
+        if not held[i]:
+            c.update(own)
+            for x, y in zip([None, *own], own):
+                pairs[x, y] += 1
+                after[x].add(y)
+    n, v = sum(c.values()), len(c)
+    for i, own in tokens.items():
+        p = [(c[w] + 1) / (n + v + 1) for w in own]
+        r = out[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(own), sum(w in c for w in own), n)
+        assert math.isclose(r["base_score"], sum(map(math.log10, p)), rel_tol=1e-9)
+        score = sum(math.log10(max(pairs[x, y] - 0.75, 0) / c[x] + 0.75 * len(after[x]) / c[x] * q if c[x] else q) for x, y, q in zip([None, *own], own, p))
+        assert abs(r["score"] - score) <= 0.02 * len(own)
+    assert lm_trie.lm_scores(table(spark, texts).limit(0)).count() == 0
+    assert lm_trie.lm_scores(table(spark, ["none"]).withColumn("doc_id", F.lit(9)).where("false")).count() == 0
+
+
+def test_classifier_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_mil.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    good, bad = [r["score"] for r in rows if r["quality"] == 1], [r["score"] for r in rows if r["quality"] == 0]
+    right = sum(a > b for a in good for b in bad) / (len(good) * len(bad))
+    assert len(bad) >= 5 and right > 0.95 and sum(r["predicted"] for r in rows if r["quality"] == 1) >= 0.97 * len(good)
+
+
+def test_classifier_odd_cases(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (1, 1)], "doc_id long, quality int")
+    rows = [(1, "good words in a row"), (2, "### ### ###"), (3, None), (None, ""), (3, "x" * 100_000)]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, score int")
+    out = quality_mil.quality_scores(docs, labels).collect()
+    assert len(out) == 5 and all(0 <= r["score"] <= 1 for r in out)
+    assert quality_mil.quality_scores(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_personal_data_patterns():
+    t = "mail a.b+c@x-y.example.com, x@y 300.1.1.1 1.2.3.4.5 4111 1111 1111 1111 +1 (555) 123-4567 +12 @a.b c@d.e@f.g"
+    found = [(pii.KINDS[k], t[s:e]) for s, k, e in pii.base_spans(t)]
+    assert found == [("email", "a.b+c@x-y.example.com"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567"), ("email", "c@d.e")]
+
+
+def test_personal_data_model(spark):
+    x, y = pii.labelled_windows(["some words in a text of the corpus"] * 3, n=1500)
+    model = pii.Tagger().fit(x[:1300], y[:1300], steps=160)
+    tags = model.decode(x[1300:])
+    hit = ((tags > 0) & (y[1300:] > 0)).sum() / (y[1300:] > 0).sum()
+    assert hit > 0.8
+    texts = [None, "", "plain words only", "call (555) 123-4567 now or write to me@example.com " * 3, "é" * 70 + " 10.0.0.1"]
+    out = {r["doc_id"]: r for r in pii.personal_data(table(spark, texts), model).collect()}
+    assert out[0]["spans"] == out[2]["spans"] == "" and out[3]["n_email"] == 3 and "email:" in out[3]["spans"] and out[4]["spans"].startswith("ip:71:79")
+    assert pii.personal_data(table(spark, texts).limit(0), model).count() == 0
+
+
+def test_secrets(spark):
+    trees = secrets.train(secrets.example_findings(spark, 2400))
+    key = "AKIA" + "ABCD2345EFGH6789"
+    texts = [None, "", "nothing here", f"é the key {key} leaked", 'token = "0123456789abcdef0123456789abcdef01234567" of', "see https://example.com/static/img/banner-photo2024.png the", "order 4996968135420665 of", key]
+    out = {r["doc_id"]: r for r in secrets.secret_scan(table(spark, texts), trees).collect()}
+    assert [out[i]["n_secrets"] for i in range(8)] == [0, 0, 0, 1, 1, 0, 0, 1]
+    s, e = map(int, out[3]["secrets"].split(":"))
+    assert texts[3][s:e] == key and out[7]["secrets"] == f"0:{len(key)}"
+    assert secrets.secret_scan(table(spark, texts).limit(0), trees).count() == 0
