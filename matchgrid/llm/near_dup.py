@@ -1,16 +1,14 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation.
 
 MinHash samples of a document's shingle set are cut into bands, which propose
-candidates, and folded into a bitmap of parities (an odd sketch): two bitmaps
-differ in at most two bits for each sample that differs, so the population
-count of their XOR bounds the similarity. What passes is confirmed on the full
-shingle sets.
+candidates. Its least hashes, all of them in a set of up to SAMPLE shingles, are
+folded into a bitmap of parities (an odd sketch): hashes that two sets share
+cancel out in the XOR of their bitmaps, so its population count tells high
+similarities precisely. What passes is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,12 +19,11 @@ from .graph import components
 #: 32 bands of 4 samples: a pair of similarity 0.8 shares no band once in 2 * 10**7.
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: 64-bit words of an odd sketch.
-WORDS = 8
+#: Bits of an odd sketch, and hashes in a sample up to which the sample is the whole set.
+BITS, SAMPLE = 1024, 1024
 _RANDOM = np.random.default_rng(20240607)
 _FACTORS = _RANDOM.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
-_SALTS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 _BAND_SALTS = mix(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
 
 
@@ -44,14 +41,24 @@ def samples(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_and_sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and the odd sketch, as signed 64-bit integers."""
-    drawn = samples(own).astype(np.uint64)
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band, as signed 64-bit integers."""
     keys = _BAND_SALTS.copy()
-    for column in drawn.reshape(BANDS, ROWS).T:
+    for column in samples(own).astype(np.uint64).reshape(BANDS, ROWS).T:
         keys = mix(keys ^ column) + _BAND_SALTS
-    bits = np.bincount((mix(drawn ^ _SALTS) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return keys.view(np.int64)
+
+
+def odd_sketch(own: np.ndarray) -> tuple[int, np.ndarray]:
+    """Level and parity bitmap of the least hashes of a set: those below 2**(64 - level).
+
+    The level is 0, so that the sample is the whole set, up to SAMPLE hashes, and
+    grows by one each time the set doubles.
+    """
+    level = max(0, (len(own) - 1).bit_length() - (SAMPLE - 1).bit_length())
+    least = own[: np.searchsorted(own, np.uint64(1 << 64 - level))] if level else own
+    bits = np.bincount((mix(least) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return level, np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def set_key(own: np.ndarray) -> bytes:
@@ -60,44 +67,44 @@ def set_key(own: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def most_differing(similarity: float, odds: float = 1e-8) -> int:
-    """So many of SAMPLES differ at most, but for these odds, in a pair of this similarity."""
-    p, tail = 1 - similarity, 1.0
-    for d in range(SAMPLES + 1):
-        tail -= math.comb(SAMPLES, d) * p**d * similarity ** (SAMPLES - d)
-        if tail < odds:
-            return d
-    return SAMPLES
-
-
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """For each row: id, place (hash of the text), n_shingles, node (key of the set; null if empty), bands, sketch."""
+    """For each row: id, place (hash of the text), n_shingles, node (key of the set; null if empty), bands, level, sketch."""
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def work(batches):
         for batch in batches:
-            sizes, nodes, bands, sketches = [], [], [], []
+            sizes, nodes, bands, levels, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, k)
                 sizes.append(len(own))
                 nodes.append(set_key(own) if len(own) else None)
-                b, s = bands_and_sketch(own) if len(own) else (None, None)
-                bands.append(b)
-                sketches.append(s)
+                bands.append(band_keys(own) if len(own) else None)
+                level, sketch = odd_sketch(own) if len(own) else (None, None)
+                levels.append(level)
+                sketches.append(sketch)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, sketches)]
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "n_shingles", "node", "bands", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists[0], pa.array(levels, pa.int32()), lists[1]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "n_shingles", "node", "bands", "level", "sketch"])
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc {kind}, place long, n_shingles long, node binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(work, f"doc {kind}, place long, n_shingles long, node binary, bands array<long>, level int, sketch array<long>")
 
 
 def _alike(percent: int, a: str, b: str) -> Column:
-    """Whether sizes and odd sketches allow this similarity."""
-    limit = 2 * most_differing(percent / 100)
-    differing = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(WORDS)), F.lit(0))
-    small, large = (f(F.col(f"{a}.n"), F.col(f"{b}.n")) for f in (F.least, F.greatest))
-    return (100 * small >= percent * large) & (differing <= limit)
+    """Whether sizes and odd sketches allow this similarity.
+
+    Of two sets of m and n hashes at least this similar, at most
+    (m + n) * (1 - s) / (1 + s) stand in one only, and each of those flips one
+    bit, so at level 0 no such pair is refused. At higher levels the sampled
+    share of them has room for 5.5 standard deviations. Neighbouring levels,
+    as sets near a power of two may have, aren't compared.
+    """
+    n, m, level = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.level")
+    differing = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
+    most = (n + m) * (100 - percent) / (100 + percent)
+    share = most / F.pow(F.lit(2.0), level)
+    limit = F.when(level == 0, most).otherwise(share + 5.5 * F.sqrt(share) + 6)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((level != F.col(f"{b}.level")) | (differing <= limit))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -139,20 +146,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     group of null ids only has a null component_id and all of them kept. Other
     columns are left out; an empty table gives no rows.
 
-    Every band links its members to the smallest of them. If confirmed links
+    Every band compares its members with the smallest of them and with one drawn
+    by hash, another in each band. If confirmed links
     leave members of a band in different groups, the pairs between those groups
     are compared too, so a link is lost only where a pair shares no band at all
-    or its sketches differ improbably (see BANDS and most_differing).
+    (see BANDS) or, among sets of over SAMPLE shingles, its samples differ improbably.
     """
     rows = written(signatures(docs, k, id_col, text_col), "signatures")
-    first = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.first(F.struct("doc", "place", "n_shingles", "bands", "sketch")).alias("r"))
-    nodes = first.select("node", "least", "r.doc", "r.place", F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch", F.monotonically_increasing_id().alias("nid"))
+    first = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.first(F.struct("doc", "place", "n_shingles", "bands", "level", "sketch")).alias("r"))
+    nodes = first.select("node", "least", "r.doc", "r.place", F.col("r.n_shingles").alias("n"), "r.bands", "r.level", "r.sketch", F.monotonically_increasing_id().alias("nid"))
     nodes = written(nodes, "nodes")
     banded = nodes.select("nid", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("nid").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    drawn = F.min_by("nid", F.xxhash64("nid", "band"))
+    leaders = banded.groupBy("band").agg(F.min("nid").alias("leader"), drawn.alias("other"), F.count("*").alias("members")).where("members > 1")
     shared = written(banded.join(leaders, "band"), "bands")
-    side = nodes.select("nid", "n", "sketch")
-    stars = shared.where("nid <> leader").select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct()
+    side = nodes.select("nid", "n", "level", "sketch")
+    hubs = F.array_distinct(F.array("leader", "other"))
+    stars = shared.select(F.explode(hubs).alias("hub"), "nid").where("hub <> nid").select(F.least("hub", "nid").alias("a"), F.greatest("hub", "nid").alias("b")).distinct()
     pairs = stars.alias("p").join(side.alias("x"), F.col("p.a") == F.col("x.nid")).join(side.alias("y"), F.col("p.b") == F.col("y.nid")).where(_alike(percent, "x", "y")).select("p.a", "p.b")
     pairs = written(pairs, "pairs")
 
@@ -172,7 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     split = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     open_ = members.join(split, "band").join(side, "nid")
     across = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & _alike(percent, "x", "y"))
-    across = across.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    across = across.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     across = written(across, "across")
     if not across.isEmpty():
         more = written(_confirmed(across, texts_of(across), k, percent), "confirmed")
@@ -185,3 +195,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = rows.select("doc", "n_shingles", "node").join(placed, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id"))
     return found.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def first_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that near_duplicates keeps: of each group that with the smallest id.
+
+    Rows without words all stay. Of rows that share an id one goes only if the
+    id isn't the smallest of the row's group.
+    """
+    found = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("component_id").alias("_to")).distinct()
+    return docs.join(found, docs[id_col] == F.col("_gone"), "left_anti")
