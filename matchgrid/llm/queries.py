@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, lm_trie, near_dup, pii, quality_mil, quality_rules, secrets, token_files
+from . import bpe, decontaminate, line_dedup, lm_trie, near_dup, oracle, pii, quality_mil, quality_rules, secrets, token_files
 from .common import read_table
 
 
@@ -18,7 +18,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.quality_verdicts(docs)
+    return quality_rules.quality_verdicts(docs).drop("char_distance", "word_distance")
 
 
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": oracle.quality_rules(),
+    "op4_near_dup": oracle.near_dup(),
+    "op6_decontaminate": oracle.contamination(),
+}
