@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, free_names, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words in a shingle.
@@ -118,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 13, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that contamination() doesn't call contaminated, with their columns."""
-    bad = contaminated_texts(docs, items, window, text_col, item_id, item_text).where(_verdict(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    k1, k2 = F.xxhash64(text), F.xxhash64(text, F.lit("second"))
-    return docs.join(bad, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    k1, k2 = free_names(docs, "k1", "k2")
+    bad = contaminated_texts(docs, items, window, text_col, item_id, item_text).where(_verdict(F.col("n_hit"), F.col("n_words"))).select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    own = _text_key(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(bad, (own[0] == F.col(k1)) & (own[1] == F.col(k2)), "left_anti")
