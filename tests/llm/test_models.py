@@ -148,11 +148,29 @@ def test_classifier_odd_cases(spark):
 
 
 def test_personal_data_patterns():
-    t = "mail a.b+c@x-y.example.com, x@y 300.1.1.1 1.2.3.4.5 4111 1111 1111 1111 +1 (555) 123-4567 +12 @a.b c@d.e@f.g"
+    t = "mail a.b+c@x-y.example.com, x@y 300.1.1.1 1.2.3.4.5 x 4111 1111 1111 1111 +1 (555) 123-4567 +12 @a.b c@d.e@f.g"
     found = [(pii.KINDS[k], t[s:e]) for s, k, e in pii.base_spans(t)]
     assert found == [("email", "a.b+c@x-y.example.com"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567"), ("email", "c@d.e")]
 
 
+def test_personal_data_patterns_are_those_of_the_contract():
+    import random
+    import re
+
+    whole = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    random.seed(4)
+    for _ in range(4000):
+        t = "".join(random.choice("ab.@@-+ 0123456789().%_é\n" if random.random() < 0.7 else "1234567890. -") for _ in range(random.randint(0, 60)))
+        expected = []
+        for k, p in enumerate(whole):
+            for m in re.finditer(p, t):
+                d = re.sub("[^0-9]", "", m.group())
+                fits = (True, all(int(x) <= 255 for x in m.group().split(".")) if k == 1 else True, 14 <= len(d) <= 19 and pii.luhn(d), 10 <= len(d) <= 15)
+                if fits[k]:
+                    expected.append((m.start(), k, m.end()))
+        assert pii.base_spans(t) == sorted(expected), t
+
+
 def test_personal_data_model(spark):
     x, y = pii.labelled_windows(["some words in a text of the corpus"] * 3, n=1500)
     model = pii.Tagger().fit(x[:1300], y[:1300], steps=160)
