@@ -112,7 +112,7 @@ def with_rest(stats: DataFrame) -> DataFrame:
     """Adds rest_days (first game: 3, at most 7), is_back_to_back, games_last_7 and games_last_14 (earlier rows only)."""
     gap = F.datediff("date", F.lag("date").over(by_team()))
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    out = stats.withColumn("_day", day).withColumn("rest_days", F.coalesce(F.least(gap, F.lit(7)), F.lit(3)))
+    out = stats.withColumn("_day", day).withColumn("rest_days", F.when(gap.isNull(), 3).otherwise(F.least(gap, F.lit(7))))
     out = out.withColumn("is_back_to_back", F.coalesce((gap <= 1).cast("int"), F.lit(0)))
     today = Window.partitionBy("team_id", "date")
     for n in (7, 14):

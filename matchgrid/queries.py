@@ -111,7 +111,7 @@ _DAYS = "count(*) over (partition by team_id order by date range between interva
 
 
 @query(
-    f"{GS} select game_id, team_id, {big(f'coalesce(least(date_diff(\'day\', lag(date) {BY_TEAM}, date), 7), 3)', 'rest_days')}, "
+    f"{GS} select game_id, team_id, {big(f'case when lag(date) {BY_TEAM} is null then 3 else least(date_diff(\'day\', lag(date) {BY_TEAM}, date), 7) end', 'rest_days')}, "
     f"{big(f'coalesce(cast(date_diff(\'day\', lag(date) {BY_TEAM}, date) <= 1 as int), 0)', 'is_back_to_back')}, {big(_DAYS.format(7), 'games_last_7')}, {big(_DAYS.format(14), 'games_last_14')} from game_stats"
 )
 def rest_schedule(spark, sf):
