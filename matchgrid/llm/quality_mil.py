@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _SPACE, _powers, mix
+from .common import _SPACE, _powers, bounded_sample, mix
 
 #: Words in a passage.
 PASSAGE = 50
@@ -144,12 +144,12 @@ class AttentionModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
-    """Fits a model to at most max_rows labelled rows, those of the smallest id hashes.
+    """Fits a model to at most max_rows labelled rows (see bounded_sample).
 
     Rows with a null label or id aren't used; without any the model is as initialised.
     """
     known = labels.select(F.col(id_col).alias("_doc"), F.col(label).cast("double").alias("_label")).where("_doc is not null and _label is not null")
-    known = known.orderBy(F.xxhash64("_doc"), "_doc", "_label").limit(max_rows)
+    known = bounded_sample(known, max_rows, "_doc")
     found = docs.join(F.broadcast(known), F.col(id_col) == F.col("_doc")).select("_doc", "_label", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def work(batches):
