@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix, shingle_hashes, word_hashes, written
+from .common import free_names, mix, shingle_hashes, word_hashes, written
 from .graph import components
 
 #: 32 bands of 4 samples: a pair of similarity 0.8 shares no band once in 2 * 10**7.
@@ -200,8 +200,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def first_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that near_duplicates keeps: of each group that with the smallest id.
 
-    Rows without words all stay. Of rows that share an id one goes only if the
-    id isn't the smallest of the row's group.
+    Rows without words all stay. Rows that share an id stay or go together: they
+    go if for one of them the id isn't the smallest of its group.
     """
-    found = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("component_id").alias("_to")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_gone"), "left_anti")
+    (gone,) = free_names(docs, "gone")
+    found = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
