@@ -10,6 +10,7 @@ from . import config
 from .functions import basketball as bb, betting as bet, text
 from .operators import injuries as inj, metrics as mt, models, odds as od, ratings, simulation as sim, windows as wn
 from .plans import features as ft, recommend as rec
+from .sources import snapshots as sn
 from .sources.fixtures import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,6 +537,116 @@ def odds_matching(spark, sf):
     return rounded(od.match_games(slate, odds).select("id", "home_prob", "ordinal"))
 
 
+_IMPACT = f"i as (select team_id, sum(impact_rating * {_MISS}) as out_ from historical_injuries group by 1)"
+
+
+@query(
+    f"{ctes('predictions', 'historical_injuries')}, {_IMPACT} select p.id, "
+    + r("least(greatest(model_home_prob + greatest(-0.15, -0.006 * coalesce(h.out_, 0)) - greatest(-0.15, -0.006 * coalesce(a.out_, 0)), 0.01), 0.99)", "home_prob")
+    + " from predictions p left join i h on h.team_id = p.home_team_id and h.team_id % 2 = 0 left join i a on a.team_id = p.away_team_id and a.team_id % 2 = 0"
+)
+def injury_adjusted_probs(spark, sf):
+    hurt = view(spark, sf, "historical_injuries").where("team_id % 2 = 0").groupBy("team_id").agg(F.sum(F.col("impact_rating") * bet.miss_probability(F.col("status"))).alias("out"))
+    side = lambda s: hurt.select(F.col("team_id").alias(f"{s}_team_id"), F.col("out").alias(s))
+    rows = view(spark, sf, "predictions").join(side("home"), "home_team_id", "left").join(side("away"), "away_team_id", "left")
+    return rounded(rows.select("id", bet.adjusted_prob(F.col("model_home_prob"), F.col("home"), F.col("away")).alias("home_prob")))
+
+
+@query(f"{PRED}, p as (select id, market_home_prob as h, 1 - closing_market_prob as a from predictions) select id, {r('h', 'home_price')}, {r('a', 'away_price')} from p where h > 0.01 and h < 0.99 and a > 0.01 and a < 0.99 and abs(h + a - 1) <= 0.05")
+def sane_prices(spark, sf):
+    rows = view(spark, sf, "predictions").select("id", F.col("market_home_prob").alias("home_price"), (1 - F.col("closing_market_prob")).alias("away_price"))
+    return rounded(rows.where(bet.sane_prices(F.col("home_price"), F.col("away_price"))))
+
+
+@query(
+    f"{PRED} select id, {r('case when id % 3 = 0 then market_home_prob when id % 3 = 1 then closing_market_prob else 0 end', 'market_home_prob')}, "
+    f"{r('case when id % 3 = 0 then 1 - market_home_prob when id % 3 = 1 then 1 - closing_market_prob else 0 end', 'market_away_prob')} from predictions"
+)
+def market_prices(spark, sf):
+    rows = view(spark, sf, "predictions")
+    prices = lambda c, when: rows.where(when).select("id", F.col(c).alias("home_price"), (1 - F.col(c)).alias("away_price"))
+    out = rec.with_prices(rows.select("id"), prices("market_home_prob", "id % 3 = 0"), prices("closing_market_prob", "id % 3 < 2"), ["id"])
+    return rounded(out)
+
+
+@query(f"{ctes('predictions', 'games')} select p.id, g.home_score > g.away_score as home_won from predictions p join games g on p.date = g.date and p.home_team_id = g.home_team_id and p.away_team_id = g.away_team_id")
+def resolved_predictions(spark, sf):
+    return rec.resolved(view(spark, sf, "predictions"), view(spark, sf, "games")).select("id", "home_won")
+
+
+@query(
+    f"{PRED} select p.id, cast(null as double) as opening_market_prob from predictions p where not exists (select 1 from predictions q where q.id % 2 = 0 and q.date = p.date and q.home_team_id = p.home_team_id and q.away_team_id = p.away_team_id)"
+)
+def new_predictions(spark, sf):
+    rows = view(spark, sf, "predictions")
+    return rec.new_predictions(rows, rows.where("id % 2 = 0"), od.opening_line(view(spark, sf, "odds_snapshots"))).select("id", "opening_market_prob")
+
+
+@query(f"{ctes('games')} select id as game_id, date, home_team_id, away_team_id, {big('home_score', 'home_score')}, {big('away_score', 'away_score')}, home_score > away_score as home_win from games where id % 7 <> 0 and id % 5 <> 0")
+def new_games(spark, sf):
+    games = view(spark, sf, "games")
+    rows = wn.game_rows(games).where("game_id % 7 <> 0 or is_home")
+    log = rows.withColumn("matchup", F.when(F.col("is_home"), "A vs. B").otherwise("B @ A")).select("game_id", "team_id", "matchup", "pts", "date", "season")
+    return rounded(sn.new_games(log, games.where("id % 5 = 0")).drop("season"))
+
+
+@query(
+    f"{ctes('historical_injuries')} select player_name, case when player_id % 10 = 0 then 'Out' else status end as status, {r('case when player_id % 10 = 0 then 9 else impact_rating end', 'impact_rating')} from historical_injuries "
+    "union all select concat('Manual ', player_name), 'Out', 9.0 from historical_injuries where player_id % 25 = 0"
+)
+def injury_overrides(spark, sf):
+    rows = view(spark, sf, "historical_injuries").select("player_id", "player_name", "status", "impact_rating")
+    manual = rows.where("player_id % 10 = 0").withColumn("player_name", F.upper("player_name"))
+    manual = manual.unionByName(rows.where("player_id % 25 = 0").withColumn("player_name", F.concat(F.lit("Manual "), "player_name")))
+    manual = manual.withColumn("status", F.lit("Out")).withColumn("impact_rating", F.lit(9.0)).drop("player_id")
+    out = inj.with_overrides(rows.drop("player_id"), manual)
+    return rounded(out.withColumn("player_name", F.regexp_replace("player_name", "^CUSTOMER", "Customer")))
+
+
+_SCRATCH = "team_id % 3 <> 0 and player_id % 4 <> 0 and impact_rating >= 7 and status not in ('Out', 'Doubtful')"
+
+
+@query(f"{ctes('historical_injuries')} select player_id, case when {_SCRATCH} then 'Out' else status end as status, {r(f'case when {_SCRATCH} then greatest(impact_rating, 10) else impact_rating end', 'impact_rating')} from historical_injuries")
+def lineup_scratches(spark, sf):
+    rows = view(spark, sf, "historical_injuries")
+    starters = rows.where("team_id % 3 <> 0").groupBy("team_abbr").agg(F.concat(F.array(F.lit("nobody")), F.collect_list(F.when(F.expr("player_id % 4 = 0"), F.upper("player_name")))).alias("names"))
+    return rounded(inj.lineup_bumps(rows, starters).select("player_id", "status", "impact_rating"))
+
+
+@query(f"{ctes('games', 'odds_snapshots')}, c as (select distinct home_team_id, away_team_id from odds_snapshots where home_prob is not null) select {r('avg(case when c.home_team_id is null then 0e0 else 1e0 end)', 'coverage')} from games g left join c on g.home_team_id = c.home_team_id and g.away_team_id = c.away_team_id")
+def odds_coverage(spark, sf):
+    lines = od.closing_line(view(spark, sf, "odds_snapshots")).groupBy("home_team_id", "away_team_id").agg(F.max("home_prob").alias("price"))
+    return rounded(rec.odds_coverage(view(spark, sf, "games").join(lines, ["home_team_id", "away_team_id"], "left"), "price"))
+
+
+@query(f"{ctes('games')}, f as (select min(date) as d from games where date >= date '1995-03-04' and date_diff('day', date '1995-03-04', date) <= 7) select id, date from games, f where date = d")
+def first_busy_day(spark, sf):
+    return sn.first_busy_day(view(spark, sf, "games"), "1995-03-04").select("id", "date")
+
+
+@query(f"{ODDS} select date_trunc('hour', timestamp) as hour, source, count(*) as n, {r('avg(home_prob)', 'mean_prob')} from odds_snapshots group by 1, 2")
+def hourly_activity(spark, sf):
+    rows = view(spark, sf, "odds_snapshots").groupBy(F.window("timestamp", "1 hour").alias("w"), "source").agg(F.count("*").alias("n"), F.avg("home_prob").alias("mean_prob"))
+    return rounded(rows.select(F.col("w.start").alias("hour"), "source", "n", "mean_prob"))
+
+
+@query(f"{PRED} select id, {r('1 / (1 + pow(10e0, -(1400 + id % 200 + 100 - (1450 + id % 170)) / 400e0))', 'elo_home_prob')}, {r('1500 + 0.75 * (1400 + id % 200 - 1500)', 'carried')} from predictions")
+def elo_expectations(spark, sf):
+    home, away = F.expr("cast(1400 + id % 200 as double)"), F.expr("cast(1450 + id % 170 as double)")
+    return rounded(view(spark, sf, "predictions").select("id", bb.elo_home_prob(home, away).alias("elo_home_prob"), bb.elo_carry(home).alias("carried")))
+
+
+@query(f"{SETTLED} select {r('avg(ret) / stddev_samp(ret) * sqrt(count(ret))', 'sharpe')}, count(ret) as n from (select profit / nullif(bet_size, 0) as ret from s where bet_side <> 'NO BET') t")
+def sharpe_ratio(spark, sf):
+    rows = _settled(spark, sf).where(mt.BETS)
+    return rounded(mt.sharpe(rows, F.try_divide(F.col("profit"), F.col("bet_size"))))
+
+
+@query(f"{SETTLED}, p as (select profit from s where bet_side <> 'NO BET') select " + ", ".join(r(f"quantile_cont(profit, {q})", f"pct_{n}") for n, q in ((5, 0.05), (25, 0.25), (50, 0.5), (75, 0.75), (95, 0.95))) + f", {r('avg(profit)', 'mean')}, {r('max(profit)', 'max')} from p")
+def profit_quantiles(spark, sf):
+    return rounded(mt.quantiles(_settled(spark, sf).where(mt.BETS), "profit"))
+
+
 @query()
 def elo_history(spark, sf):
     return rounded(ratings.elo_history(view(spark, sf, "games")))
