@@ -29,9 +29,9 @@ LEAST_CHARS, LEAST_WORDS = 200, 150
 BROADCAST_LANGUAGES = 1000
 
 
-def _only(text: Column, chars: str) -> Column:
+def _only(text: Column, others: str) -> Column:
     """Number of characters of a class, given as a regular expression of all others."""
-    return F.length(F.regexp_replace(text, f"{chars}+", "")).cast("long")
+    return F.length(F.regexp_replace(text, f"{others}+", "")).cast("long")
 
 
 def _words(text: Column) -> Column:
@@ -56,13 +56,11 @@ def _covered(repeated: Column, width: int) -> Column:
     return F.aggregate(starts, zero, step, lambda acc: acc["n"])
 
 
-def _distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two arrays of counts; null if either is empty."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+def _distance(counts: Column, total: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of counts that add up to a total from shares that add up to 1; null without either."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    share = lambda a: F.transform(a, lambda x: x / F.nullif(total(a), F.lit(0.0)))
-    terms = F.zip_with(share(counts), share(reference), lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
-    return F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0)))
+    terms = F.zip_with(counts, shares, lambda x, q: part(x / total, (x / total + q) / 2) + part(q, (x / total + q) / 2))
+    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x) / 2, F.lit(0.0))))
 
 
 def measured(docs: DataFrame, text_col: str, lang_col: str, name: str, keep: list[str]) -> DataFrame:
@@ -73,37 +71,51 @@ def measured(docs: DataFrame, text_col: str, lang_col: str, name: str, keep: lis
     windows = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*(at(i, k) for k in range(5))))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SEPARATOR_CHARS)) != "")
     out = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit(""))).withColumn(w, _words(text))
+    # Columns that later ones use more than once are steps of their own, so that Spark computes them once.
     out = out.withColumn(f"{name}c", F.array_join(words, "")).withColumn(f"{name}l", lines).withColumn(f"{name}h", windows)
-    out = out.withColumn(f"{name}r", _repeated(F.col(f"{name}h"))).withColumn(f"{name}f", F.filter(words, lambda x: x.isin(WORDS)))
-    out = out.withColumn(f"{name}n", F.coalesce(_covered(F.col(f"{name}r"), 5), F.lit(0).cast("long")))
-    joined, found = F.col(f"{name}c"), F.col(f"{name}f")
-    upper, digits, symbols = _only(joined, r"\P{Lu}"), _only(joined, "[^0-9]"), _only(joined, r"[^#*$%&|<>]")
-    marks, n_words, chars = _only(joined, r"[\p{L}\p{N}#*$%&|<>]"), F.size(words).cast("long"), F.length(joined).cast("long")
-    out = out.withColumn(f"{name}s", F.struct(chars.alias("chars"), upper.alias("upper"), digits.alias("digits"), symbols.alias("symbols"), marks.alias("marks"), n_words.alias("words")))
-    s = F.col(f"{name}s")
-    rest = F.greatest(s["chars"] - s["upper"] - s["digits"] - s["symbols"] - s["marks"], F.lit(0))
-    char_counts = F.array(*(x.cast("double") for x in (rest, s["upper"], s["digits"], s["symbols"], s["marks"], s["words"])))
-    n_found = [(F.size(found) - F.size(F.array_remove(found, x))).cast("double") for x in WORDS]
+    found = F.filter(words, lambda x: x.isin(WORDS))
+    out = out.withColumn(f"{name}r", _repeated(F.col(f"{name}h"))).withColumn(f"{name}f", found)
+    rest = F.regexp_replace(f"{name}c", "[a-z]+", "")
+    marked = F.concat(F.lit("|"), F.array_join(f"{name}f", "||"), F.lit("|"))
+    out = out.withColumn(f"{name}o", rest).withColumn(f"{name}m", marked).withColumn(f"{name}n", F.coalesce(_covered(F.col(f"{name}r"), 5), F.lit(0).cast("long")))
+    o, m = F.col(f"{name}o"), F.col(f"{name}m")
+    out = out.withColumns(
+        {
+            f"{name}1": F.length(f"{name}c").cast("long"),
+            f"{name}2": _only(o, r"\P{Lu}"),
+            f"{name}3": _only(o, "[^0-9]"),
+            f"{name}4": _only(o, r"[^#*$%&|<>]"),
+            f"{name}5": _only(o, r"[\p{L}\p{N}#*$%&|<>]"),
+            f"{name}6": F.size(words).cast("long"),
+        }
+    )
+    chars, upper, digits, symbols, marks, n_words = (F.col(f"{name}{i}") for i in range(1, 7))
+    rest = F.greatest(chars - upper - digits - symbols - marks, F.lit(0))
+    char_counts = F.array(*(x.cast("double") for x in (rest, upper, digits, symbols, marks, n_words)))
+    size = F.octet_length(m)
+    n_found = [(size - F.octet_length(F.replace(m, F.lit(f"|{x}|"), F.lit("")))) / float(len(x.encode()) + 2) for x in WORDS]
     measures = F.struct(
-        s["words"].alias("n_words"),
-        s["chars"].alias("word_chars"),
-        s["symbols"].alias("n_symbols"),
+        n_words.alias("n_words"),
+        chars.alias("word_chars"),
+        symbols.alias("n_symbols"),
         (F.size(F.col(f"{name}l")) - F.size(F.array_distinct(F.col(f"{name}l")))).cast("long").alias("n_dup_lines"),
         F.col(f"{name}n").alias("n_repeat_words"),
-        ((s["words"] < 10) | (100 * F.col(f"{name}n") > 20 * s["words"])).alias("base_failed"),
+        ((n_words < 10) | (100 * F.col(f"{name}n") > 20 * n_words)).alias("base_failed"),
         char_counts.alias("char_counts"),
-        F.array(*n_found, (s["words"] - F.size(found)).cast("double")).alias("word_counts"),
+        F.array(*n_found, (n_words - F.size(f"{name}f")).cast("double")).alias("word_counts"),
         (F.col(lang_col) if lang_col in docs.columns else F.lit(None)).cast("string").alias("lang"),
     )
     return out.select(*keep, measures.alias(name))
 
 
 def references(rows: DataFrame, name: str) -> DataFrame:
-    """For each language its summed histograms, over all texts that pass the base rules."""
+    """For each language the shares of its summed histograms, over all texts that pass the base rules."""
     good = rows.where(~F.col(f"{name}.base_failed") & F.col(f"{name}.lang").isNotNull()).select(f"{name}.*")
     sums = [F.sum(F.col("char_counts")[i]).alias(f"c{i}") for i in range(6)] + [F.sum(F.col("word_counts")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    chars, words = F.array(*(f"c{i}" for i in range(6))), F.array(*(f"w{i}" for i in range(len(WORDS) + 1)))
-    return good.groupBy("lang").agg(*sums).select(F.col("lang").alias(f"{name}lang"), chars.alias(f"{name}chars"), words.alias(f"{name}words"))
+    summed = good.groupBy("lang").agg(*sums)
+    shares = lambda own: F.array(*(F.try_divide(F.col(c), sum((F.col(x) for x in own), F.lit(0.0))) for c in own))
+    chars, words = [f"c{i}" for i in range(6)], [f"w{i}" for i in range(len(WORDS) + 1)]
+    return summed.select(F.col("lang").alias(f"{name}lang"), shares(chars).alias(f"{name}chars"), shares(words).alias(f"{name}words"))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -131,14 +143,14 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     while any(c.startswith(name) for c in docs.columns):
         name = f"_{name}"
     rows = written(measured(docs, text_col, lang_col, name, keep), "quality")
-    refs = written(references(rows, name), "references")
+    refs = written(references(rows, name), "references")  # a row for each language
     refs = F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs
     q = F.col(name)
     joined = rows.join(refs, q["lang"] == F.col(f"{name}lang"), "left")
-    char_distance = F.when(q["word_chars"] >= LEAST_CHARS, _distance(q["char_counts"], F.col(f"{name}chars")))
-    word_distance = F.when(q["n_words"] >= LEAST_WORDS, _distance(q["word_counts"], F.col(f"{name}words")))
-    joined = joined.withColumn(f"{name}d", F.struct(char_distance.alias("c"), word_distance.alias("w")))
-    d = F.col(f"{name}d")
+    char_distance = F.when(q["word_chars"] >= LEAST_CHARS, _distance(q["char_counts"], q["word_chars"] + q["n_words"], F.col(f"{name}chars")))
+    word_distance = F.when(q["n_words"] >= LEAST_WORDS, _distance(q["word_counts"], q["n_words"].cast("double"), F.col(f"{name}words")))
+    joined = joined.withColumn(f"{name}1", char_distance).withColumn(f"{name}2", word_distance)
+    d = {"c": F.col(f"{name}1"), "w": F.col(f"{name}2")}
     far = F.coalesce(d["c"] >= CHAR_DISTANCE, F.lit(False)) | F.coalesce(d["w"] >= WORD_DISTANCE, F.lit(False))
     base = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     verdict = F.struct(*base, d["c"].alias("char_distance"), d["w"].alias("word_distance"), (~q["base_failed"] & ~far).alias("kept"))
