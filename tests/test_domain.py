@@ -150,7 +150,7 @@ def test_text_rules(spark):
     assert tuple(teams("Bulls vs. Wizards")) == ("CHI", "WAS") and tuple(teams("Portland Trail Blazers vs Timberwolves tonight")) == ("POR", "MIN")
     assert teams("Bulls at Wizards") is None and teams("Bulls vs Bulls") is None
     assert value(spark, text.is_game_title(F.lit("A vs B"))) and not value(spark, text.is_game_title(F.lit("MVP: A vs B")))
-    assert value(spark, text.slug_date(F.lit("nba-orl-det-2026-04-22"))) == "2026-04-22" and value(spark, text.slug_date(F.lit("x"))) is None
+    assert value(spark, text.slug_date(F.lit("game-orl-det-2026-04-22"))) == "2026-04-22" and value(spark, text.slug_date(F.lit("x"))) is None
     assert [value(spark, text.eastern_date(F.lit(t))) for t in ("2026-04-22T02:00:00Z", "2026-04-22T12:00:00", "x", None)] == ["2026-04-21", "2026-04-22", None, None]
     assert len({value(spark, text.naive_utc(F.lit(t))) for t in ("2026-04-22T12:00:00Z", "2026-04-22T12:00:00+00:00", "2026-04-22T12:00:00", "2026-04-22T14:00:00+02:00")}) == 1
     assert value(spark, text.feed_abbreviation(F.lit("GS"))) == "GSW" and value(spark, text.feed_abbreviation(F.lit("BOS"))) == "BOS"
