@@ -160,3 +160,22 @@ def test_line_dedup_against_all_pairs(spark, docs):
         gone = {k for d, k, x in places if d == i and first[group[number[x]]] != (i, k)}
         expected[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
     assert out == expected and sum(len(t) for t in expected.values()) < sum(len(t) for _, t in rows)
+
+
+def test_line_dedup_finds_what_edit_similarity_finds(spark):
+    """Lines with one word changed, against edit similarity of all pairs, without any candidate keys."""
+    import random
+
+    r = random.Random(7)
+    make = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    lines = []
+    for n in (6, 8, 12, 20, 30) * 8:
+        own = [make() for _ in range(n)]
+        other = list(own)
+        other[r.randrange(n)] = make()
+        lines += [" ".join(own), " ".join(other)]
+    near = lambda x, y: 100 * brute.edit_distance(x, y) <= 20 * max(len(x), len(y))
+    again = {k for k in range(len(lines)) if any(near(lines[j], lines[k]) for j in range(k))}
+    out = line_dedup.without_repeated_lines(table(spark, list(enumerate(lines)))).where("n_dropped > 0")
+    gone = {row["doc_id"] for row in out.collect()}
+    assert gone <= again and len(gone) >= 0.85 * len(again) > 30
