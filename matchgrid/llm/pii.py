@@ -206,17 +206,12 @@ def _plausible(kind: int, text: str) -> bool:
 
 
 def found_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text: the base ones and the model's that overlap none of them.
-
-    A span of any kind has a digit or an @, so windows without either, or
-    neighbours of such, needn't be decoded.
-    """
+    """All spans of each text: the base ones and the model's, from all its windows, that overlap none of them."""
     windows, where = [], []
     for n, text in enumerate(texts):
-        hot = sorted({k for m in _SIGNAL.finditer(text) for k in ((m.start() - WINDOW) // STRIDE + 1, m.start() // STRIDE) if k >= 0} | set())
-        for k in sorted({j for k in hot for j in (k, k + 1) if j * STRIDE < len(text)}):
-            windows.append(text[k * STRIDE : k * STRIDE + WINDOW])
-            where.append((n, k * STRIDE))
+        for start in range(0, len(text), STRIDE):
+            windows.append(text[start : start + WINDOW])
+            where.append((n, start))
     mine: list[dict[int, list[list[int]]]] = [{} for _ in texts]
     for lo in range(0, len(windows), 512):
         x = np.full((len(windows[lo : lo + 512]), WINDOW), SYMBOLS - 1)

@@ -183,6 +183,33 @@ def test_personal_data_model(spark):
     assert pii.personal_data(table(spark, texts).limit(0), model).count() == 0
 
 
+def test_personal_data_model_sees_every_window():
+    """A model that tags each window shows which ones it is given."""
+
+    class Counting:
+        seen = 0
+
+        def decode(self, x):
+            self.seen += len(x)
+            return np.zeros(x.shape, np.int64)
+
+    class Addresses:
+        def decode(self, x):
+            tags = np.zeros(x.shape, np.int64)
+            at = [pii._CODES[c] for c in "maria.keller at example.com"]
+            for row, out in zip(x.tolist(), tags):
+                for k in range(len(row) - len(at) + 1):
+                    if row[k : k + len(at)] == at:
+                        out[k], out[k + 1 : k + len(at)] = 1, 2
+            return tags
+
+    counting, text = Counting(), "no signs here " * 50 + "write to maria.keller at example.com please"
+    pii.found_spans([text, ""], counting)
+    assert counting.seen == -(-len(text) // pii.STRIDE)
+    s = text.index("maria")
+    assert pii.found_spans([text], Addresses()) == [[(s, 0, s + len("maria.keller at example.com"))]]
+
+
 def test_secrets(spark):
     trees = secrets.train(secrets.example_findings(spark, 2400))
     key = "AKIA" + "ABCD2345EFGH6789"
