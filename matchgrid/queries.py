@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import config
 from .functions import basketball as bb, betting as bet, text
@@ -466,6 +466,25 @@ def _paths_sql(won: str) -> str:
     )
 
 
+#: Paths of a whole simulation.
+_SIMULATIONS = 10_000
+
+
+def _all_bets(spark, sf):
+    """Every settled HOME bet, numbered by id from 0: places within ranges of ids, and the ranges' offsets."""
+    rows = view(spark, sf, "predictions").where("bet_side = 'HOME' and home_won is not null")
+    rows = rows.repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("place"), F.col("model_home_prob").alias("model_prob"), F.col("market_home_prob").alias("market_prob"), F.col("home_won").alias("won"))
+    rows = rows.withColumn("part", F.shiftright("place", 33)).persist()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    idx = F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("offset")
+    return rows.join(F.broadcast(offsets), "part").select(idx.alias("idx"), "model_prob", "market_prob", "won")
+
+
+def _all_paths(spark, sf, mode):
+    return sim.bankroll_paths(_all_bets(spark, sf), _SIMULATIONS, mode)
+
+
 def _paths(spark, sf, mode):
     out = sim.bankroll_paths(_bets(spark, sf), 200, mode)
     return rounded(out.select("sim", F.ln("final_bankroll").alias("log_final"), "max_drawdown", "n_bets"))
@@ -483,7 +502,17 @@ def montecarlo_empirical(spark, sf):
 
 @query()
 def montecarlo_summary(spark, sf):
-    return rounded(sim.simulation_summary(sim.bankroll_paths(_bets(spark, sf), 200, "empirical")))
+    return rounded(sim.simulation_summary(_all_paths(spark, sf, "empirical")))
+
+
+@query()
+def montecarlo_market_null_all(spark, sf):
+    return rounded(_all_paths(spark, sf, "market_right"))
+
+
+@query()
+def montecarlo_empirical_all(spark, sf):
+    return rounded(_all_paths(spark, sf, "empirical"))
 
 
 @query()

@@ -263,3 +263,20 @@ def test_exposure_and_curve(spark):
     assert mt.capped_stakes(rows.withColumn("f", F.col("bet_size") / 10), "date", "f").groupBy("date").agg(F.sum("capped").alias("s")).agg(F.max("s")).first()[0] <= config.MAX_EXPOSURE + 1e-9
     assert 0 <= mt.max_drawdown(mt.bankroll_curve(rows)).first()[0]
     assert mt.calibration_error(mt.calibration_bins(rows, "model_home_prob", F.col("home_won"))).first()[0] > 0
+
+
+def test_whole_simulations_take_every_settled_bet(spark, monkeypatch):
+    from matchgrid import queries as q
+
+    rows = [(i, side, 0.6, 0.5 + i / 1e5, won) for i in range(1, 2001) for side, won in [(("HOME", "AWAY", "NO BET", "HOME")[i % 4], None if i % 7 == 0 else i % 2 == 0)]]
+    table = spark.createDataFrame(rows, "id long, bet_side string, model_home_prob double, market_home_prob double, home_won boolean").repartition(5)
+    monkeypatch.setattr(q, "view", lambda *_: table)
+    expected = [(r[3], r[4]) for r in rows if r[1] == "HOME" and r[4] is not None]
+    got = sorted(q._all_bets(spark, "").collect(), key=lambda r: r["idx"])
+    assert [r["idx"] for r in got] == list(range(len(expected))) and [(r["market_prob"], r["won"]) for r in got] == expected
+    asked = []
+    monkeypatch.setattr(q.sim, "bankroll_paths", lambda bets, n, mode: asked.append((bets.count(), n, mode)) or spark.range(0))
+    monkeypatch.setattr(q.sim, "simulation_summary", lambda paths: paths)
+    for name in ("montecarlo_summary", "montecarlo_empirical_all", "montecarlo_market_null_all"):
+        q.QUERIES[name](spark, "")
+    assert asked == [(len(expected), 10_000, m) for m in ("empirical", "empirical", "market_right")]
