@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Tokens with a digit; values that follow = or : ; headers of private keys.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
     r"|(?<![A-Za-z0-9_+/\-])(?:(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
-    r"|(?<=[=:][\"' ]{0,2})(?![A-Za-z]+(?![!-~]))[!-~&&[^\"',;<>()]]{8,})"
+    r"|(?<=[=:][\"' ]{0,2})[!-~&&[^\"',;<>()]]{8,})"
 )
 #: Characters of a candidate's surroundings that are looked at.
 AROUND = 40
@@ -63,8 +63,9 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """Labelled findings (before, candidate, after, label) made up from hashes of 0 to n - 1.
 
     Stands in for reviewed findings, which the tables here don't have: known
-    formats and assigned random strings are secrets; numbers, versions, paths,
-    digests, dates and compound words aren't.
+    formats, assigned random strings and assigned passphrases of letters are
+    secrets; numbers, versions, paths, digests, dates, compound words and plain
+    words after a colon aren't.
     """
     i = F.col("id")
     h = lambda k: F.sha2(F.concat_ws("-", i.cast("string"), F.lit(str(k))), 256)
@@ -74,6 +75,8 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     digits = F.translate(h(2), "abcdef", "012345")
     cut = lambda c, least, span: c.substr(F.lit(1), F.lit(least) + num(9, span))
     word = F.concat(pick(3, "summer", "winter", "report", "gallery", "release", "product", "annual", "banner"), pick(4, "-", "_", ""), pick(5, "image", "photo", "version", "draft", "index", "page", "large", "final"))
+    letters = F.translate(alnum, "0123456789", "qWeRtYuIoP")
+    noun = lambda k: F.initcap(pick(k, "correct", "horse", "battery", "staple", "purple", "monkey", "dragon", "silver", "castle", "window"))
     keyed = pick(6, "password=", "passwd: ", 'token = "', 'secret_key="', "api_key=", "API_KEY: ", "Authorization: Bearer ", "auth_token='", 'password = "')
     plain = pick(7, "see ", "of the ", "and ", "in ", "\n", "was ")
     cases = [
@@ -82,6 +85,10 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.lit(1.0), keyed, cut(alnum, 12, 30)),
         (F.lit(1.0), pick(8, keyed, plain), F.concat(pick(10, "ghp_", "sk_live_", "glpat-", "xoxb-"), alnum.substr(1, 32))),
         (F.lit(1.0), keyed, F.concat(alnum.substr(1, 8), pick(11, "!", "#", "$", "%"), digits.substr(1, 3))),
+        (F.lit(1.0), keyed, cut(letters, 10, 30)),
+        (F.lit(1.0), keyed, F.concat(noun(15), noun(16), noun(17))),
+        (F.lit(1.0), plain, F.concat(F.lit("-----BEGIN "), pick(18, "PGP ", "RSA ", "EC ", ""), F.lit("PRIVATE KEY"), pick(19, "", " BLOCK"), F.lit("-----"))),
+        (F.lit(0.0), pick(8, "note: ", "title=", "author: ", "subject: ", "see: ", "address: "), pick(20, "something", "different", "important", "according", "available", "President", "Department", "yesterday", "Wednesday", "information", "following", "Christopher")),
         (F.lit(0.0), pick(8, plain, "card ", "tel: ", "order #", "id="), cut(digits, 12, 8)),
         (F.lit(0.0), pick(8, "commit ", "sha1: ", "md5=", "checksum: ", "uuid=", 'etag="', "sha256:"), cut(h(1), 32, 33)),
         (F.lit(0.0), pick(8, "https://example.com/", "/static/img/", "src=/assets/", "./docs/"), F.concat(word, pick(12, "-", "_", ""), digits.substr(1, 4))),

@@ -219,3 +219,11 @@ def test_secrets(spark):
     s, e = map(int, out[3]["secrets"].split(":"))
     assert texts[3][s:e] == key and out[7]["secrets"] == f"0:{len(key)}"
     assert secrets.secret_scan(table(spark, texts).limit(0), trees).count() == 0
+
+
+def test_secrets_of_letters_only(spark):
+    trees = secrets.train(secrets.example_findings(spark))
+    texts = ["password=CorrectHorseBattery\n", "password = QwErTyUiOpAsDf and", "api_key: abcdEFGHijklMNOPqrstUVWX\n", "-----BEGIN PGP PRIVATE KEY BLOCK-----", "note: something else", "the author: Christopher wrote"]
+    out = {r["doc_id"]: r for r in secrets.secret_scan(table(spark, texts), trees).collect()}
+    assert [out[i]["n_candidates"] for i in range(6)] == [1] * 6
+    assert [out[i]["n_secrets"] for i in range(6)] == [1, 1, 1, 1, 0, 0] and out[0]["secrets"] == "9:28"
