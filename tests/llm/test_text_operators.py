@@ -130,36 +130,48 @@ def test_line_dedup(spark, docs):
 
 
 def test_line_dedup_against_all_pairs(spark, docs):
+    """Edit similarity of all pairs of lines, without blocks: no other line goes, and nearly all of those do."""
+    import random
+
+    import duckdb
     import numpy as np
 
-    rows = docs[:120]
+    rows = [(i, t) for i, t in docs if max(map(len, t.split("\n"))) <= 250][:100]
+    r = random.Random(5)
+
+    def changed(line):
+        k = r.randrange(len(line) + 1)
+        return line[:k] + r.choice("xyz") + line[k + r.randrange(4) :]
+
+    rows += [(100_000 + i, "\n".join(map(changed, t.split("\n")))) for i, t in rows]
     out = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(table(spark, rows)).collect()}
-    seen, sims, places = {}, {}, []
     normal = spark.createDataFrame([(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))], "i long, k int, x string").select("i", "k", line_dedup.normalised(F.col("x")).alias("own")).collect()
     own = {(r["i"], r["k"]): r["own"] for r in normal}
+    seen, places = {}, []
     for i, t in sorted(rows):
-        has, keys, sim = line_dedup.line_signatures(t.encode())
+        has, keys, sizes, _ = line_dedup.line_signatures(t.encode())
         for n, k in enumerate(np.flatnonzero(has)):
             text = own[i, int(k)]
             places.append((i, int(k), text))
             seen.setdefault(text, (i, int(k)))
-            sims[text] = np.ascontiguousarray(sim[n]).view(np.int32)
-            assert keys[n].tobytes() == line_dedup.line_signatures(text.encode())[1][0].tobytes()
-    texts = sorted(sims, key=seen.get)
-    links = []
-    for a in range(len(texts)):
-        for b in range(a + 1, len(texts)):
-            x, y = texts[a], texts[b]
-            if (sims[x] == sims[y]).any() and 100 * brute.edit_distance(x, y) <= 20 * max(len(x), len(y)):
-                links.append((a, b))
+            assert sizes[n] == len(text) and keys[n].tobytes() == line_dedup.line_signatures(text.encode())[1][0].tobytes()
+    texts = sorted(seen, key=seen.get)
+    db = duckdb.connect()
+    db.execute("create table t as select unnest(range(?)) as i, unnest(?) as x", [len(texts), texts])
+    links = db.execute("select a.i, b.i from t a join t b on a.i < b.i and 100 * least(length(a.x), length(b.x)) >= 80 * greatest(length(a.x), length(b.x)) where 100 * levenshtein(a.x, b.x) <= 20 * greatest(length(a.x), length(b.x))").fetchall()
     group = brute.components(range(len(texts)), links)
     number = {t: k for k, t in enumerate(texts)}
     first = {g: seen[texts[g]] for g in set(group.values())}
-    expected = {}
+    wrong = missed = found = 0
     for i, t in rows:
         gone = {k for d, k, x in places if d == i and first[group[number[x]]] != (i, k)}
-        expected[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-    assert out == expected and sum(len(t) for t in expected.values()) < sum(len(t) for _, t in rows)
+        every, left = t.split("\n"), out[i].split("\n") if out[i] or len(gone) < t.count("\n") + 1 else []
+        expected = [x for k, x in enumerate(every) if k not in gone]
+        missed += max(0, len(left) - len(expected))
+        wrong += len(set(expected) - set(left))
+        found += len(every) - len(left)
+    # Links through lines in no block but one's own may move a group's first line, never lose one.
+    assert found > 50 and missed <= 0.05 * (found + missed) and wrong <= missed
 
 
 def test_line_dedup_finds_what_edit_similarity_finds(spark):
@@ -178,4 +190,4 @@ def test_line_dedup_finds_what_edit_similarity_finds(spark):
     again = {k for k in range(len(lines)) if any(near(lines[j], lines[k]) for j in range(k))}
     out = line_dedup.without_repeated_lines(table(spark, list(enumerate(lines)))).where("n_dropped > 0")
     gone = {row["doc_id"] for row in out.collect()}
-    assert gone <= again and len(gone) >= 0.85 * len(again) > 30
+    assert gone <= again and len(gone) >= 0.98 * len(again) > 30
