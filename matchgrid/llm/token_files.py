@@ -107,16 +107,18 @@ class _Encoder(dict):
     """Ids of pre-tokens by the tokenizers library, each worked out once.
 
     A byte-level tokenizer without a normaliser treats pre-tokens on their own,
-    so a text's ids are those of its pre-tokens, one after the other.
+    so a text's ids are those of its pre-tokens, one after the other. Texts that
+    hold an added token (an end-of-text mark, say), which the library cuts out
+    first, are encoded whole.
     """
 
     def __init__(self, definition: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         own = json.loads(definition)
+        self.added = [t["content"] for t in own.get("added_tokens") or []]
         before = own.get("pre_tokenizer") or {}
         self.apart = own.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.split, self.code = Splitter(pattern), "H" if self.width == 2 else "I"
@@ -133,7 +135,7 @@ class _Encoder(dict):
         return out
 
     def encode(self, text: str):
-        if not self.apart:
+        if not self.apart or any(t in text for t in self.added):
             yield self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
             return
         for piece in self.split.pieces(text):
@@ -162,7 +164,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id
     n_tokens and start (ids of all documents before it). A null text is empty
     and leaves only the end id; rows with a null id come first; repeated ids
     stand side by side in an order of their texts; an empty table has an empty
-    index and no files. Other columns are left out.
+    index and no files. Other columns are left out. Ids are those of the
+    library's encode(text, add_special_tokens=False): an added token's string in
+    a text gives that token's id.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
