@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,7 +67,6 @@ def test_token_files(spark, texts):
     index = token_files.write_token_files(table(spark, texts), path, P.PATTERN, end_id=2)
     out = {r["doc_id"]: r for r in token_files.read_token_files(index).collect()}
     library, start = Tokenizer.from_file(path), 0
-    library.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = library.encode(t or "", add_special_tokens=False).ids + [2]
         assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -153,61 +154,86 @@ def test_personal_data_patterns():
     assert found == [("email", "a.b+c@x-y.example.com"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567"), ("email", "c@d.e")]
 
 
-def test_personal_data_patterns_are_those_of_the_contract():
-    import random
-    import re
-
+def contract_spans(t):
+    """Base spans as the contract's patterns give them."""
     whole = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    found = []
+    for k, p in enumerate(whole):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m.group())
+            fits = (True, all(int(x) <= 255 for x in m.group().split(".")) if k == 1 else True, 14 <= len(d) <= 19 and pii.luhn(d), 10 <= len(d) <= 15)
+            if fits[k]:
+                found.append((m.start(), k, m.end()))
+    return sorted(found)
+
+
+def test_personal_data_patterns_are_those_of_the_contract():
     random.seed(4)
     for _ in range(4000):
         t = "".join(random.choice("ab.@@-+ 0123456789().%_é\n" if random.random() < 0.7 else "1234567890. -") for _ in range(random.randint(0, 60)))
-        expected = []
-        for k, p in enumerate(whole):
-            for m in re.finditer(p, t):
-                d = re.sub("[^0-9]", "", m.group())
-                fits = (True, all(int(x) <= 255 for x in m.group().split(".")) if k == 1 else True, 14 <= len(d) <= 19 and pii.luhn(d), 10 <= len(d) <= 15)
-                if fits[k]:
-                    expected.append((m.start(), k, m.end()))
-        assert pii.base_spans(t) == sorted(expected), t
-
-
-def test_personal_data_model(spark):
-    x, y = pii.labelled_windows(["some words in a text of the corpus"] * 3, n=1500)
-    model = pii.Tagger().fit(x[:1300], y[:1300], steps=160)
-    tags = model.decode(x[1300:])
-    hit = ((tags > 0) & (y[1300:] > 0)).sum() / (y[1300:] > 0).sum()
-    assert hit > 0.8
-    texts = [None, "", "plain words only", "call (555) 123-4567 now or write to me@example.com " * 3, "é" * 70 + " 10.0.0.1"]
-    out = {r["doc_id"]: r for r in pii.personal_data(table(spark, texts), model).collect()}
-    assert out[0]["spans"] == out[2]["spans"] == "" and out[3]["n_email"] == 3 and "email:" in out[3]["spans"] and out[4]["spans"].startswith("ip:71:79")
-    assert pii.personal_data(table(spark, texts).limit(0), model).count() == 0
-
-
-def test_personal_data_model_sees_every_window():
-    """A model that tags each window shows which ones it is given."""
-
-    class Counting:
-        seen = 0
+        assert pii.base_spans(t) == contract_spans(t), t
 
-        def decode(self, x):
-            self.seen += len(x)
-            return np.zeros(x.shape, np.int64)
 
-    class Addresses:
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_personal_data_model_on_held_out_texts(spark, tagger, monkeypatch):
+    """Spans of the model alone, in texts that it wasn't fitted to, have to be exactly those that are labelled."""
+    words = pii.context_words(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 1"))
+    assert 500 < len(words) <= pii.MAX_CONTEXT_WORDS
+    held = pii.labelled_texts(words, 400, seed=99, size=300)
+    monkeypatch.setattr(pii, "base_spans", lambda _: [])
+    found = pii.found_spans([t for t, _ in held], tagger)
+    right = sum(len(set(spans) & set(own)) for (_, spans), own in zip(held, found, strict=True))
+    assert right >= 0.95 * sum(map(len, found)) and right >= 0.9 * sum(len(spans) for _, spans in held)
+
+
+def test_personal_data_needs_no_other_windows(spark, tagger):
+    """What is found near candidates is what is found where every window is decoded."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()][:60]
+    texts += [t for t, _ in pii.labelled_texts(["ab", "at", "word", "é"], 150, seed=5, size=700)] + ["", "at", "7" * 500, "a at b.c " * 40, "+1 " * 90]
+    near, every = pii.found_spans(texts, tagger), pii.found_spans(texts, tagger, every=True)
+    assert near == every and sum(map(len, near)) > 500
+    for t, own in zip(texts, near, strict=True):
+        base = contract_spans(t)
+        assert set(base) <= set(own) and own == sorted(own)
+        more = sorted(set(own) - set(base))
+        assert all(e <= a or s >= b for s, _, e in more for a, _, b in base) and all(x[2] <= y[0] for x, y in zip(more, more[1:]))
+
+
+def test_personal_data_joins_no_neighbours():
+    """Two spans, one in each of two windows, stay two."""
+
+    class Phones:
         def decode(self, x):
             tags = np.zeros(x.shape, np.int64)
-            at = [pii._CODES[c] for c in "maria.keller at example.com"]
-            for row, out in zip(x.tolist(), tags):
-                for k in range(len(row) - len(at) + 1):
-                    if row[k : k + len(at)] == at:
-                        out[k], out[k + 1 : k + len(at)] = 1, 2
+            text = ["".join("7" if c == pii._CODES["7"] else "-" if c == pii._CODES["-"] else " " for c in row) for row in x.tolist()]
+            for row, t in zip(tags, text):
+                for m in re.finditer(r"777-777-7777", t):
+                    row[m.start()], row[m.start() + 1 : m.end()] = 7, 8
             return tags
 
-    counting, text = Counting(), "no signs here " * 50 + "write to maria.keller at example.com please"
-    pii.found_spans([text, ""], counting)
-    assert counting.seen == -(-len(text) // pii.STRIDE)
-    s = text.index("maria")
-    assert pii.found_spans([text], Addresses()) == [[(s, 0, s + len("maria.keller at example.com"))]]
+    for lead in range(0, 120, 7):
+        t = "x" * lead + " 777-777-7777 y 777-777-7777 z"
+        assert pii.found_spans([t], Phones()) == [[(lead + 1, 3, lead + 13), (lead + 16, 3, lead + 28)]]
+
+
+def test_personal_data(spark, tagger):
+    """All columns of the query, odd rows among them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id < 150").collect()
+    rows = [(r[0], r[1]) for r in rows] + [(None, "me@example.com"), (None, None), (3, "me@example.com"), (3, "me@example.com"), (4, ""), (5, "call (555) 123-4567 now " * 9000 + "1.2.3.4")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")
+    out = [tuple(r) for r in pii.personal_data(docs, tagger).collect()]
+    listed = lambda own: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in own)
+    expected = []
+    for (i, t), every in zip(rows, pii.found_spans([t or "" for _, t in rows], tagger), strict=True):
+        base = contract_spans(t or "")
+        expected.append((i, *(sum(k == n for _, k, _ in base) for n in range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)))
+    assert sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == sorted(expected, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+    assert sum(sum(r[1:5]) for r in out) > 5 and pii.personal_data(docs.limit(0), tagger).count() == 0
+    assert any(r[6].count("phone") > 7000 for r in out)
 
 
 def test_secrets(spark):
