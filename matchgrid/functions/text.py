@@ -20,6 +20,24 @@ NICKNAMES = [
 # Abbreviations of one feed that differ from the other's.
 FEED_ABBREVIATIONS = {"GS": "GSW", "NO": "NOP", "NY": "NYK", "SA": "SAS", "UTAH": "UTA", "WSH": "WAS"}
 
+# Labels of statistics, and of features that aren't named by a rule.
+STAT_LABELS = {
+    "pts": "scoring", "pts_against": "opponent scoring", "net_rtg_game": "net rating", "fg_pct": "field-goal %", "fg3_pct": "3-point %",
+    "oreb": "offensive rebounds", "dreb": "defensive rebounds", "ast": "assists", "tov": "turnovers", "plus_minus": "plus/minus",
+    "efg_pct": "effective FG %", "tov_pct": "turnover rate", "orb_pct": "offensive rebound rate", "ft_rate": "FT rate", "pyth": "Pythagorean win%",
+}
+FEATURE_LABELS = {
+    "elo_diff": "Elo differential", "elo_home_prob": "Elo win probability", "home_elo": "home Elo", "away_elo": "away Elo", "rest_diff": "rest-day differential",
+    "home_injury_impact_out": "home injury impact (out/doubtful)", "away_injury_impact_out": "away injury impact (out/doubtful)", "injury_impact_diff": "injury impact differential",
+    "home_missing_minutes_pct": "home missing minutes %", "away_missing_minutes_pct": "away missing minutes %", "home_star_out": "home star player out", "away_star_out": "away star player out",
+    "diff_missing_minutes_pct": "missing-minutes differential", "diff_available_talent": "available-talent differential",
+    "spread_movement": "spread line movement", "prob_movement": "implied-prob line movement", "odds_disagreement": "Polymarket vs ESPN odds disagreement",
+    "diff_plus_minus_venue_roll_10": "10-game venue-split +/- differential", "diff_plus_minus_venue_roll_20": "20-game venue-split +/- differential",
+    "diff_net_rtg_game_venue_roll_10": "10-game venue-split net rating differential", "diff_net_rtg_game_venue_roll_20": "20-game venue-split net rating differential",
+    "diff_fg3_pct_b2b_roll_5": "5-game back-to-back 3PT% differential", "diff_fg3_pct_b2b_roll_10": "10-game back-to-back 3PT% differential",
+    "is_conference_game": "conference matchup", "is_division_game": "division matchup", "home_ats_record_pct": "home against-the-spread record", "away_ats_record_pct": "away against-the-spread record",
+}
+
 # Words in titles of events that aren't single games.
 NOT_GAMES = ["champion", "mvp", "rookie", "playoffs", "division", "record", "season", "draft", "will ", "retire", "over or under"]
 
@@ -33,6 +51,12 @@ def nickname_abbreviation(name: Column) -> Column:
     return F.coalesce(exact, inside)
 
 
+def nickname_among(text: Column, *teams: Column) -> Column:
+    """The abbreviation of the first nickname in a lower-cased text that is one of these teams; null if none is."""
+    table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(a).alias("a")) for n, a in NICKNAMES))
+    return F.get(F.filter(table, lambda x: F.contains(text, x["n"]) & x["a"].isin(*teams)), F.lit(0))["a"]
+
+
 def title_teams(title: Column) -> Column:
     """Struct (first, second) of the two teams of a title such as "A vs. B"; null if they can't be told apart."""
     parts = F.split(title, r"\s+vs\.?\s+", 2)
@@ -68,6 +92,24 @@ def compact_date(day: Column) -> Column:
     return F.date_format(day, "yyyyMMdd")
 
 
+def feature_label(name: Column) -> Column:
+    """What to call a feature in a sentence: a label of its own, else by its parts, else its name with spaces."""
+    table = lambda values: F.create_map(*map(F.lit, chain.from_iterable(values.items())))
+    spaced = F.replace(name, F.lit("_"), F.lit(" "))
+    part = lambda n: F.regexp_extract(name, r"^(home|away|diff)_(.*)_roll_(.*?)$", n)
+    side, stat, width = (part(n) for n in (1, 2, 3))
+    label = F.coalesce(F.try_element_at(table(STAT_LABELS), stat), F.replace(stat, F.lit("_"), F.lit(" ")))
+    own = F.concat(width, F.lit("-game "), label)
+    return (
+        F.coalesce(F.try_element_at(table(FEATURE_LABELS), name),
+        F.when(name.rlike("^(home|away)_rest_"), spaced)
+        .when(name.isin("home_is_back_to_back", "away_is_back_to_back"), F.concat(F.substring(name, 1, 4), F.lit(" on back-to-back")))
+        .when(side == "diff", F.concat(own, F.lit(" differential")))
+        .when(side != "", F.concat(side, F.lit(" "), own))
+        .otherwise(spaced))
+    )
+
+
 def feed_abbreviation(abbr: Column) -> Column:
     table = F.create_map(*map(F.lit, chain.from_iterable(FEED_ABBREVIATIONS.items())))
     return F.coalesce(F.try_element_at(table, abbr), abbr)

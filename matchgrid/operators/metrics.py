@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
 from ..functions import betting as bet
+from ..scratch import written
 
 BETS = "bet_side <> 'NO BET'"
 
@@ -75,6 +76,11 @@ def clv_detail(rows: DataFrame) -> DataFrame:
     return rows.where(BETS).select("id", "date", "bet_side", own("market_home_prob").alias("bet_price"), own("closing_market_prob").alias("close_price"), "clv", result.alias("result"))
 
 
+def recent_values(detail: DataFrame, k: int = 20) -> DataFrame:
+    """The last k bets of clv_detail that have a closing price, the newest first."""
+    return detail.where("clv is not null").orderBy(F.desc("date"), F.desc("id")).limit(k)
+
+
 def bankroll_curve(rows: DataFrame, start: float = config.BANKROLL) -> DataFrame:
     """Running bankroll after each day of settled bets.
 
@@ -118,7 +124,30 @@ def capped_stakes(rows: DataFrame, slate: str, fraction: str, cap: float = confi
     return rows.withColumn("capped", F.when(total > cap, F.col(fraction) * cap / total).otherwise(F.col(fraction)))
 
 
+QUANTILES = (5, 25, 50, 75, 95)
+
+
 def quantiles(rows: DataFrame, x: str) -> DataFrame:
-    q = F.percentile(x, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = rows.agg(q.alias("q"), F.avg(x).alias("mean"), F.max(x).alias("max"))
-    return out.select(*(F.col("q")[i].alias(f"pct_{p}") for i, p in enumerate((5, 25, 50, 75, 95))), "mean", "max")
+    """Quantiles of a column by linear interpolation, with mean and maximum, as one row; nulls don't count.
+
+    Values are sorted over ranges of them and written; the counts of the ranges,
+    one number each, tell which rows are wanted, so no task holds them all.
+    """
+    own = rows.select(F.col(x).cast("double").alias("x")).where("x is not null").repartitionByRange("x").sortWithinPartitions("x")
+    own = written(own.select("x", F.monotonically_increasing_id().alias("place")), "quantiles")
+    sizes = sorted((r["part"], r["n"]) for r in own.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each range
+    n = sum(size for _, size in sizes)
+
+    def place_of(rank: int) -> int:
+        for part, size in sizes:
+            if rank < size:
+                return (part << 33) + rank
+            rank -= size
+        raise IndexError(rank)
+
+    at = {q: (int(q * (n - 1) // 100), q * (n - 1) % 100 / 100) for q in QUANTILES} if n else {}
+    places = {k: place_of(k) for low, part in at.values() for k in ((low, low + 1) if part else (low,))}
+    found = {r["place"]: r["x"] for r in own.where(F.col("place").isin(*places.values())).collect()} if n else {}
+    value = lambda low, part: found[places[low]] + (part * (found[places[low + 1]] - found[places[low]]) if part else 0.0)
+    known = {f"pct_{q}": F.lit(value(*at[q]) if n else None).cast("double") for q in QUANTILES}
+    return own.agg(F.avg("x").alias("mean"), F.max("x").alias("max")).select(*(v.alias(k) for k, v in known.items()), "mean", "max")

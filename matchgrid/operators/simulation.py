@@ -6,10 +6,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
 from ..functions import betting as bet
+from ..scratch import written
 from .metrics import quantiles
 
 #: A multiplicative generator that both SQL dialects can compute exactly.
@@ -25,28 +27,76 @@ def uniform(*parts: Column) -> Column:
     return mixed / F.lit(float(MODULUS))
 
 
+#: Bets up to which every task gets all of them (24 bytes each).
+BROADCAST_BETS = 2_000_000
+
+
 def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_bets: int | None = None) -> DataFrame:
     """Final bankroll and largest drawdown of each simulated sequence of bets.
 
     bets has idx (0 to n - 1), model_prob, market_prob and won. Each step draws a
     bet with replacement; it is won as it was (``empirical``) or with the
     market's probability (``market_right``). Draws follow from (sim, step), so a
-    repeated task draws the same; sequences are ordered windows, one for each
-    simulation.
+    repeated task draws the same. Simulations are dealt out to tasks, which get
+    all bets where those are few (see BROADCAST_BETS); else draws meet bets in a
+    join and a simulation's steps in an ordered window.
     """
     if mode not in ("empirical", "market_right"):
         raise ValueError(f"unknown mode {mode!r}")
-    size = bets.agg(F.count("*").alias("n_source"))
-    spark = bets.sparkSession
-    steps = F.broadcast(size).select(F.explode(F.sequence(F.lit(0), (F.lit(n_bets) if n_bets else F.col("n_source")) - 1)).alias("step"), "n_source")
-    draws = spark.range(n_sims).withColumnRenamed("id", "sim").crossJoin(steps)  # simulations x steps is the work itself
-    draws = draws.withColumn("idx", F.floor(uniform(F.col("sim"), F.col("step")) * F.col("n_source")).cast("long"))
-    rows = draws.join(bets, "idx")
     f = bet.kelly(F.col("model_prob"), F.col("market_prob"))
+    logs = bets.select("idx", "market_prob", F.col("won").cast("boolean").alias("won"), F.ln(1 + f * (1 / F.col("market_prob") - 1)).alias("up"), F.ln(1 - f).alias("down"))
+    logs = written(logs, "bets")
+    n_source = logs.count()
+    steps = n_source if n_bets is None else n_bets
+    if not n_source or not steps:
+        return bets.sparkSession.createDataFrame([], PATHS)
+    few = n_source <= BROADCAST_BETS
+    return (_paths_in_tasks if few else _paths_by_windows)(logs, n_source, n_sims, steps, mode)
+
+
+PATHS = "sim long, final_bankroll double, max_drawdown double, n_bets long"
+
+
+def _paths_in_tasks(logs: DataFrame, n_source: int, n_sims: int, steps: int, mode: str) -> DataFrame:
+    spark = logs.sparkSession
+    own = logs.toPandas().sort_values("idx")  # at most BROADCAST_BETS rows
+    shared = spark.sparkContext.broadcast(tuple(own[c].to_numpy() for c in ("market_prob", "won", "up", "down")))
+
+    def uniform_of(*parts):
+        x = sum(p * k for p, k in zip(parts, (7919, 104729, 1299709), strict=False)) + 12345
+        x = x % MODULUS
+        for _ in range(3):
+            x = x * FACTOR % MODULUS
+        return x / float(MODULUS)
+
+    def work(batches):
+        price, won, up, down = shared.value
+        for batch in batches:
+            out = []
+            for sim in batch.column(0).to_pylist():
+                value, peak, fall = 0.0, config.BANKROLL, 0.0
+                for lo in range(0, steps, 1 << 20):
+                    step = np.arange(lo, min(steps, lo + (1 << 20)), dtype=np.int64)
+                    idx = np.floor(uniform_of(np.int64(sim), step) * n_source).astype(np.int64)
+                    win = won[idx].astype(bool) if mode == "empirical" else uniform_of(step, np.int64(sim), np.int64(7)) < price[idx]
+                    path = np.cumsum(np.concatenate([[value], np.where(win, up[idx], down[idx])]))[1:]
+                    money = config.BANKROLL * np.exp(path)
+                    peaks = np.maximum.accumulate(np.concatenate([[peak], money]))[1:]
+                    value, peak, fall = path[-1], peaks[-1], max(fall, float(((peaks - money) / peaks).max()))
+                out.append((sim, config.BANKROLL * float(np.exp(value)), fall, steps))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["sim", "final_bankroll", "max_drawdown", "n_bets"])
+
+    tasks = max(1, min(n_sims, 8 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n_sims, 1, tasks).mapInArrow(work, PATHS)
+
+
+def _paths_by_windows(logs: DataFrame, n_source: int, n_sims: int, steps: int, mode: str) -> DataFrame:
+    spark = logs.sparkSession
+    draws = spark.range(n_sims).withColumnRenamed("id", "sim").select("sim", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))  # simulations x steps is the work itself
+    rows = draws.withColumn("idx", F.floor(uniform(F.col("sim"), F.col("step")) * n_source).cast("long")).join(logs, "idx")
     won = F.col("won") if mode == "empirical" else uniform(F.col("step"), F.col("sim"), F.lit(7)) < F.col("market_prob")
-    factor = F.when(won, 1 + f * (1 / F.col("market_prob") - 1)).otherwise(1 - f)
     path = Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    value = config.BANKROLL * F.exp(F.sum(F.ln(factor)).over(path))
+    value = config.BANKROLL * F.exp(F.sum(F.when(won, F.col("up")).otherwise(F.col("down"))).over(path))
     rows = rows.select("sim", "step", value.alias("bankroll"))
     peak = F.greatest(F.lit(config.BANKROLL), F.max("bankroll").over(path))
     rows = rows.withColumn("fall", (peak - F.col("bankroll")) / peak)
@@ -54,6 +104,7 @@ def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_b
 
 
 def simulation_summary(paths: DataFrame) -> DataFrame:
+    paths = written(paths, "paths")
     growth = F.ln(F.greatest(F.col("final_bankroll"), F.lit(1e-9)) / config.BANKROLL) / F.col("n_bets")
     more = paths.agg(
         F.count("*").alias("n_simulations"),
@@ -62,10 +113,17 @@ def simulation_summary(paths: DataFrame) -> DataFrame:
         F.percentile("max_drawdown", F.lit(0.5)).alias("median_max_drawdown"),
         F.max("max_drawdown").alias("worst_max_drawdown"),
         F.avg(growth).alias("mean_log_growth_per_bet"),
+        F.percentile(growth, F.lit(0.5)).alias("median_log_growth_per_bet"),
     )
     return quantiles(paths, "final_bankroll").crossJoin(more)  # one row each
 
 
+def skill_gap(empirical: DataFrame, market_right: DataFrame) -> DataFrame:
+    """How far simulations of what happened are above those where the market is right: per bet, and in all (one row each)."""
+    side = lambda d, s: d.select(F.col("median_log_growth_per_bet").alias(f"g{s}"), (F.col("pct_50") / config.BANKROLL - 1).alias(f"r{s}"))
+    return side(empirical, 1).crossJoin(side(market_right, 2)).select((F.col("g1") - F.col("g2")).alias("log_growth_gap"), (F.col("r1") - F.col("r2")).alias("median_roi_gap"))
+
+
 def confidence(bets: DataFrame, noise: float = 0.05, n: int = 1000) -> DataFrame:
     """Spread of the edge of single bets (id, prob, price) under Gaussian noise on the probability."""
     draws = bets.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
-from ..functions import betting as bet
+from ..functions import betting as bet, text
 
 
 def decided(rows: DataFrame, live: bool = True) -> DataFrame:
@@ -36,6 +36,32 @@ def recommendations(rows: DataFrame, slate: str, bankroll: float = config.BANKRO
     return own.withColumn("bet_size", F.col("kelly_pct") * bankroll)
 
 
+def slate_view(bets: DataFrame, margins: DataFrame | None = None, context: DataFrame | None = None, moved: DataFrame | None = None) -> DataFrame:
+    """Recommendations (see recommendations; with id, home, away, home_team_id, away_team_id, spread and over_under) as they are shown, the best edge first.
+
+    Adds, where they are given and known: predicted_spread and predicted_total
+    (two places) with picks and their edges, from margins (home_team_id,
+    away_team_id, predicted_spread, predicted_total); home_trend and away_trend
+    from context (team_id, trend); prob_movement, odds_disagreement and
+    n_snapshots from moved (by both teams); and the explanation. A game that has
+    none keeps nulls.
+    """
+    pair, c = ["home_team_id", "away_team_id"], F.col
+    out = bets
+    if margins is not None:
+        out = out.join(margins.select(*pair, "predicted_spread", "predicted_total"), pair, "left")
+        spread, total = c("predicted_spread"), c("predicted_total")
+        out = out.withColumns({"spread_pick": bet.spread_pick(spread, c("spread"), c("home"), c("away")), "total_pick": bet.total_pick(total, c("over_under")), "spread_edge": spread + c("spread"), "total_edge": total - c("over_under")})
+        out = out.withColumns({"predicted_spread": F.round(spread, 2), "predicted_total": F.round(total, 2)})
+    if context is not None:
+        for s in ("home", "away"):
+            out = out.join(context.select(c("team_id").alias(f"{s}_team_id"), c("trend").alias(f"{s}_trend")), f"{s}_team_id", "left")
+        out = out.withColumn("trend", F.when(c("side") == "HOME", c("home_trend")).otherwise(c("away_trend")))
+    if moved is not None:
+        out = out.join(moved.select(*pair, "prob_movement", "odds_disagreement", "n_snapshots"), pair, "left")
+    return explanation(out).orderBy(F.desc("edge"), "home", "away", "id")
+
+
 def with_prices(slate: DataFrame, poly: DataFrame, book: DataFrame, on: list[str]) -> DataFrame:
     """Market prices of a slate: the prediction market's, else the sportsbook's, else 0."""
     a = poly.select(*on, F.col("home_price").alias("_ph"), F.col("away_price").alias("_pa"))
@@ -89,6 +115,13 @@ def odds_coverage(rows: DataFrame, price: str) -> DataFrame:
     return rows.agg(F.avg(F.col(price).isNotNull().cast("double")).alias("coverage"))
 
 
+def win_rate_gap(bets: DataFrame) -> DataFrame:
+    """One row: bets, their realised win rate, the rate the model claimed for them, and the difference."""
+    claimed = F.when(F.col("side") == "HOME", F.col("home_prob")).otherwise(1 - F.col("home_prob"))
+    out = bets.agg(F.count("*").alias("n_bets"), F.avg(F.col("won").cast("double")).alias("realised"), F.avg(claimed).alias("claimed"))
+    return out.withColumn("gap", F.col("realised") - F.col("claimed"))
+
+
 def new_predictions(rows: DataFrame, stored: DataFrame, opening: DataFrame) -> DataFrame:
     """Predictions whose key isn't stored, with the opening line."""
     key = ["date", "home_team_id", "away_team_id"]
@@ -124,7 +157,7 @@ def explanation(rows: DataFrame) -> DataFrame:
     agreeing = F.filter(have("drivers", "array<struct<label:string,delta:double>>"), lambda d: (d["delta"] * direction > 0) & (F.abs(d["delta"]) >= 0.005))
     support = F.aggregate(agreeing, F.lit(0.0), lambda s, d: s + F.abs(d["delta"]))
     strength = F.when(support >= 0.03, "Strong").when(support >= 0.01, "Moderate").otherwise("Slight")
-    driver = F.when(F.size(agreeing) > 0, F.concat(strength, F.lit(" support from "), F.array_join(F.transform(F.slice(agreeing, 1, 2), lambda d: d["label"]), " and "), F.lit(".")))
+    driver = F.when(F.size(agreeing) > 0, F.concat(strength, F.lit(" support from "), F.array_join(F.transform(F.slice(agreeing, 1, 2), lambda d: text.feature_label(d["label"])), " and "), F.lit(".")))
     out_of = lambda n: F.array_join(F.slice(have(n, "array<string>"), 1, 3), ", ")
     foes, own = F.when(home, out_of("away_out")).otherwise(out_of("home_out")), F.when(home, out_of("home_out")).otherwise(out_of("away_out"))
     weakened = F.when(foes != "", F.concat(other, F.lit(" is weakened without "), foes, F.lit(".")))
@@ -134,5 +167,5 @@ def explanation(rows: DataFrame) -> DataFrame:
     m, apart, seen = have("prob_movement", "double"), have("odds_disagreement", "double"), have("n_snapshots", "long") >= 2
     moving = F.when(seen & (F.abs(m) > 0.03), F.concat(F.lit("The line moves "), F.when(m > 0, "to").otherwise("away from"), F.lit(" the home team ("), percent(m, "+"), F.lit(").")))
     split = F.when(seen & (apart > 0.05), F.concat(F.lit("Markets disagree by "), percent(apart), F.lit(".")))
-    text = F.when(c("side") == "NO BET", F.concat(F.lit("No significant edge between "), c("away"), F.lit(" and "), c("home"), F.lit("."))).otherwise(F.concat_ws(" ", lead, driver, weakened, missing, trend, moving, split))
-    return rows.withColumn("explanation", text)
+    words = F.when(c("side") == "NO BET", F.concat(F.lit("No significant edge between "), c("away"), F.lit(" and "), c("home"), F.lit("."))).otherwise(F.concat_ws(" ", lead, driver, weakened, missing, trend, moving, split))
+    return rows.withColumn("explanation", words)

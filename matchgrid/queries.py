@@ -10,8 +10,10 @@ from . import config
 from .functions import basketball as bb, betting as bet, text
 from .operators import injuries as inj, metrics as mt, models, odds as od, ratings, simulation as sim, windows as wn
 from .plans import features as ft, recommend as rec
-from .sources import snapshots as sn
+from .scratch import written
+from .sources import markets, snapshots as sn
 from .sources.fixtures import ctes, view
+from .streaming import odds as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,6 +156,7 @@ def team_game_rows(spark, sf):
 
 
 ODDS = ctes("odds_snapshots")
+ODDS_BODY = ODDS[ODDS.index("(") + 1 : -1]
 _GAME = "game_date, home_team_id, away_team_id"
 
 
@@ -242,13 +245,12 @@ def _players(spark, sf):
     f"{ctes('historical_injuries')}, p as (select team_id, lower(player_name) as name, 1 + player_id % 12 as depth, case when team_id % 2 = 0 then cast(player_id % 36 as double) else 0e0 end as mpg, "
     "cast(player_id % 25 + player_id % 8 + player_id % 10 as double) as talent from historical_injuries), "
     "m as (select *, case when sum(mpg) over (partition by team_id) > 0 then mpg when depth <= 5 then 30 when depth <= 10 then 15 else 5 end as mins from p), "
-    f"h as (select team_id, lower(player_name) as name, max({_MISS}) as miss from historical_injuries where player_id % 3 = 0 group by 1, 2) "
+    f"h as (select team_id, lower(player_name) as name, max({_MISS}) as miss from historical_injuries group by 1, 2) "
     f"select m.team_id, {r('sum(mins * coalesce(miss, 0)) / sum(mins)', 'missing_pct')}, coalesce(bool_or(mins >= 30 and miss >= 0.5), false) as star_out, {r('sum(talent * (1 - coalesce(miss, 0)))', 'available_talent')} "
     "from m left join h on m.team_id = h.team_id and m.name = h.name group by m.team_id"
 )
 def player_impact(spark, sf):
-    hurt = view(spark, sf, "historical_injuries").where("player_id % 3 = 0")
-    return rounded(inj.roster_impact(_players(spark, sf), hurt))
+    return rounded(inj.roster_impact(_players(spark, sf), view(spark, sf, "historical_injuries")))
 
 
 PRED = ctes("predictions")
@@ -443,81 +445,69 @@ def _mix(*parts: str) -> str:
     return f"({x} / {float(sim.MODULUS)!r}e0)"
 
 
-_NB = 200
-
-
-def _bets(spark, sf):
-    rows = view(spark, sf, "predictions").where(f"id <= {4 * _NB} and bet_side = 'HOME'")
-    return rows.selectExpr("row_number() over (order by id) - 1 as idx", "model_home_prob as model_prob", "market_home_prob as market_prob", "home_won as won").selectExpr("cast(idx as bigint) as idx", "model_prob", "market_prob", "won")
-
-
 _SIZED = """least((q - m) / (1 - m) * least(greatest(0.25 * case when q - m < 0.02 then 0.6 when q - m <= 0.08 then 1 when q - m <= 0.12 then 0.9 when q - m <= 0.2 then 0.75 else 0.5 end
  * case when abs(q - m) >= 0.2 then 0.65 when abs(q - m) >= 0.15 then 0.85 else 1 end, 0.0625), 0.3125), 0.05)"""
 
 
+#: Paths of a simulation.
+_SIMULATIONS = 10_000
+
+
 def _paths_sql(won: str) -> str:
     return (
-        f"{PRED}, b as (select row_number() over (order by id) - 1 as idx, model_home_prob as q, market_home_prob as m, home_won as won from predictions where id <= {4 * _NB} and bet_side = 'HOME'), n as (select count(*) as n from b), "
-        f"d as (select sim, step, cast(floor({_mix('sim', 'step')} * n) as bigint) as idx from (select unnest(generate_series(0, 199)) as sim), n, lateral (select unnest(generate_series(0, n - 1)) as step) t), "
-        f"f as (select sim, step, case when q > m then {_SIZED} else 0 end as f, m, {won} as w from d join b on d.idx = b.idx), "
-        "p as (select sim, step, 1000 * exp(sum(ln(case when w then 1 + f * (1 / m - 1) else 1 - f end)) over (partition by sim order by step)) as v from f), "
+        f"{PRED}, b as (select row_number() over (order by id) - 1 as idx, model_home_prob as q, market_home_prob as m, home_won as won from predictions where bet_side = 'HOME' and home_won is not null), n as (select count(*) as n from b), "
+        f"d as (select sim, step, cast(floor({_mix('sim', 'step')} * n) as bigint) as idx from (select unnest(generate_series(0, {_SIMULATIONS - 1})) as sim), n, lateral (select unnest(generate_series(0, n - 1)) as step) t), "
+        f"f as (select idx, q, m, won, case when q > m then {_SIZED} else 0 end as f from b), "
+        f"g as (select sim, step, ln(case when {won} then 1 + f * (1 / m - 1) else 1 - f end) as g from d join f using (idx)), "
+        "p as (select sim, step, 1000 * exp(sum(g) over (partition by sim order by step)) as v from g), "
         "k as (select *, greatest(1000, max(v) over (partition by sim order by step)) as peak from p) "
         f"select {big('sim', 'sim')}, {r('ln(arg_max(v, step))', 'log_final')}, {r('max((peak - v) / peak)', 'max_drawdown')}, count(*) as n_bets from k group by sim"
     )
 
 
-#: Paths of a whole simulation.
-_SIMULATIONS = 10_000
-
-
-def _all_bets(spark, sf):
+def _bets(spark, sf):
     """Every settled HOME bet, numbered by id from 0: places within ranges of ids, and the ranges' offsets."""
     rows = view(spark, sf, "predictions").where("bet_side = 'HOME' and home_won is not null")
     rows = rows.repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("place"), F.col("model_home_prob").alias("model_prob"), F.col("market_home_prob").alias("market_prob"), F.col("home_won").alias("won"))
-    rows = rows.withColumn("part", F.shiftright("place", 33)).persist()
+    rows = written(rows.withColumn("part", F.shiftright("place", 33)), "bets")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     idx = F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("offset")
     return rows.join(F.broadcast(offsets), "part").select(idx.alias("idx"), "model_prob", "market_prob", "won")
 
 
-def _all_paths(spark, sf, mode):
-    return sim.bankroll_paths(_all_bets(spark, sf), _SIMULATIONS, mode)
+def _paths(spark, sf, mode):
+    return sim.bankroll_paths(_bets(spark, sf), _SIMULATIONS, mode)
 
 
-def _paths(spark, sf, mode):
-    out = sim.bankroll_paths(_bets(spark, sf), 200, mode)
-    return rounded(out.select("sim", F.ln("final_bankroll").alias("log_final"), "max_drawdown", "n_bets"))
+def _logged(paths):
+    return rounded(paths.select("sim", F.ln("final_bankroll").alias("log_final"), "max_drawdown", "n_bets"))
 
 
-@query(_paths_sql(f"{_mix('step', 'sim', '7')} < m"))
+@query()
 def montecarlo_market_null(spark, sf):
-    return _paths(spark, sf, "market_right")
+    return _logged(_paths(spark, sf, "market_right"))
 
 
-@query(_paths_sql("won"))
+@query()
 def montecarlo_empirical(spark, sf):
-    return _paths(spark, sf, "empirical")
+    return _logged(_paths(spark, sf, "empirical"))
 
 
 @query()
 def montecarlo_summary(spark, sf):
-    return rounded(sim.simulation_summary(_all_paths(spark, sf, "empirical")))
+    return rounded(sim.simulation_summary(_paths(spark, sf, "empirical")))
 
 
 @query()
-def montecarlo_market_null_all(spark, sf):
-    return rounded(_all_paths(spark, sf, "market_right"))
-
-
-@query()
-def montecarlo_empirical_all(spark, sf):
-    return rounded(_all_paths(spark, sf, "empirical"))
+def montecarlo_skill_gap(spark, sf):
+    return rounded(sim.skill_gap(*(sim.simulation_summary(_paths(spark, sf, m)) for m in ("empirical", "market_right"))))
 
 
 @query()
 def portfolio_optimum(spark, sf):
-    rows = view(spark, sf, "predictions").where("bet_side = 'HOME'").selectExpr("date as slate", "id", "model_home_prob as prob", "market_home_prob as price")
+    home = "bet_side = 'HOME'"
+    rows = view(spark, sf, "predictions").where("bet_side <> 'NO BET'").selectExpr("date as slate", "id", f"if({home}, model_home_prob, 1 - model_home_prob) as prob", f"if({home}, market_home_prob, 1 - market_home_prob) as price")
     return rounded(sim.optimised_slates(rows))
 
 
@@ -539,7 +529,7 @@ def name_normalize(spark, sf):
     return c.select("id", text.title_teams(F.col("title")).alias("t"), text.is_game_title(F.col("title")).alias("is_game")).select("id", F.col("t.first").alias("first"), F.col("t.second").alias("second"), "is_game")
 
 
-@query()
+@query("select event_id, strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d') as et_date, strftime(ts, '%Y%m%d') as utc_day from events")
 def utc_to_et_date(spark, sf):
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     return view(spark, sf, "events").select("event_id", text.eastern_date(stamp).alias("et_date"), text.compact_date(F.to_date("ts")).alias("utc_day"))
@@ -572,10 +562,10 @@ _IMPACT = f"i as (select team_id, sum(impact_rating * {_MISS}) as out_ from hist
 @query(
     f"{ctes('predictions', 'historical_injuries')}, {_IMPACT} select p.id, "
     + r("least(greatest(model_home_prob + greatest(-0.15, -0.006 * coalesce(h.out_, 0)) - greatest(-0.15, -0.006 * coalesce(a.out_, 0)), 0.01), 0.99)", "home_prob")
-    + " from predictions p left join i h on h.team_id = p.home_team_id and h.team_id % 2 = 0 left join i a on a.team_id = p.away_team_id and a.team_id % 2 = 0"
+    + " from predictions p left join i h on h.team_id = p.home_team_id left join i a on a.team_id = p.away_team_id"
 )
 def injury_adjusted_probs(spark, sf):
-    hurt = view(spark, sf, "historical_injuries").where("team_id % 2 = 0").groupBy("team_id").agg(F.sum(F.col("impact_rating") * bet.miss_probability(F.col("status"))).alias("out"))
+    hurt = view(spark, sf, "historical_injuries").groupBy("team_id").agg(F.sum(F.col("impact_rating") * bet.miss_probability(F.col("status"))).alias("out"))
     side = lambda s: hurt.select(F.col("team_id").alias(f"{s}_team_id"), F.col("out").alias(s))
     rows = view(spark, sf, "predictions").join(side("home"), "home_team_id", "left").join(side("away"), "away_team_id", "left")
     return rounded(rows.select("id", bet.adjusted_prob(F.col("model_home_prob"), F.col("home"), F.col("away")).alias("home_prob")))
@@ -653,10 +643,10 @@ def first_busy_day(spark, sf):
     return sn.first_busy_day(view(spark, sf, "games"), "1995-03-04").select("id", "date")
 
 
-@query(f"{ODDS} select date_trunc('hour', timestamp) as hour, source, count(*) as n, {r('avg(home_prob)', 'mean_prob')} from odds_snapshots group by 1, 2")
+@query(f"{ODDS} select date_trunc('hour', timestamp) as hour, source, count(*) as n, cast(sum(cast(round(home_prob * 1000000000) as bigint)) as bigint) // count(home_prob) / 1000000000 as mean_prob from odds_snapshots group by 1, 2")
 def hourly_activity(spark, sf):
-    rows = view(spark, sf, "odds_snapshots").groupBy(F.window("timestamp", "1 hour").alias("w"), "source").agg(F.count("*").alias("n"), F.avg("home_prob").alias("mean_prob"))
-    return rounded(rows.select(F.col("w.start").alias("hour"), "source", "n", "mean_prob"))
+    rows = streaming.windowed_activity(view(spark, sf, "odds_snapshots"))
+    return rows.select(F.col("window.start").alias("hour"), "source", "n", "mean_prob")
 
 
 @query(f"{PRED} select id, {r('1 / (1 + pow(10e0, -(1400 + id % 200 + 100 - (1450 + id % 170)) / 400e0))', 'elo_home_prob')}, {r('1500 + 0.75 * (1400 + id % 200 - 1500)', 'carried')} from predictions")
@@ -676,50 +666,301 @@ def profit_quantiles(spark, sf):
     return rounded(mt.quantiles(_settled(spark, sf).where(mt.BETS), "profit"))
 
 
-@query()
+#: The recurrence in SQL: games in order, ratings of all teams as lists.
+_RATED = f"""{ctes("games", "game_stats").replace("with ", "with recursive ", 1)},
+o as (select row_number() over (order by date, id) as k, id, date, season, home_team_id + 1 as h, away_team_id + 1 as a, cast(home_score as double) as sh, cast(away_score as double) as sa from games),
+s as (select *, season is distinct from lag(season) over (order by k) and k > 1 as fresh, case when sh > sa then 1e0 else 0e0 end as win from o),
+z as (select cast(0 as bigint) as k, list_transform(generate_series(1, 25), lambda x: 1500e0) as e, list_transform(generate_series(1, 25), lambda x: 1500e0) as f, list_transform(generate_series(1, 25), lambda x: 1500e0) as d,
+  0e0 as eh, 0e0 as ea, 0e0 as fh, 0e0 as fa, 0e0 as dh, 0e0 as da, 0e0 as up, 0e0 as oh, 0e0 as oa
+ union all
+ select k, [case when i = h then eh + up when i = a then ea - up else e[i] end for i in range(1, 26)], [case when i = h then fh + oh when i = a then fa + oa else f[i] end for i in range(1, 26)],
+  [case when i = h then dh - oa when i = a then da - oh else d[i] end for i in range(1, 26)], eh, ea, fh, fa, dh, da, up, oh, oa from (
+ select *, 20 * pow(abs(sh - sa) + 3, 0.8e0) / (7.5e0 + 0.006e0 * ew) / (1 + exp(ew / 200)) * (win - 1 / (1 + pow(10e0, -(eh + 100 - ea) / 400))) as up,
+  half * (sh - 110 - 0.05e0 * (fh - da)) as oh, half * (sa - 110 - 0.05e0 * (fa - dh)) as oa from (
+ select *, 10 * pow(abs(sh - sa) + 3, 0.8e0) / (7.5e0 + 0.006e0 * pw) / (1 + exp(pw / 200)) / 12 as half from (
+ select *, case when win = 1 then eh - ea else ea - eh end as ew, case when win = 1 then fh + dh - fa - da else fa + da - fh - dh end as pw from (
+ select *, e[h] as eh, e[a] as ea, f[h] as fh, f[a] as fa, d[h] as dh, d[a] as da from (
+ select s.k, s.h, s.a, s.sh, s.sa, s.win, case when s.fresh then list_transform(z.e, lambda x: 1500 + 0.75e0 * (x - 1500)) else z.e end as e, case when s.fresh then list_transform(z.f, lambda x: 1500 + 0.75e0 * (x - 1500)) else z.f end as f,
+  case when s.fresh then list_transform(z.d, lambda x: 1500 + 0.75e0 * (x - 1500)) else z.d end as d from z join s on s.k = z.k + 1) t0) t1) t2) t3) t4),
+elo as (select s.id as game_id, s.h - 1 as team_id, s.date, eh as elo_before, eh + up as elo_after, fh as elo_off_before, fh + oh as elo_off_after, dh as elo_def_before, dh - oa as elo_def_after from z join s using (k)
+ union all select s.id, s.a - 1, s.date, ea, ea - up, fa, fa + oa, da, da - oh from z join s using (k))"""
+_ELO = ("elo_before", "elo_after", "elo_off_before", "elo_off_after", "elo_def_before", "elo_def_after")
+_LAST = f"{_RATED}, last as (select team_id, arg_max(elo_after, (date, game_id)) as elo, arg_max(elo_off_after, (date, game_id)) as elo_off, arg_max(elo_def_after, (date, game_id)) as elo_def from elo group by 1)"
+
+
+def _history(spark, sf):
+    """Ratings before and after each game: one ordered stream of rows for a league, so one task; written once."""
+    return written(ratings.elo_history(view(spark, sf, "games")), "ratings")
+
+
+@query(f"{_RATED} select game_id, team_id, date, {', '.join(r(c, c) for c in _ELO)} from elo")
 def elo_history(spark, sf):
     return rounded(ratings.elo_history(view(spark, sf, "games")))
 
 
-@query()
+@query(f"{_LAST} select team_id, {', '.join(r(c, c) for c in ('elo', 'elo_off', 'elo_def'))} from last")
 def elo_leaderboard(spark, sf):
     return rounded(ratings.leaderboard(ratings.elo_history(view(spark, sf, "games"))))
 
 
-@query()
+@query(f"{_LAST} select count(*) as n_teams, {r('min(elo)', 'min_elo')}, {r('avg(elo)', 'mean_elo')}, {r('max(elo)', 'max_elo')} from last")
 def elo_diagnosis(spark, sf):
     return rounded(ratings.rating_summary(ratings.elo_history(view(spark, sf, "games"))))
 
 
 def _form(spark, sf):
-    history = ratings.elo_history(view(spark, sf, "games"))
+    history = _history(spark, sf)
     return ft.team_form(view(spark, sf, "game_stats"), history), history
 
 
-@query()
+_OPPONENT = f"""{_RATED}, g as (select t.*, cast(pts - pts_against as double) as net, coalesce(o.elo_before, 1500e0) as opp from game_stats t
+ left join elo o on o.game_id = t.game_id and o.team_id = case when t.team_id = t.home_team_id then t.away_team_id else t.home_team_id end),
+w as (select game_id, team_id, {", ".join(f"{roll('net', n, n // 2)} as net{n}, {roll('opp', n, n // 2)} as opp{n}" for n in config.WINDOWS)} from g)"""
+
+
+@query(f"{_OPPONENT} select game_id, team_id, {', '.join(r(f'net{n} / least(greatest(1 + (opp{n} - 1500) / 500, 0.5e0), 1.5e0)', f'adj_net_rtg_roll_{n}') + ', ' + r(f'opp{n}', f'opp_elo_roll_{n}') for n in config.WINDOWS)} from w")
 def sos_adjusted_rating(spark, sf):
-    return rounded(_form(spark, sf)[0].select("game_id", "team_id", *(f"adj_net_rtg_roll_{n}" for n in config.WINDOWS), *(f"opp_elo_roll_{n}" for n in config.WINDOWS)))
+    history = _history(spark, sf)
+    rows = ratings.with_opponent_elo(wn.with_derived(view(spark, sf, "game_stats")), history)
+    rows = wn.with_adjusted(wn.with_rolling(rows, ["net_rtg_game", "opp_elo"]))
+    return rounded(rows.select("game_id", "team_id", *(f"adj_net_rtg_roll_{n}" for n in config.WINDOWS), *(f"opp_elo_roll_{n}" for n in config.WINDOWS)))
 
 
-@query()
-def game_feature_matrix(spark, sf):
+def _matrix(spark, sf):
+    """The feature matrix of usable rows, written once, with the names of its features."""
     form, history = _form(spark, sf)
     matrix = ft.game_matrix(form, history, view(spark, sf, "historical_injuries"), view(spark, sf, "odds_snapshots"), view(spark, sf, "teams"))
     names = ft.feature_names(form.columns)
-    return rounded(ft.imputed(ft.usable_rows(matrix, names), names)[0])
+    return written(ft.usable_rows(matrix, names), "matrix"), names
+
+
+def _matrix_sql() -> str:
+    """The whole matrix in SQL: every feature from the definitions above, for home and away rows."""
+    has = ["pts", "pts_against", "net_rtg_game", "fg3_pct", "oreb", "dreb", "ast", "tov", "plus_minus", *wn.FACTORS]
+    rolled = [*has, "poss", "opp_elo"]
+    rest = {"rest_days": f"case when lag(date) {BY_TEAM} is null then 3 else least(date_diff('day', lag(date) {BY_TEAM}, date), 7) end", "is_back_to_back": f"coalesce(cast(date_diff('day', lag(date) {BY_TEAM}, date) <= 1 as int), 0)"}
+    rest |= {f"games_last_{n}": _DAYS.format(n) for n in (7, 14)}
+    windows = [f"{roll(c, n, n // 2)} as {c}_roll_{n}" for c in rolled for n in config.WINDOWS] + [f"{roll('x', n, 2)} as b{n}" for n in config.B2B_WINDOWS] + [f"{roll(f'{c}_{v}', n, n // 3)} as w_{c}_{v}_{n}" for c, v, n in _SPLITS]
+    windows += [f"case when count({c}) {_UP} >= 2 then sum({c} * {_W}) {_UP} / sum(case when {c} is not null then {_W} end) {_UP} end as {c}_ewm_10" for c in ("net_rtg_game", "plus_minus")]
+    last = [f"{_FILL.format(f'b{n}')} as fg3_pct_b2b_roll_{n}" for n in config.B2B_WINDOWS] + [f"{_FILL.format(f'w_{c}_{v}_{n}')} as {c}_{v}_split_roll_{n}" for c, v, n in _SPLITS]
+    last += [f"net_rtg_game_roll_{n} / least(greatest(1 + (opp_elo_roll_{n} - 1500) / 500, 0.5e0), 1.5e0) as adj_net_rtg_roll_{n}" for n in config.WINDOWS]
+    last += [f"case when pts_roll_{n} is null or pts_against_roll_{n} is null then 0.5e0 else least(greatest(1 / (1 + exp(14 * (ln(pts_against_roll_{n}) - ln(pts_roll_{n})))), 0.01e0), 0.99e0) end as pyth_roll_{n}" for n in config.WINDOWS]
+    x = {"home_elo": "h.elo_before", "away_elo": "a.elo_before", "elo_diff": "h.elo_before - a.elo_before", "elo_home_prob": "1 / (1 + pow(10e0, -(h.elo_before + 100 - a.elo_before) / 400))"}
+    x |= {f"{s}_elo_{k}": f"{s[0]}.elo_{k}_before" for s in ("home", "away") for k in ("off", "def")} | {f"elo_{k}_diff": f"h.elo_{k}_before - a.elo_{k}_before" for k in ("off", "def")}
+    x |= {"home_off_vs_away_def": "h.elo_off_before - a.elo_def_before", "away_off_vs_home_def": "a.elo_off_before - h.elo_def_before", "rest_diff": "h.rest_days - a.rest_days"}
+    x |= {f"{s}_{c}": f"{s[0]}.{c}" for s in ("home", "away") for c in ft.REST} | {f"{s}_injury_impact_out": f"coalesce(i{s[0]}.out_, 0)" for s in ("home", "away")}
+    x |= {"injury_impact_diff": "coalesce(ih.out_, 0) - coalesce(ia.out_, 0)"} | {n: f"coalesce(m.{n}, 0)" for n in _MOVES}
+    for n in config.WINDOWS:
+        x |= {f"diff_{c}_roll_{n}": f"h.{c}_roll_{n} - a.{c}_roll_{n}" for c in (*rolled, "pyth", "adj_net_rtg")} | {f"matchup_pace_{n}": f"(h.poss_roll_{n} + a.poss_roll_{n}) / 2"}
+    x |= {f"diff_{c}_venue_roll_{n}": f"h.{c}_home_split_roll_{n} - a.{c}_away_split_roll_{n}" for n in config.SPLIT_WINDOWS for c in ("plus_minus", "net_rtg_game")}
+    x |= {f"diff_fg3_pct_b2b_roll_{n}": f"h.fg3_pct_b2b_roll_{n} - a.fg3_pct_b2b_roll_{n}" for n in config.B2B_WINDOWS} | {f"diff_{c}_ewm_10": f"h.{c}_ewm_10 - a.{c}_ewm_10" for c in ("net_rtg_game", "plus_minus")}
+    names = ft.feature_names([f"{c}_roll_{n}" for c in has for n in config.WINDOWS])
+    known = " + ".join(f"cast({n} is not null as int)" for n in names)
+    meta = f"game_id, date, {big('season', 'season')}, home_team_id, away_team_id, {big('home_score', 'home_score')}, {big('away_score', 'away_score')}"
+    return f"""{_RATED}, {DERIVED[len(GS) + 2:]}, hi as (select snapshot_date, team_id, sum(impact_rating * {_MISS}) as out_ from (select c.*, case c.c_custkey % 6 when 0 then 'Out' when 1 then 'Doubtful' when 2 then 'Day-to-Day' when 3 then 'Questionable' when 4 then 'Probable' else 'GTD' end as status,
+ cast(c.c_custkey % 11 as double) as impact_rating, date '1995-01-01' as snapshot_date, c.c_nationkey as team_id from customer c) t group by 1, 2),
+os as ({ODDS_BODY}), mv as (select {_GAME}, {', '.join(f'{v} as {n}' for n, v in _MOVES.items())} from os group by {_GAME}),
+y as (select d.*, oreb * 1e0 / case when oreb + opp_dreb = 0 then 1 else oreb + opp_dreb end as orb_pct, coalesce(o.elo_before, 1500e0) as opp_elo, row_number() over (partition by d.team_id order by d.date, d.game_id) as rn, count(*) over (partition by d.team_id) as n,
+ case when date_diff('day', lag(d.date) over (partition by d.team_id order by d.date, d.game_id), d.date) <= 1 then fg3_pct end as x, {', '.join(f'case when is_home = {v == "home"} then {c} end as {c}_{v}' for c, v, n in _SPLITS if n == 10)},
+ e.elo_before, e.elo_off_before, e.elo_def_before from d left join elo o on o.game_id = d.game_id and o.team_id = case when d.team_id = d.home_team_id then d.away_team_id else d.home_team_id end left join elo e on e.game_id = d.game_id and e.team_id = d.team_id),
+w as (select *, {', '.join([*windows, *(f'{v} as {k}' for k, v in rest.items())])} from y), v as (select *, {', '.join(last)} from w),
+f as (select h.game_id, h.date, h.season, h.home_team_id, h.away_team_id, h.pts as home_score, a.pts as away_score, case when h.pts > a.pts then 1e0 else 0e0 end as home_win, {', '.join(f'cast({x[n]} as double) as {n}' for n in names)}
+ from v h join v a on h.game_id = a.game_id and h.is_home and not a.is_home left join hi ih on ih.snapshot_date = h.date and ih.team_id = h.home_team_id left join hi ia on ia.snapshot_date = h.date and ia.team_id = h.away_team_id
+ left join mv m on m.game_date = h.date and m.home_team_id = h.home_team_id and m.away_team_id = h.away_team_id), u as (select * from f where {known} >= 0.7e0 * {len(names)})
+select {meta}, home_win, {', '.join(r(f'coalesce({n}, avg({n}) over (), 0)', n) for n in names)} from u"""
+
+
+@query(_matrix_sql())
+def game_feature_matrix(spark, sf):
+    return rounded(ft.imputed(*_matrix(spark, sf))[0])
+
+
+def _slate(spark, sf):
+    """Every game as a bet, with the lines that spread and total picks need."""
+    rows = rec.decided(view(spark, sf, "predictions")).withColumn("home", F.concat(F.lit("T"), "home_team_id")).withColumn("away", F.concat(F.lit("T"), "away_team_id"))
+    return rows.withColumns({"spread": F.expr("cast(id % 25 - 12 as double)"), "over_under": F.expr("cast(195 + id % 40 as double)")})
+
+
+def _context(spark, sf):
+    """For each team its recent less its long-run plus-minus, as of its last game."""
+    rows = wn.latest_rows(wn.with_rolling(view(spark, sf, "game_stats"), ["plus_minus"]))
+    return rows.select("team_id", (F.col("plus_minus_roll_5") - F.col("plus_minus_roll_20")).alias("trend"))
+
+
+def _moved(spark, sf):
+    """Movements of each pair of teams at its last day with odds."""
+    rows = od.movement_detail(view(spark, sf, "odds_snapshots"))
+    last = rows.groupBy("home_team_id", "away_team_id").agg(F.max_by(F.struct("prob_movement", "odds_disagreement", "n_snapshots"), "game_date").alias("m"))
+    return last.select("home_team_id", "away_team_id", "m.*")
 
 
 @query()
 def bet_explanations(spark, sf):
-    rows = rec.decided(view(spark, sf, "predictions")).withColumn("home", F.concat(F.lit("T"), "home_team_id")).withColumn("away", F.concat(F.lit("T"), "away_team_id"))
-    return rec.explanation(rows).select("id", "side", "explanation")
+    out = rec.slate_view(_slate(spark, sf), context=_context(spark, sf), moved=_moved(spark, sf))
+    return out.select("id", "side", "explanation")
+
+
+@query()
+def recommendation_slate(spark, sf):
+    margins = view(spark, sf, "games").groupBy("home_team_id", "away_team_id").agg(F.avg(F.col("home_score") - F.col("away_score")).alias("predicted_spread"), F.avg(F.col("home_score") + F.col("away_score")).alias("predicted_total"))
+    out = rec.slate_view(_slate(spark, sf), margins, _context(spark, sf), _moved(spark, sf))
+    return rounded(out.select("id", "side", "edge", "predicted_spread", "predicted_total", "spread_pick", "total_pick", "spread_edge", "total_edge", "trend", "prob_movement", "n_snapshots"))
 
 
 @query()
 def walk_forward_model(spark, sf):
-    """Scores of walk-forward models on ratings and form, by fold."""
-    form, history = _form(spark, sf)
-    names = ["elo_diff", "elo_home_prob", "rest_diff", "diff_net_rtg_game_roll_10", "diff_pyth_roll_20", "diff_net_rtg_game_ewm_10"]
-    matrix = ft.game_matrix(form, history).select("game_id", "date", "home_win", *names).persist()
-    out = models.walk_forward(matrix, names, maxIter=5, maxDepth=3)
+    """Scores of walk-forward models on the whole feature matrix, by fold."""
+    matrix, names = _matrix(spark, sf)
+    out = models.walk_forward(matrix.select("game_id", "date", "home_win", *names), names)
     return rounded(out.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("home_prob") - F.col("home_win")) ** 2).alias("brier")))
+
+
+@query(f"{PRED}, o as (select *, row_number() over (order by date, id) as k, count(*) over () as n from predictions) select k <= floor(n * 0.8e0) as fitted, count(*) as n, min(date) as first, max(date) as last from o group by 1")
+def train_split(spark, sf):
+    fit, rest = models.split_by_date(view(spark, sf, "predictions"), key="id")
+    part = lambda d, which: d.groupBy(F.lit(which).alias("fitted")).agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return part(fit, True).unionByName(part(rest, False))
+
+
+@query(f"{ctes('historical_injuries')} select player_name, team_abbr, status, {r('impact_rating', 'impact_rating')} from historical_injuries where lower(player_name) <> 'customer#000000007' union all select 'CUSTOMER#000000007', 'T07', 'Out', 5e0")
+def injury_list(spark, sf):
+    rows = view(spark, sf, "historical_injuries").select("player_name", "team_abbr", "status", "impact_rating")
+    return rounded(inj.by_impact(inj.with_player(rows, "CUSTOMER#000000007", "t07").select(*rows.columns)))
+
+
+@query(f"{SETTLED} select id, date, {r('clv', 'clv')} from s where bet_side <> 'NO BET' and clv is not null order by date desc, id desc limit 20")
+def recent_clv(spark, sf):
+    return rounded(mt.recent_values(mt.clv_detail(_settled(spark, sf))).select("id", "date", "clv"))
+
+
+@query(
+    "with s as (select c_custkey as player_id, c_nationkey as team, c_custkey % 60 as age from customer where c_custkey % 3 <> 0), n as (select c_custkey as player_id, (c_nationkey + 1) % 25 as team, c_custkey % 4 as rank from customer where c_custkey % 5 <> 0) "
+    "select coalesce(s.player_id, n.player_id) as player_id, cast(case when n.player_id is null or s.age < 24 then s.team else n.team end as bigint) as team_id, cast(case when n.player_id is null or s.age < 24 then 7 when n.rank = 0 then 50 else n.rank end as bigint) as depth_chart_rank, "
+    f"case when s.player_id is null then 0e0 else 12e0 end as minutes_per_game, s.player_id is null or (n.player_id is not null and s.age >= 24) as updated from s full join n on s.player_id = n.player_id"
+)
+def roster_sync(spark, sf):
+    people, season = view(spark, sf, "customer"), F.lit(2024).alias("season")
+    at = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    stored = people.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("player_id"), season, F.col("c_name").alias("player_name"), F.col("c_nationkey").cast("long").alias("team_id"), F.lit("G").alias("position"), F.lit(7).alias("depth_chart_rank"), F.lit(12.0).alias("minutes_per_game"), (at - F.expr("make_dt_interval(0, cast(c_custkey % 60 as int))")).alias("last_updated"))
+    roster = people.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("player_id"), season, F.col("c_name").alias("player_name"), F.expr("cast((c_nationkey + 1) % 25 as bigint)").alias("team_id"), F.lit("F").alias("position"), F.expr("nullif(cast(c_custkey % 4 as int), 0)").alias("depth_chart_rank"))
+    out = inj.synced_roster(stored, roster.unionByName(roster.withColumn("depth_chart_rank", F.lit(50))), "2024-01-10 00:00:00")
+    return rounded(out.select("player_id", "team_id", "depth_chart_rank", "minutes_per_game", (F.col("last_updated") == at).alias("_now"), "position")).select("player_id", "team_id", "depth_chart_rank", "minutes_per_game", (F.col("position") == "F").alias("updated"))
+
+
+_MARKET_SQL = f"""with n as (select {_NAMES} as names), e as (select c_custkey as id, names[1 + c_custkey % 12] as a, names[1 + (c_custkey + 5) % 12] as b, cast(5 + (c_custkey * 37) % 91 as double) / 100 as p, c_custkey % 8 as kind from customer, n),
+t as (select *, (select a from {_TABLE} where n = e.a) as first, (select a from {_TABLE} where n = e.b) as second from e)"""
+
+
+@query(
+    f"{_MARKET_SQL}, x as (select id, first, second, case kind when 4 then null when 6 then null when 2 then 1 - p else p end as p1, case kind when 4 then null when 6 then null when 2 then p else 1 - p end as p2 from t) "
+    f"select concat(cast(id as varchar), '-2024-01-05') as event_slug, '2024-01-05' as game_date, first, second, {r('p1', 'first_price')}, {r('p2', 'second_price')} from x where p1 > 0.01 and p1 < 0.99 and p2 > 0.01 and p2 < 0.99"
+)
+def event_market_prices(spark, sf):
+    """Prices from landed events of eight kinds: moneylines, Yes/No markets of one or both teams, unreadable prices, closed markets, titles of other things."""
+    names = F.array(*(F.lit(n) for n, _ in text.NICKNAMES))
+    c = view(spark, sf, "customer").select(F.col("c_custkey").alias("id"), *(F.element_at(names, F.expr(f"cast({x} as int)")).alias(k) for k, x in (("a", "1 + c_custkey % 12"), ("b", "1 + (c_custkey + 5) % 12"))), F.expr("cast(5 + (c_custkey * 37) % 91 as double) / 100").alias("p"), F.expr("c_custkey % 8").alias("kind"))
+    title, p, q = F.concat("a", F.lit(" vs. "), "b"), F.col("p").cast("string"), F.format_string("%.2f", 1 - F.col("p"))
+    listed = lambda *x: F.to_json(F.array(*x))
+    market = lambda question, outcomes, prices, closed=False: F.struct(question.alias("question"), outcomes.alias("outcomes"), prices.alias("outcomePrices"), F.lit(closed).alias("closed"))
+    yes_no = listed(F.lit("Yes"), F.lit("No"))
+    win = lambda team: F.concat(F.lit("Do the "), F.initcap(team), F.lit(" win?"))
+    line, stale = market(F.upper(title), listed("a", "b"), listed(p, q)), market(title, listed("a", "b"), listed(F.lit("0.5"), F.lit("0.5")), True)
+    one, two = market(win(F.col("a")), yes_no, listed(p, q)), market(win(F.col("b")), listed(F.lit("No"), F.lit("YES")), listed(F.lit("x"), q))
+    kinds = [F.array(line, one), F.array(one, two), F.array(market(win(F.col("b")), yes_no, listed(p, q))), F.array(stale, two, one), F.array(stale), F.array(market(title, listed("a", "b"), listed(F.lit("?"), q))), F.array(line), F.array(two, market(win(F.col("a")), yes_no, listed(p, F.lit("0"))), market(F.lit("Total"), listed(F.lit("Over"), F.lit("Under")), listed(p, q)))]
+    markets_ = F.element_at(F.array(*kinds), F.col("kind").cast("int") + 1)
+    events = c.select(F.when(F.col("kind") == 6, F.concat(title, F.lit(" champion"))).otherwise(title).alias("title"), F.concat(F.col("id").cast("string"), F.lit("-2024-01-05")).alias("slug"), markets_.alias("markets"))
+    return rounded(markets.event_prices(events).drop("event_title"))
+
+
+@query(
+    "with c as (select c_custkey as id, c_custkey % 6 as k from customer) select id, case k when 0 then '2024-01-05' end as slug_day, case k when 0 then timestamp '2024-01-05 03:30:00' when 1 then timestamp '2024-01-05 08:30:00' when 2 then timestamp '2024-01-05 03:30:00' end as at, "
+    "case when k <> 3 then date '2024-01-05' end as day, case k when 0 then 'GSW' when 1 then 'NOP' when 2 then 'NYK' when 3 then 'SAS' when 4 then 'UTA' else 'BOS' end as feed, case k when 0 then 1.5e0 when 1 then -2e0 when 2 then 300e0 end as value, "
+    "case k when 0 then 'GSW' when 1 then 'POR' when 2 then 'MIN' when 5 then 'PHI' end as nickname, case k when 0 then 2 when 1 then 0 when 2 then 1 end as n_listed, case k when 0 then '5-game scoring differential' when 1 then 'home rest days' when 2 then 'Elo differential' when 3 then 'away on back-to-back' when 4 then 'home 10-game FT rate' else 'something else' end as label, "
+    "case k when 0 then '{\"a\":1,\"b\":null}' else concat('{\"a\":1,\"b\":\"', cast(k as varchar), '\"}') end as packed from c"
+)
+def text_fields(spark, sf):
+    """The rules for loosely typed fields, over strings of six kinds."""
+    pick = lambda *x: F.get(F.array(*(F.lit(v) for v in x)), F.expr("cast(c_custkey % 6 as int)"))
+    c = view(spark, sf, "customer")
+    slug = pick("nba-bos-lal-2024-01-05", "nba-bos-lal", "2024-01-05-x", "", None, "nba-2024-1-5")
+    at = pick("2024-01-05T03:30:00Z", "2024-01-05T03:30:00-05:00", "2024-01-05T03:30:00", "yesterday", "", None)
+    day = pick("2024-01-05", "2024-01-05T03:30Z", "2024-01-05 x", "5 Jan 2024", "2024-01-05", "2024-01-05T")
+    names = pick("golden state warriors", "Blazers", " Timberwolves ", "nobody", "", "The 76ers")
+    feature = pick("diff_pts_roll_5", "home_rest_days", "elo_diff", "away_is_back_to_back", "home_ft_rate_roll_10", "something_else")
+    packed = text.compact_json(F.struct(F.lit(1).alias("a"), pick(None, "1", "2", "3", "4", "5").alias("b")))
+    return rounded(
+        c.select(
+            F.col("c_custkey").alias("id"), text.slug_date(slug).alias("slug_day"), text.naive_utc(at).alias("at"), text.date_prefix(day).alias("day"), text.feed_abbreviation(pick("GS", "NO", "NY", "SA", "UTAH", "BOS")).alias("feed"),
+            text.number(pick("1.5", " -2", "3e2", "x", "", None)).alias("value"), text.nickname_abbreviation(names).alias("nickname"), F.nullif(F.size(text.json_list(pick('["a","b"]', "[]", '["a"]', "not json", None, None))), F.lit(-1)).alias("n_listed"),
+            text.feature_label(feature).alias("label"), packed.alias("packed"),
+        )
+    )
+
+
+@query(
+    f"{ODDS} select id, case when id % 13 = 0 then 'bad_json' when id % 11 = 0 then 'unknown_team' when id % 7 = 0 then 'bad_date' when id % 5 = 0 then 'unknown_source' end as error, case when id % 7 <> 0 then game_date end as game_date, case when id % 11 <> 0 then home_team_id end as home_team_id, "
+    f"date_trunc('second', timestamp) as timestamp, {r('case when id % 3 <> 0 then home_prob end', 'home_prob')} from odds_snapshots"
+)
+def snapshot_lines(spark, sf):
+    """Checks and types of lines of odds files, as read with all fields as strings."""
+    rows = view(spark, sf, "odds_snapshots")
+    abbr = lambda c: F.concat(F.lit("T"), F.lpad(F.col(c).cast("string"), 2, "0"))
+    lines = rows.select(
+        "id", F.when(F.expr("id % 7 = 0"), "tomorrow").otherwise(F.col("game_date").cast("string")).alias("game_date"), F.when(F.expr("id % 11 = 0"), "XX").otherwise(abbr("home_team_id")).alias("home_team_abbr"), abbr("away_team_id").alias("away_team_abbr"),
+        F.when(F.expr("id % 5 = 0"), "paper").otherwise(F.col("source")).alias("source"), F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.expr("id % 2 = 0"), "Z").otherwise("")).alias("timestamp"),
+        F.when(F.expr("id % 3 = 0"), "n/a").otherwise(F.col("home_prob").cast("string")).alias("home_prob"), F.col("spread").cast("string"), F.col("over_under").cast("string"), F.lit("").alias("game_id"), F.when(F.expr("id % 13 = 0"), "{").alias("_corrupt_record"),
+    )
+    return rounded(sn.checked(lines, view(spark, sf, "teams")).select("id", "error", "game_date", "home_team_id", "timestamp", "home_prob"))
+
+
+@query(f"{ctes('games')} select cast(id as varchar) as event_id, case home_team_id % 3 when 0 then 'GSW' when 1 then 'NOP' else 'BOS' end as home, 'UTA' as away, {r('home_score', 'home_score')}, {r('away_score', 'away_score')}, {r('case when id % 2 = 0 then id % 9 - 4.5e0 end', 'spread')}, {r('case when id % 2 = 0 then 200 + id % 40 end', 'over_under')} from games")
+def scoreboard_rows(spark, sf):
+    """Score board documents, a game each, laid flat."""
+    games = view(spark, sf, "games")
+    code = F.get(F.array(*(F.lit(x) for x in ("GS", "NO", "BOS"))), F.expr("cast(home_team_id % 3 as int)"))
+    side = lambda home, abbr, score: F.struct(F.lit(home).alias("homeAway"), F.col(score).cast("string").alias("score"), F.struct(abbr.alias("abbreviation")).alias("team"))
+    odds = F.when(F.expr("id % 2 = 0"), F.array(F.struct(F.lit("x").alias("details"), F.expr("cast(id % 9 - 4.5 as double)").alias("spread"), F.expr("200 + id % 40").alias("overUnder"))))
+    competition = F.struct(F.array(side("away", F.lit("UTAH"), "away_score"), side("home", code, "home_score")).alias("competitors"), odds.alias("odds"))
+    events = games.select(F.array(F.struct(F.col("id").cast("string").alias("id"), F.col("date").cast("string").alias("date"), F.array(competition).alias("competitions"))).alias("events"))
+    return rounded(sn.flat_scoreboard(events).drop("game_time_utc"))
+
+
+@query("select concat('T', lpad(cast(c_nationkey as varchar), 2, '0')) as team_abbr, c_name as name, cast(least(1 + c_custkey % 5, 1 + c_custkey % 3) as bigint) as rank from customer")
+def depth_chart_ranks(spark, sf):
+    c = view(spark, sf, "customer")
+    player = lambda n: F.array(F.struct(F.col("c_name").alias("name"), F.expr(f"cast(1 + c_custkey % {n} as int)").alias("rank")))
+    charts = c.select(F.concat(F.lit("T"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("team_abbr"), F.create_map(F.lit("PG"), player(5), F.lit("SG"), player(3)).alias("positions"))
+    return rounded(inj.depth_ranks(charts))
+
+
+@query(f"{ctes('games')}, s as (select home_team_id as t, date, id, 'h' as side from games where id % 3 > 0 union all select away_team_id, date, id, 'a' from games where id % 3 > 1), l as (select t, arg_max(id, (date, id)) as id, arg_max(side, (date, id)) as side from s group by 1) select concat('T', cast(t as varchar)) as team_abbr, concat(side, cast(id as varchar), ',Bench') as names from l")
+def starters_by_team(spark, sf):
+    games = view(spark, sf, "games")
+    named = lambda mark: F.array(F.struct(F.concat(F.lit(mark), F.col("id").cast("string")).alias("displayName"), F.lit("x").alias("shortName")), F.struct(F.lit("").alias("displayName"), F.lit("Bench").alias("shortName")), F.struct(F.lit(None).cast("string").alias("displayName"), F.lit("").alias("shortName")))
+    side = lambda s, least: F.struct(F.struct(F.concat(F.lit("T"), F.col(f"{s}_team_id").cast("string")).alias("abbreviation")).alias("team"), F.when(F.expr(f"id % 3 > {least}"), named(s[0])).alias("probables"))
+    events = games.select(F.concat("date", F.lpad(F.col("id").cast("string"), 19, "0")).alias("date"), F.array(F.struct(F.array(side("home", 0), side("away", 1)).alias("competitors"))).alias("competitions"))
+    return inj.probable_starters(events).select("team_abbr", F.array_join("names", ",").alias("names"))
+
+
+@query(f"{ODDS}, p as (select least(home_team_id, away_team_id) as a, greatest(home_team_id, away_team_id) as b, id, home_prob from odds_snapshots) select a, b, max(id) as ordinal, {r('first(home_prob order by id desc)', 'home_prob')} from p group by 1, 2")
+def latest_pair_odds(spark, sf):
+    odds = view(spark, sf, "odds_snapshots").select(F.col("home_team_id").alias("team_a"), F.col("away_team_id").alias("team_b"), F.col("id").alias("ordinal"), "home_prob")
+    return rounded(od.last_by_pair(odds).select(F.least("team_a", "team_b").alias("a"), F.greatest("team_a", "team_b").alias("b"), "ordinal", "home_prob"))
+
+
+@query(f"{ctes('historical_injuries')} select {r(f'coalesce(sum(impact_rating * {_MISS}), 0)', 'impact_out')} from historical_injuries where team_id = 7")
+def injury_impact_on_day(spark, sf):
+    return rounded(inj.team_impact_on(view(spark, sf, "historical_injuries"), "1995-01-01", 7))
+
+
+@query(f"{ODDS}, f as (select {_GAME}, source, timestamp, min(id) as id from odds_snapshots group by all) select source, count(*) as n, sum(cast(id as bigint)) as ids from f where not exists (select 1 from odds_snapshots o where o.id % 4 = 0 and o.game_date = f.game_date and o.home_team_id = f.home_team_id and o.away_team_id = f.away_team_id and o.source = f.source and o.timestamp = f.timestamp) group by 1")
+def new_snapshot_rows(spark, sf):
+    rows = view(spark, sf, "odds_snapshots").withColumn("game_id", F.col("id").cast("string"))
+    fresh = sn.new_snapshots(od.distinct_snapshots(rows).withColumn("game_id", F.col("id").cast("string")), rows.where("id % 4 = 0"))
+    return fresh.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("game_id").cast("long")).alias("ids"))
+
+
+@query(f"{PRED}, b as (select case when bet_side = 'HOME' then model_home_prob else 1 - model_home_prob end as p, (bet_side = 'HOME') = home_won as won from predictions where bet_side <> 'NO BET') select count(*) as n_bets, {r('avg(cast(won as double))', 'realised')}, {r('avg(p)', 'claimed')}, {r('avg(cast(won as double)) - avg(p)', 'gap')} from b")
+def claimed_win_rate(spark, sf):
+    bets = view(spark, sf, "predictions").where("bet_side <> 'NO BET'").select(F.col("bet_side").alias("side"), F.col("model_home_prob").alias("home_prob"), F.expr("(bet_side = 'HOME') = home_won").alias("won"))
+    return rounded(rec.win_rate_gap(bets))

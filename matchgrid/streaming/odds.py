@@ -72,5 +72,12 @@ def movement_stream(rows: DataFrame) -> DataFrame:
 
 
 def windowed_activity(rows: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    """Snapshots and mean probability of each source by event time."""
-    return rows.withWatermark("timestamp", delay).groupBy(F.window("timestamp", width), "source").agg(F.count("*").alias("n"), F.avg("home_prob").alias("mean_prob"))
+    """Snapshots and mean probability of each source by event time, of a stream or of a table.
+
+    Probabilities are added up as whole billionths, so that the mean doesn't
+    depend on their order.
+    """
+    billion = 1_000_000_000
+    parts = F.round(F.col("home_prob") * billion).cast("long")
+    own = rows.withWatermark("timestamp", delay).groupBy(F.window("timestamp", width), "source").agg(F.count("*").alias("n"), F.sum(parts).alias("_s"), F.count(parts).alias("_k"))
+    return own.select("window", "source", "n", (F.expr("_s div nullif(_k, 0)") / billion).alias("mean_prob"))
