@@ -1,10 +1,10 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation.
 
 MinHash samples of a document's shingle set are cut into bands, which propose
-candidates. Its least hashes, all of them in a set of up to SAMPLE shingles, are
-folded into a bitmap of parities (an odd sketch): hashes that two sets share
-cancel out in the XOR of their bitmaps, so its population count tells high
-similarities precisely. What passes is confirmed on the full shingle sets.
+candidates, and folded into a bitmap of parities (an odd sketch): samples that
+two sets share cancel out in the XOR of their bitmaps, so its population count
+tells high similarities precisely. What passes is confirmed on the full shingle
+sets.
 """
 
 from __future__ import annotations
@@ -19,8 +19,12 @@ from .graph import components
 #: 32 bands of 4 samples: a pair of similarity 0.8 shares no band once in 2 * 10**7.
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch, and hashes in a sample up to which the sample is the whole set.
-BITS, SAMPLE = 1024, 1024
+#: Bits of an odd sketch, and shingles of a set up to which its sketch isn't asked.
+BITS, PLAIN = 512, 64
+#: Members of a band up to which all groups in it are compared, and bands that divide a larger one.
+FEW, DIVIDERS = 32, 8
+#: Parts that groups are dealt out in where they meet their smallest ids.
+SALTS = 16
 _RANDOM = np.random.default_rng(20240607)
 _FACTORS = _RANDOM.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -42,23 +46,30 @@ def samples(own: np.ndarray) -> np.ndarray:
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
-    """A key for each band, as signed 64-bit integers."""
+    """A key for each band of samples, as signed 64-bit integers."""
     keys = _BAND_SALTS.copy()
-    for column in samples(own).astype(np.uint64).reshape(BANDS, ROWS).T:
+    for column in own.astype(np.uint64).reshape(BANDS, ROWS).T:
         keys = mix(keys ^ column) + _BAND_SALTS
     return keys.view(np.int64)
 
 
-def odd_sketch(own: np.ndarray) -> tuple[int, np.ndarray]:
-    """Level and parity bitmap of the least hashes of a set: those below 2**(64 - level).
+def odd_sketch(own: np.ndarray) -> np.ndarray:
+    """Parity bitmap of samples, each with its number."""
+    places = mix(own.astype(np.uint64) + (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
-    The level is 0, so that the sample is the whole set, up to SAMPLE hashes, and
-    grows by one each time the set doubles.
+
+def differing_bits(percent: int, deviations: float = 5.5) -> int:
+    """Bits in which the sketches of sets of this similarity differ at most, but for once in about 5 * 10**7.
+
+    Samples agree as often as the similarity says; each that doesn't flips a bit
+    for either set, and flips of the same bit cancel out.
     """
-    level = max(0, (len(own) - 1).bit_length() - (SAMPLE - 1).bit_length())
-    least = own[: np.searchsorted(own, np.uint64(1 << 64 - level))] if level else own
-    bits = np.bincount((mix(least) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return level, np.packbits(bits.astype(np.uint8)).view(np.int64)
+    j = percent / 100
+    flips = 2 * SAMPLES * (1 - j)
+    left = (1 - 2 / BITS) ** flips
+    spread = (2 * (SAMPLES * j * (1 - j)) ** 0.5 * left) ** 2 + 2 * flips**2 / BITS
+    return int(BITS / 2 * (1 - left) + deviations * spread**0.5) + 1
 
 
 def set_key(own: np.ndarray) -> bytes:
@@ -68,43 +79,32 @@ def set_key(own: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """For each row: id, place (hash of the text), n_shingles, node (key of the set; null if empty), bands, level, sketch."""
+    """For each row: id, place (hash of the text), n_shingles, node (key of the set; null if empty), bands, sketch."""
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def work(batches):
         for batch in batches:
-            sizes, nodes, bands, levels, sketches = [], [], [], [], []
+            sizes, nodes, bands, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, k)
                 sizes.append(len(own))
+                drawn = samples(own) if len(own) else None
                 nodes.append(set_key(own) if len(own) else None)
-                bands.append(band_keys(own) if len(own) else None)
-                level, sketch = odd_sketch(own) if len(own) else (None, None)
-                levels.append(level)
-                sketches.append(sketch)
+                bands.append(band_keys(drawn) if len(own) else None)
+                sketches.append(odd_sketch(drawn) if len(own) else None)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, sketches)]
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists[0], pa.array(levels, pa.int32()), lists[1]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "n_shingles", "node", "bands", "level", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "n_shingles", "node", "bands", "sketch"])
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc {kind}, place long, n_shingles long, node binary, bands array<long>, level int, sketch array<long>")
+    return rows.mapInArrow(work, f"doc {kind}, place long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
 def _alike(percent: int, a: str, b: str) -> Column:
-    """Whether sizes and odd sketches allow this similarity.
-
-    Of two sets of m and n hashes at least this similar, at most
-    (m + n) * (1 - s) / (1 + s) stand in one only, and each of those flips one
-    bit, so at level 0 no such pair is refused. At higher levels the sampled
-    share of them has room for 5.5 standard deviations. Neighbouring levels,
-    as sets near a power of two may have, aren't compared.
-    """
-    n, m, level = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.level")
+    """Whether sizes and, of sets of over PLAIN shingles, odd sketches allow this similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     differing = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
-    most = (n + m) * (100 - percent) / (100 + percent)
-    share = most / F.pow(F.lit(2.0), level)
-    limit = F.when(level == 0, most).otherwise(share + 5.5 * F.sqrt(share) + 6)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((level != F.col(f"{b}.level")) | (differing <= limit))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((F.least(n, m) <= PLAIN) | (differing <= differing_bits(percent)))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -147,24 +147,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     columns are left out; an empty table gives no rows.
 
     Every band compares its members with the smallest of them and with one drawn
-    by hash, another in each band. If confirmed links
-    leave members of a band in different groups, the pairs between those groups
-    are compared too, so a link is lost only where a pair shares no band at all
-    (see BANDS) or, among sets of over SAMPLE shingles, its samples differ improbably.
+    by hash, another in each band. Where confirmed links leave members of a band
+    in different groups, all pairs across them are compared in a band of up to
+    FEW members; a larger one is divided by DIVIDERS other bands, drawn by its
+    key, again and again. So a link is lost only where a pair shares no band at
+    all (see BANDS), none of the dividers of any band it shares (less than once
+    in 10**9 for similar sets), or has samples that differ improbably.
     """
     rows = written(signatures(docs, k, id_col, text_col), "signatures")
-    first = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.first(F.struct("doc", "place", "n_shingles", "bands", "level", "sketch")).alias("r"))
-    nodes = first.select("node", "least", "r.doc", "r.place", F.col("r.n_shingles").alias("n"), "r.bands", "r.level", "r.sketch", F.monotonically_increasing_id().alias("nid"))
+    first = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.first(F.struct("doc", "place", "n_shingles", "bands", "sketch")).alias("r"))
+    nodes = first.select("node", "least", "r.doc", "r.place", F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch", F.monotonically_increasing_id().alias("nid"))
     nodes = written(nodes, "nodes")
-    banded = nodes.select("nid", F.explode("bands").alias("band"))
-    drawn = F.min_by("nid", F.xxhash64("nid", "band"))
-    leaders = banded.groupBy("band").agg(F.min("nid").alias("leader"), drawn.alias("other"), F.count("*").alias("members")).where("members > 1")
-    shared = written(banded.join(leaders, "band"), "bands")
-    side = nodes.select("nid", "n", "level", "sketch")
-    hubs = F.array_distinct(F.array("leader", "other"))
-    stars = shared.select(F.explode(hubs).alias("hub"), "nid").where("hub <> nid").select(F.least("hub", "nid").alias("a"), F.greatest("hub", "nid").alias("b")).distinct()
-    pairs = stars.alias("p").join(side.alias("x"), F.col("p.a") == F.col("x.nid")).join(side.alias("y"), F.col("p.b") == F.col("y.nid")).where(_alike(percent, "x", "y")).select("p.a", "p.b")
-    pairs = written(pairs, "pairs")
+    side = nodes.select("nid", "n", "sketch")
+
+    def shared_by(banded: DataFrame) -> DataFrame:
+        """Rows (band, nid) of bands with several members, with two of these to compare with."""
+        drawn = F.min_by("nid", F.xxhash64("nid", "band"))
+        leaders = banded.groupBy("band").agg(F.min("nid").alias("leader"), drawn.alias("other"), F.count("*").alias("members")).where("members > 1")
+        return written(banded.join(leaders, "band"), "bands")
+
+    def stars_of(shared: DataFrame) -> DataFrame:
+        hubs = F.array_distinct(F.array("leader", "other"))
+        stars = shared.select(F.explode(hubs).alias("hub"), "nid").where("hub <> nid").select(F.least("hub", "nid").alias("a"), F.greatest("hub", "nid").alias("b")).distinct()
+        both = stars.alias("p").join(side.alias("x"), F.col("p.a") == F.col("x.nid")).join(side.alias("y"), F.col("p.b") == F.col("y.nid"))
+        return both.where(_alike(percent, "x", "y")).select("p.a", "p.b")
+
+    shared = shared_by(nodes.select("nid", F.explode("bands").alias("band")))
+    pairs = written(stars_of(shared), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(nid, text) of the nodes in pairs: the text of one of the rows that have the node's set."""
@@ -177,21 +186,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = written(_confirmed(pairs, texts_of(pairs), k, percent), "confirmed")
     groups = written(components(links), "groups")
 
-    members = shared.where("members > 2").select("band", "nid").join(groups.withColumnRenamed("node", "nid"), "nid", "left").select("band", "nid", F.coalesce("root", "nid").alias("root"))
-    members = written(members, "members")
-    split = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_ = members.join(split, "band").join(side, "nid")
-    across = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & _alike(percent, "x", "y"))
-    across = across.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    across = written(across, "across")
-    if not across.isEmpty():
-        more = written(_confirmed(across, texts_of(across), k, percent), "confirmed")
+    members, tried = shared.where("members > 2").select("band", "nid"), pairs
+    for level in range(BANDS):
+        placed = written(members.join(groups.withColumnRenamed("node", "nid"), "nid", "left").select("band", "nid", F.coalesce("root", "nid").alias("root")), "members")
+        split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("band", "members")
+        open_ = written(placed.join(split, "band"), "open")
+        if open_.isEmpty():
+            break
+        small = open_.where(F.col("members") <= FEW).join(side, "nid") if level < BANDS - 1 else open_.join(side, "nid")
+        across = small.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & _alike(percent, "x", "y"))
+        across = across.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
+        large = open_.where(F.col("members") > FEW).select("band", "nid").join(nodes.select("nid", "bands"), "nid")
+        divider = lambda i: F.pmod(F.xxhash64("band", i), F.lit(BANDS)).cast("int")
+        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(DIVIDERS)), lambda i: F.xxhash64("band", divider(i), F.get("bands", divider(i)))))
+        divided = shared_by(large.select("nid", F.explode(parts).alias("band")))
+        more = across.unionByName(stars_of(divided)).distinct().join(tried, ["a", "b"], "left_anti")
+        more = written(more, "pairs")
         if not more.isEmpty():
-            groups = components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    placed = nodes.select("node", "nid", "least").join(groups.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(smallest, "root").select("node", "component_id")
+            tried = tried.unionByName(more)
+            links = written(_confirmed(more, texts_of(more), k, percent), "confirmed")
+            groups = written(components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))), "groups")
+        members = divided.where("members > 2").select("band", "nid")
+
+    # A component may hold a third of all nodes: its rows are dealt out in parts, to each of which its smallest id goes.
+    grouped = groups.select(F.col("node").alias("nid"), "root").join(nodes.select("nid", "node", "least"), "nid").withColumn("part", F.pmod(F.xxhash64("nid"), F.lit(SALTS)))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    linked = grouped.join(smallest, ["root", "part"]).select("node", "component_id")
+    alone = nodes.join(groups.select(F.col("node").alias("nid")), "nid", "left_anti").select("node", F.col("least").alias("component_id"))
+    placed = linked.unionByName(alone)
     found = rows.select("doc", "n_shingles", "node").join(placed, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id"))
     return found.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
