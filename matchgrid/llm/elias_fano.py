@@ -15,13 +15,8 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) ->
         j = np.searchsorted(before, k, "right") - 1
         rest = k - before[j]
     else:
-        # Zeros before word j are 64 * j - before[j]; find the last j with at most k of them.
-        lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(words) - 1)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            fits = 64 * mid - before[mid].astype(np.int64) <= k
-            lo, hi = np.where(open_ & fits, mid, lo), np.where(open_ & ~fits, mid - 1, hi)
-        j = lo
+        # Zeros before word j are 64 * j - before[j].
+        j = np.searchsorted(64 * np.arange(len(words)) - before.astype(np.int64), k, "right") - 1
         rest = k - (64 * j - before[j].astype(np.int64))
     own = words[j] if ones else ~words[j]
     parts = np.ascontiguousarray(own).view(np.uint8).reshape(-1, 8)

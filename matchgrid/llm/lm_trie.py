@@ -1,11 +1,12 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-Level 1 holds the words (their hashes, sorted) with counts; level 2 their
-successors. A word's successors are a range of level 2, bounded by monotone
-pointers; within a shard they form one monotone sequence, each offset by its
-context's place, and are found by a successor search inside the context's range.
-Levels are files in the shared folder, mapped into memory by the tasks that
-score; Spark counts, deals out and merges what goes into them.
+"""Language-model scoring with an Elias-Fano n-gram trie of three levels.
+
+Level 1 holds the words (their hashes, sorted) with counts. Levels 2 and 3 hold
+their successors: keys of a context's number and a successor's, in one monotone
+sequence, with monotone pointers to where each context begins. At level 2 a
+successor is a word's number; at level 3, whose contexts are the places of level
+2, it is relative to its context: its rank among the successors that the middle
+word has in level 2. Levels are cut into shards, files in the shared folder that
+tasks map into memory; Spark counts, deals out and merges what goes into them.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from __future__ import annotations
 import json
 import mmap
 import struct
-import tempfile
-from dataclasses import dataclass
+from collections import OrderedDict
+from dataclasses import dataclass, field
 from uuid import uuid4
 
 import numpy as np
@@ -27,12 +28,14 @@ from .elias_fano import EliasFano
 
 #: Absolute discount of successor counts.
 DISCOUNT = 0.75
-#: Probabilities are kept as steps of log10 in a byte; 255 steps reach 10**-8.
-STEP = 8 / 255
-#: Bytes of text, and successor pairs, that a task holds at a time.
-CHUNK, HELD = 4 << 20, 6_000_000
-#: Successor pairs, counted with repetition, for which a shard of level 2 is planned.
+#: Bytes of text, and keys, that a task holds at a time.
+CHUNK, HELD = 8 << 20, 6_000_000
+#: Occurrences for which a shard of levels 2 and 3 is planned; a context with more is split over several.
 SHARD = 4_000_000
+#: Bytes of text for which a shard of level 1 is planned.
+WORDS_SHARD = 256 << 20
+#: Files that a worker keeps mapped.
+MAPPED = 4096
 END = mix(np.array([0x2545F4914F6CDD1D], np.uint64))[0]
 
 
@@ -56,25 +59,26 @@ def save(folder: str, arrays: dict[str, np.ndarray], facts: dict) -> str:
     return f"{folder}/{name}"
 
 
-_MAPPED: dict[str, tuple[dict, dict[str, np.ndarray]]] = {}
+_MAPPED: OrderedDict[str, tuple[dict, dict[str, np.ndarray]]] = OrderedDict()
 
 
 def load(uri: str) -> tuple[dict, dict[str, np.ndarray]]:
-    """Facts and arrays of a file, mapped into memory once in each worker."""
-    if uri not in _MAPPED:
-        fs, path = open_fs(uri)
-        if fs.type_name == "local":
-            with open(path, "rb") as f:
-                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        else:  # a copy that goes with the worker
-            with tempfile.TemporaryFile() as f, fs.open_input_stream(path) as source:
-                while part := source.read(1 << 22):
-                    f.write(part)
-                f.flush()
-                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        (n,) = struct.unpack_from("<Q", data)
-        head, start = json.loads(data[8 : 8 + n]), (8 + n + 63) // 64 * 64
-        _MAPPED[uri] = head["facts"], {k: np.frombuffer(data, np.dtype(d), size, start + at) for k, d, size, at in head["arrays"]}
+    """Facts and arrays of a file; those used last stay mapped (where the store isn't a file system: read)."""
+    if uri in _MAPPED:
+        _MAPPED.move_to_end(uri)
+        return _MAPPED[uri]
+    fs, path = open_fs(uri)
+    if fs.type_name == "local":
+        with open(path, "rb") as f:
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with fs.open_input_file(path) as f:
+            data = f.read()
+    (n,) = struct.unpack_from("<Q", data)
+    head, start = json.loads(data[8 : 8 + n]), (8 + n + 63) // 64 * 64
+    _MAPPED[uri] = head["facts"], {k: np.frombuffer(data, np.dtype(d), size, start + at) for k, d, size, at in head["arrays"]}
+    while len(_MAPPED) > (MAPPED if fs.type_name == "local" else 64):
+        _MAPPED.popitem(last=False)
     return _MAPPED[uri]
 
 
@@ -179,18 +183,83 @@ def _merged(rows) -> tuple[np.ndarray, np.ndarray]:
 # The model ------------------------------------------------------------------
 
 
+def _coded(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """Probabilities as steps of -log10 in a byte each, and the step: the least of them is 255."""
+    far = -np.log10(p)
+    step = max(float(far.max()) / 255, 1e-9) if len(p) else 1.0
+    return np.rint(far / step).astype(np.uint8), step
+
+
+@dataclass
+class Level:
+    """Successors of contexts 0 to contexts - 1 as keys context * span + successor: where the shards are.
+
+    starts: least keys of the shards, ascending; files ("" for none) and bases:
+    keys in the shards before. split: successors of contexts that are in several
+    shards, and what they leave.
+    """
+
+    contexts: int
+    span: int
+    starts: np.ndarray
+    files: list[str] = field(default_factory=list)
+    bases: list[int] = field(default_factory=list)
+    size: int = 0
+    split: dict[int, tuple[int, float]] = field(default_factory=dict)
+
+    def shard_of(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, keys, "right") - 1
+
+    def _by_shard(self, keys: np.ndarray):
+        """Parts of sorted keys, with the shard that each belongs to."""
+        shard = self.shard_of(keys)
+        cut = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            yield int(shard[lo]), slice(lo, hi)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted keys the place in the level (-1: absent) and the discounted probability (0: absent)."""
+        place, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+        for s, own in self._by_shard(keys):
+            if self.files[s]:
+                facts, arrays = load(self.files[s])
+                at = _sequence(facts, arrays, "keys").find(keys[own] - self.starts[s])
+                seen = np.flatnonzero(at >= 0)
+                place[own.start + seen] = at[seen] + self.bases[s]
+                p[own.start + seen] = 10.0 ** (-facts["step"] * arrays["codes"][at[seen]])
+        return place, p
+
+    def begins(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted contexts the place of the first successor, and the probability left to shorter contexts (1: no successors)."""
+        place, left = np.full(len(contexts), self.size, np.int64), np.ones(len(contexts))
+        for s, own in self._by_shard(contexts.astype(np.uint64) * np.uint64(self.span)):
+            place[own] = self.bases[s]
+            if self.files[s]:
+                facts, arrays = load(self.files[s])
+                k = contexts[own] - facts["first"]
+                place[own] += _sequence(facts, arrays, "pointers").get(k).astype(np.int64)
+                codes = arrays["left"][k]
+                left[own] = np.where(codes == 255, 1.0, 10.0 ** (-facts["left"] * codes))
+        for c, (_, rest) in self.split.items():
+            k = np.searchsorted(contexts, c)
+            if k < len(contexts) and contexts[k] == c:
+                left[k] = rest
+        return place, left
+
+
 @dataclass
 class Trie:
-    """Where a model's levels are. words: (URI, first id) by range of hashes; shards: (URI, first context) of level 2."""
+    """A model. words: (URI, first number) by range of hashes."""
 
     words: list[tuple[str, int]]
-    shards: list[tuple[str, int]]
     total: int
     distinct: int
     bits: int
+    pairs: Level | None = None
+    triples: Level | None = None
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of sorted hashes."""
+        """Numbers (-1: unknown) and counts of sorted hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         edges = np.searchsorted(shard, np.arange(len(self.words) + 1))
@@ -204,113 +273,181 @@ class Trie:
                 counts[lo:hi][known] = arrays["counts"][at[known]]
         return ids, counts
 
-    def successors(self, pairs: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For pairs sorted by context: log10 of the discounted probability (nan: unseen), number of the context's successors."""
-        found, fanout = np.full(len(pairs), np.nan), np.zeros(len(pairs), np.int64)
-        edges = np.searchsorted(contexts, [first for _, first in self.shards] + [self.distinct])
-        for (uri, first), lo, hi in zip(self.shards, edges[:-1], edges[1:], strict=True):
-            if uri and lo < hi:
-                facts, arrays = load(uri)
-                own, place = np.unique(contexts[lo:hi] - first, return_inverse=True)
-                pointers = _sequence(facts, arrays, "pointers")
-                begin, end = (pointers.get(own + k).astype(np.int64)[place] for k in (0, 1))
-                fanout[lo:hi] = end - begin
-                x = (contexts[lo:hi] - first).astype(np.uint64) * np.uint64(self.distinct) + words[lo:hi].astype(np.uint64)
-                at = _sequence(facts, arrays, "words").find(x, begin, end)
-                seen = at >= 0
-                found[lo:hi][seen] = -STEP * arrays["codes"][at[seen]]
-        return found, fanout
-
-
-def build(texts: DataFrame) -> Trie:
-    """A model of a one-column DataFrame of texts."""
+    def numbered(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """look_up of hashes in any order."""
+        own, place = np.unique(hashes, return_inverse=True)
+        ids, counts = self.look_up(own)
+        return ids[place], counts[place]
+
+    def pair_keys(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens' numbers (texts one after the other): the number before (at the beginning of a text that of an end), whether both are known, and level 2's keys of those."""
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[np.cumsum(sizes) - sizes] = self.numbered(np.array([END], np.uint64))[0][0]
+        known = np.flatnonzero((before >= 0) & (ids >= 0))
+        return before, known, before[known].astype(np.uint64) * np.uint64(self.distinct) + ids[known].astype(np.uint64)
+
+    def places(self, ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+        """For each token: its pair's place in level 2 (-1: absent) and probability, what the word before leaves, and level 3's key of a triple (where there is one: rows)."""
+        before, known, keys = self.pair_keys(ids, sizes)
+        place, p, left = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
+        own, back = np.unique(keys, return_inverse=True)
+        found, q = self.pairs.find(own)
+        place[known], p[known] = found[back], q[back]
+        some = np.flatnonzero(before >= 0)
+        contexts, back = np.unique(before[some], return_inverse=True)
+        begins, rest = self.pairs.begins(contexts)
+        begin = np.zeros(len(ids), np.int64)
+        begin[some], left[some] = begins[back], rest[back]
+        context = np.full(len(ids), -1, np.int64)
+        context[1:] = place[:-1]
+        context[np.cumsum(sizes) - sizes] = -1
+        rows = np.flatnonzero((context >= 0) & (place >= 0))
+        return {"place": place, "p": p, "left": left, "context": context, "rows": rows, "rank": (place - begin)[rows]}
+
+
+def _starts(cuts: list[int], hot: dict[int, int], span: int, contexts: int, each: int) -> np.ndarray:
+    """Least keys of shards: at the cuts, and within hot contexts at equal parts of the span."""
+    keys = {0} | {c * span for c in cuts if c < contexts}
+    for c, n in hot.items():
+        parts = -(-n // each)
+        keys |= {c * span + span * k // parts for k in range(parts)}
+        keys |= {(c + 1) * span} if c + 1 < contexts else set()
+    return np.array(sorted(keys), np.uint64)
+
+
+_RESULT = "shard int, file string, n long, total long, cuts array<long>, hot array<struct<number: long, n: long>>, most long"
+
+
+def _made(shard: int, file: str, counts: np.ndarray, each: int, most: int = 0):
+    """What a task says of a shard that it wrote: where each so many occurrences have gone by, and entries with a quarter of that."""
+    import pandas as pd
+
+    cuts = (np.flatnonzero(np.diff(np.cumsum(counts) // each, prepend=0) > 0) + 1).tolist()
+    hot = np.flatnonzero(counts > each // 4)
+    return pd.DataFrame({"shard": [shard], "file": [file], "n": [len(counts)], "total": [int(counts.sum())], "cuts": [cuts], "hot": [[{"number": int(i), "n": int(counts[i])} for i in hot]], "most": [most]})
+
+
+def _level(parts: DataFrame, level: Level, hot: dict[int, int], folder: str, name: str, each: int) -> tuple[Level, list[int], dict[int, int], int]:
+    """Writes a level's shards from gathered parts; also the cuts and hot places of the next, and the most successors of a context in a shard."""
+    starts, span, contexts = level.starts, level.span, level.contexts
+
+    def work(key, rows):
+        shard = int(key[0])
+        keys, counts = _merged(rows)
+        low = int(starts[shard])
+        high = int(starts[shard + 1]) if shard + 1 < len(starts) else contexts * span
+        first, last = -(-low // span), -(-high // span)  # contexts that begin here
+        context = (keys // np.uint64(span)).astype(np.int64)
+        begin = low // span
+        totals, fans = np.bincount(context - begin, counts, last - begin), np.bincount(context - begin, minlength=last - begin)
+        for c, n in hot.items():
+            if begin <= c < last:
+                totals[c - begin] = n
+        q, step = _coded(np.maximum(counts - DISCOUNT, 1e-3) / totals[context - begin])
+        arrays, facts = _named("keys", EliasFano.build(keys - np.uint64(low), high - low))
+        pointers = np.searchsorted(keys, np.arange(first, last, dtype=np.uint64) * np.uint64(span))
+        more, named = _named("pointers", EliasFano.build(pointers, len(keys) + 1))
+        totals, fans = totals[first - begin :], fans[first - begin :].astype(float)
+        fans = np.where(totals > 0, fans, 0)
+        left, code = np.full(last - first, 255, np.uint8), 1.0
+        if (some := np.flatnonzero(fans)).size:
+            far = -np.log10(DISCOUNT * fans[some] / totals[some])
+            code = max(float(far.max()) / 254, 1e-9)
+            left[some] = np.rint(far / code).astype(np.uint8)
+        file = save(folder, {**arrays, **more, "codes": q, "left": left}, facts | named | {"step": step, "left": code, "first": first})
+        return _made(shard, file, counts, each, int(fans.max(initial=0)))
+
+    made = {r["shard"]: r for r in written(parts.groupBy("shard").applyInPandas(work, _RESULT), name).collect()}  # a row for each shard
+    cuts, next_hot, base = [], {}, 0
+    for s in range(len(starts)):
+        level.bases.append(base)
+        level.files.append(made[s]["file"] if s in made else "")
+        if s in made:
+            cuts += [base + c for c in made[s]["cuts"]] + [base]
+            next_hot |= {base + h["number"]: h["n"] for h in made[s]["hot"]}
+            base += made[s]["n"]
+    level.size = base
+    for c, n in hot.items():  # what is left of a context that is split follows from all its shards
+        if n > each:
+            end = level.begins(np.array([c + 1]))[0][0] if c + 1 < contexts else base
+            fan = int(end - level.begins(np.array([c]))[0][0])
+            if fan:
+                level.split[c] = fan, DISCOUNT * fan / n
+    return level, cuts, next_hot, max((r["most"] for r in made.values()), default=0)
+
+
+def build(texts: DataFrame, each: int = SHARD) -> Trie:
+    """A model of a one-column DataFrame of texts; shards of levels 2 and 3 are planned for so many occurrences."""
     spark = texts.sparkSession
     folder = shared_files(spark, "trie")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // WORDS_SHARD)
     bits = max(0, (partitions - 1).bit_length())
     shift = np.uint64(64 - bits) if bits else np.uint64(0)
     cut = (lambda keys: (keys >> shift).astype(np.int64)) if bits else (lambda keys: np.zeros(len(keys), np.int64))
 
     def words_level(key, rows):
-        import pandas as pd
-
         keys, counts = _merged(rows)
         base = int(key[0]) << (64 - bits) if bits else 0
         arrays, facts = _named("hashes", EliasFano.build(keys - np.uint64(base), 1 << 64 - bits))
         arrays["counts"] = counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)
-        return pd.DataFrame({"shard": [key[0]], "file": [save(folder, arrays, facts | {"base": base})], "n": [len(keys)], "total": [int(counts.sum())]})
+        return _made(key[0], save(folder, arrays, facts | {"base": base}), counts, each)
 
-    result = "shard int, file string, n long, total long"
     parts = _gathered(texts, lambda hashes, sizes: hashes, cut)
-    levels = {r["shard"]: r for r in written(parts.groupBy("shard").applyInPandas(words_level, result), "words").collect()}  # a row for each shard
-    words, first = [], 0
+    made = {r["shard"]: r for r in written(parts.groupBy("shard").applyInPandas(words_level, _RESULT), "words").collect()}  # a row for each shard
+    words, cuts, hot, first = [], [], {}, 0
     for s in range(1 << bits):
-        words.append((levels[s]["file"] if s in levels else "", first))
-        first += levels[s]["n"] if s in levels else 0
-    trie = Trie(words, [], sum(r["total"] for r in levels.values()), first, bits)
+        words.append((made[s]["file"] if s in made else "", first))
+        if s in made:
+            cuts += [first + c for c in made[s]["cuts"]]
+            hot |= {first + h["number"]: h["n"] for h in made[s]["hot"]}
+            first += made[s]["n"]
+    trie = Trie(words, sum(r["total"] for r in made.values()), first, bits)
     if not trie.total:
         return trie
 
-    n_shards = max(1, -(-trie.total // SHARD))
-    span = -(-trie.distinct // n_shards)
-    n_shards = -(-trie.distinct // span)
     shared = spark.sparkContext.broadcast(trie)  # names of files
-    distinct = trie.distinct
-
-    def pairs(hashes, sizes):
-        own, place = np.unique(hashes, return_inverse=True)
-        ids = shared.value.look_up(own)[0][place]
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[0] = ids[-1]  # an end; each text begins after one
-        return before.astype(np.uint64) * np.uint64(distinct) + ids.astype(np.uint64)
-
-    def pairs_level(key, rows):
-        import pandas as pd
-
-        keys, counts = _merged(rows)
-        start, size = int(key[0]) * span, min(span, distinct - int(key[0]) * span)
-        context = (keys // np.uint64(distinct)).astype(np.int64) - start
-        totals = np.bincount(context, counts, size)
-        q = np.maximum(counts - DISCOUNT, 1e-3) / totals[context]
-        codes = np.clip(np.rint(-np.log10(q) / STEP), 0, 255).astype(np.uint8)
-        arrays, facts = _named("words", EliasFano.build(keys - np.uint64(start * distinct), size * distinct))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=size))])
-        more, named = _named("pointers", EliasFano.build(ends, len(keys) + 1))
-        return pd.DataFrame({"shard": [key[0]], "file": [save(folder, {**arrays, **more, "codes": codes}, facts | named)], "n": [len(keys)], "total": [int(counts.sum())]})
-
-    cut2 = lambda keys: (keys // np.uint64(distinct * span)).astype(np.int64)
-    parts = _gathered(texts, pairs, cut2)
-    made = {r["shard"]: r["file"] for r in written(parts.groupBy("shard").applyInPandas(pairs_level, result), "pairs").collect()}
-    trie.shards = [(made.get(s, ""), s * span) for s in range(n_shards)]
+    level = Level(trie.distinct, trie.distinct, _starts(cuts, hot, trie.distinct, trie.distinct, each))
+    parts = _gathered(texts, lambda hashes, sizes: shared.value.pair_keys(shared.value.numbered(hashes)[0], sizes)[2], level.shard_of)
+    trie.pairs, cuts, next_hot, most = _level(parts, level, hot, folder, "pairs", each)
+    most = max([most, *(fan for fan, _ in trie.pairs.split.values())])
+
+    shared_pairs = spark.sparkContext.broadcast(trie)
+    span = most + 1
+    if trie.pairs.size * span >= 1 << 63:
+        raise ValueError("too many pairs for keys of 63 bits")
+    level = Level(trie.pairs.size, span, _starts(cuts, next_hot, span, trie.pairs.size, each))
+
+    def triple_keys(hashes, sizes):
+        trie = shared_pairs.value
+        at = trie.places(trie.numbered(hashes)[0], sizes)
+        return at["context"][at["rows"]].astype(np.uint64) * np.uint64(span) + at["rank"].astype(np.uint64)
+
+    trie.triples = _level(_gathered(texts, triple_keys, level.shard_of), level, next_hot, folder, "triples", each)[0]
     return trie
 
 
 def scores(texts: list[str], trie: Trie) -> dict[str, np.ndarray]:
     """Counts and scores of texts."""
     hashes, sizes = tokens(texts)
-    own, place = np.unique(hashes, return_inverse=True)
-    own_ids, own_counts = trie.look_up(own)
-    ids, counts = own_ids[place], own_counts[place]
+    ids, counts = trie.numbered(hashes)
     starts = np.cumsum(sizes) - sizes
     p1 = (counts + 1.0) / (trie.total + 1.0 * (trie.distinct + 1))
-    base = np.add.reduceat(np.log10(p1), starts)
-    end = trie.look_up(np.array([END], np.uint64))
-    before, before_count = np.empty_like(ids), np.empty_like(counts)
-    before[1:], before_count[1:] = ids[:-1], counts[:-1]
-    before[starts], before_count[starts] = end[0][0], end[1][0]
-    score = np.log10(p1)
-    known = np.flatnonzero(before >= 0)
-    if len(known) and trie.shards:
-        # Unknown words have no successor entry; the id past the last stands for them.
-        word = np.where(ids[known] >= 0, ids[known], trie.distinct - 1).astype(np.uint64)
-        pair, back = np.unique(before[known].astype(np.uint64) * np.uint64(trie.distinct) + word, return_inverse=True)
-        context = (pair // np.uint64(trie.distinct)).astype(np.int64)
-        found, fanout = trie.successors(pair, context, (pair % np.uint64(trie.distinct)).astype(np.int64))
-        seen = np.where(ids[known] >= 0, np.nan_to_num(10 ** found[back], nan=0.0), 0.0)
-        spare = DISCOUNT * fanout[back] / before_count[known]
-        score[known] = np.log10(seen + spare * p1[known])
-    return {"n_tokens": sizes, "n_known": np.add.reduceat((ids >= 0).astype(np.int64), starts), "base_score": base, "score": np.add.reduceat(score, starts)}
+    p = p1
+    if trie.pairs:
+        at = trie.places(ids, sizes)
+        p = at["p"] + at["left"] * p1
+        some = np.flatnonzero(at["context"] >= 0)
+        if trie.triples and len(some):
+            contexts, back = np.unique(at["context"][some], return_inverse=True)
+            q, left = np.zeros(len(ids)), np.ones(len(ids))
+            left[some] = trie.triples.begins(contexts)[1][back]
+            keys, back = np.unique(at["context"][at["rows"]].astype(np.uint64) * np.uint64(trie.triples.span) + at["rank"].astype(np.uint64), return_inverse=True)
+            q[at["rows"]] = trie.triples.find(keys)[1][back]
+            p = q + left * p
+    sums = lambda x: np.add.reduceat(x, starts)
+    return {"n_tokens": sizes, "n_known": sums((ids >= 0).astype(np.int64)), "base_score": sums(np.log10(p1)), "score": sums(np.log10(p))}
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,8 +457,8 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end.
     Returns id, held_out, n_tokens, n_known (tokens seen in training),
     train_tokens, base_score (sum of log10 of add-one unigram probabilities) and
-    score: log10 probability by the trie, bigrams with absolute discounting,
-    interpolated with those unigrams, quantised. A null text is empty: one end.
+    score: log10 probability by the trie, trigrams and bigrams with absolute
+    discounting, interpolated with those unigrams, quantised. A null text is empty: one end.
     If all rows are held out nothing is known and scores are those of an empty
     model. Repeated rows each stay and count; other columns are left out; an
     empty table gives no rows.

@@ -108,27 +108,84 @@ def test_elias_fano():
         assert all((p == np.searchsorted(v, q)) if int(q) in own else p == -1 for p, q in zip(found.tolist(), x, strict=True))
 
 
+def plain_model(tokens):
+    """Probability of a word after those before it in a text, by counts of the tokens of training texts (an end last)."""
+    grams, after, n, v = Counter(), defaultdict(set), 0, len({w for own in tokens for w in own})
+    for own in tokens:
+        n += len(own)
+        for i in range(len(own)):
+            for k in range(3):
+                if i - k >= -1 and k < 3 and (k < 2 or i >= 1):
+                    before = tuple(own[j] if j >= 0 else None for j in range(i - k, i))
+                    grams[(*before, own[i])] += 1
+                    after[before].add(own[i])
+
+    totals = {before: sum(grams[(*before, w)] for w in words) for before, words in after.items()}
+
+    def probability(word, before):
+        p = (grams[(word,)] + 1) / (n + v + 1)
+        for k in (1, 2):
+            context = tuple(before[-k:])
+            total = totals.get(context, 0) if len(context) == k else 0
+            if total:
+                p = max(grams[(*context, word)] - 0.75, 0) / total + 0.75 * len(after[context]) / total * p
+        return p
+
+    return probability, grams, n
+
+
 def test_lm_scores(spark, texts):
     out = {r["doc_id"]: r for r in lm_trie.lm_scores(table(spark, texts)).collect()}
     tokens = {i: brute.WORD.findall(brute.lower(t or "")) + [None] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c, pairs, after = Counter(), Counter(), defaultdict(set)
-    for i, own in tokens.items():
-        if not held[i]:
-            c.update(own)
-            for x, y in zip([None, *own], own):
-                pairs[x, y] += 1
-                after[x].add(y)
-    n, v = sum(c.values()), len(c)
+    probability, grams, n = plain_model([own for i, own in tokens.items() if not held[i]])
+    known = {g[0] for g in grams if len(g) == 1}
+    memo = {}
     for i, own in tokens.items():
-        p = [(c[w] + 1) / (n + v + 1) for w in own]
         r = out[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(own), sum(w in c for w in own), n)
-        assert math.isclose(r["base_score"], sum(map(math.log10, p)), rel_tol=1e-9)
-        score = sum(math.log10(max(pairs[x, y] - 0.75, 0) / c[x] + 0.75 * len(after[x]) / c[x] * q if c[x] else q) for x, y, q in zip([None, *own], own, p))
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(own), sum(w in known for w in own), n)
+        assert math.isclose(r["base_score"], sum(math.log10((grams[(w,)] + 1) / (n + len(known) + 1)) for w in own), rel_tol=1e-9)
+        score = 0.0
+        for k, w in enumerate(own):
+            before = (None, *own[:k])[-2:] if k else (None,)
+            before = before if k > 1 or k == 0 else (None, own[0])
+            key = (w, before)
+            if key not in memo:
+                memo[key] = math.log10(probability(w, before))
+            score += memo[key]
         assert abs(r["score"] - score) <= 0.02 * len(own)
     assert lm_trie.lm_scores(table(spark, texts).limit(0)).count() == 0
-    assert lm_trie.lm_scores(table(spark, ["none"]).withColumn("doc_id", F.lit(9)).where("false")).count() == 0
+    same = lm_trie.lm_scores(spark.createDataFrame([(None, "a b c"), (None, None), (7, "a b c"), (7, "a b c")], "doc_id long, text string")).collect()
+    assert len(same) == 4 and len({r["score"] for r in same if r["n_tokens"] == 4}) == 1
+
+
+def test_lm_split_shards(spark, texts):
+    """Contexts with more occurrences than a shard takes are split, and change nothing but the quantised steps."""
+    rows = table(spark, texts).select(F.coalesce("text", F.lit("")))
+    whole, split = lm_trie.build(rows), lm_trie.build(rows, each=100)
+    assert len(split.pairs.starts) > 20 < len(split.triples.starts) and split.pairs.split and split.pairs.size == whole.pairs.size and split.triples.size == whole.triples.size
+    own = [t or "" for t in texts[:60]]
+    a, b = lm_trie.scores(own, whole), lm_trie.scores(own, split)
+    assert (abs(a["score"] - b["score"]) <= 0.04 * a["n_tokens"]).all() and (a["base_score"] == b["base_score"]).all()
+
+
+def test_lm_probabilities_sum_to_one(spark, texts):
+    """After a word, and after a pair, over all known words, the end and one unknown."""
+    model = lm_trie.build(table(spark, texts).select(F.coalesce("text", F.lit(""))))
+    words = sorted({w for t in texts for w in brute.WORD.findall(brute.lower(t or ""))}) + ["not-a-word-of-these", ""]
+    for before in ("the", "of the"):
+        hashes, sizes = lm_trie.tokens([f"{before} {w[:40]}" if len(w) < 40 else f"{before} {w}" for w in words])
+        ids, counts = model.numbered(hashes)
+        at = model.places(ids, sizes)
+        own = np.cumsum(sizes) - sizes + len(before.split())
+        p = at["p"][own] + at["left"][own] * (counts[own] + 1.0) / (model.total + model.distinct + 1)
+        if (context := at["context"][own])[0] >= 0:
+            order = np.argsort(at["rank"][np.searchsorted(at["rows"], own[at["place"][own] >= 0])])
+            found = own[at["place"][own] >= 0][order]
+            rank = at["rank"][np.searchsorted(at["rows"], found)]
+            q = dict(zip(found.tolist(), model.triples.find(np.uint64(context[0] * model.triples.span) + rank.astype(np.uint64))[1], strict=True))
+            p = np.array([q.get(k, 0.0) for k in own.tolist()]) + model.triples.begins(context[:1])[1][0] * p
+        assert abs(p.sum() - 1) < 0.03, (before, p.sum())
 
 
 def test_classifier_on_held_out_labels(spark):
