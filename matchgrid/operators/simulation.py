@@ -127,7 +127,7 @@ def skill_gap(empirical: DataFrame, market_right: DataFrame) -> DataFrame:
 def confidence(bets: DataFrame, noise: float = 0.05, n: int = 1000) -> DataFrame:
     """Spread of the edge of single bets (id, prob, price) under Gaussian noise on the probability."""
     draws = bets.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u, v = (uniform(F.col("id"), F.col("k"), F.lit(s)) for s in (1, 2))
+    u, v = (F.shiftrightunsigned(F.xxhash64("id", "k", F.lit(s)), 11) / float(1 << 53) for s in (1, 2))  # independent, as linear steps aren't
     normal = F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * np.pi * v)
     p = F.least(F.greatest(F.col("prob") + noise * normal, F.lit(0.01)), F.lit(0.99))
     rows = draws.withColumn("e", bet.edge(p, F.col("price")))

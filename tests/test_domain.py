@@ -7,13 +7,13 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from matchgrid import config
 from matchgrid.functions import basketball as bb, betting as bet, text
 from matchgrid.operators import injuries as inj, metrics as mt, models, odds as od, ratings, simulation as sim, windows as wn
 from matchgrid.plans import features as ft, recommend as rec
-from matchgrid.sources import snapshots as sn
+from matchgrid.sources import markets, snapshots as sn
 from matchgrid.sources.fixtures import view
 from matchgrid.streaming import odds as stream
 
@@ -240,7 +240,8 @@ def test_features_and_models(spark):
     assert rows.count() == 1500
     assert models.folds(rows).count() <= 3
     fit, rest = models.split_by_date(rows)
-    assert fit.agg(F.max("date")).first()[0] < rest.agg(F.min("date")).first()[0]
+    assert fit.agg(F.max("date")).first()[0] <= rest.agg(F.min("date")).first()[0] and (fit.count(), rest.count()) == (1200, 300)
+    assert fit.join(rest, "game_id").count() == 0
     model = models.classifier(few, maxIter=3, maxDepth=2).fit(fit)
     p = models.scored(model, rest)
     for kind in ("isotonic", "platt"):
@@ -272,11 +273,154 @@ def test_whole_simulations_take_every_settled_bet(spark, monkeypatch):
     table = spark.createDataFrame(rows, "id long, bet_side string, model_home_prob double, market_home_prob double, home_won boolean").repartition(5)
     monkeypatch.setattr(q, "view", lambda *_: table)
     expected = [(r[3], r[4]) for r in rows if r[1] == "HOME" and r[4] is not None]
-    got = sorted(q._all_bets(spark, "").collect(), key=lambda r: r["idx"])
+    got = sorted(q._bets(spark, "").collect(), key=lambda r: r["idx"])
     assert [r["idx"] for r in got] == list(range(len(expected))) and [(r["market_prob"], r["won"]) for r in got] == expected
     asked = []
-    monkeypatch.setattr(q.sim, "bankroll_paths", lambda bets, n, mode: asked.append((bets.count(), n, mode)) or spark.range(0))
+    none = spark.createDataFrame([], q.sim.PATHS)
+    monkeypatch.setattr(q.sim, "bankroll_paths", lambda bets, n, mode: asked.append((bets.count(), n, mode)) or none)
     monkeypatch.setattr(q.sim, "simulation_summary", lambda paths: paths)
-    for name in ("montecarlo_summary", "montecarlo_empirical_all", "montecarlo_market_null_all"):
+    for name in ("montecarlo_summary", "montecarlo_empirical", "montecarlo_market_null"):
         q.QUERIES[name](spark, "")
     assert asked == [(len(expected), 10_000, m) for m in ("empirical", "empirical", "market_right")]
+
+
+def test_simulations_in_tasks_by_windows_and_by_hand(spark, monkeypatch):
+    rows = [(i, 0.3 + i % 60 / 100, 0.35 + i % 31 / 100, i % 5 < 3) for i in range(70)]
+    bets = spark.createDataFrame(rows, "idx long, model_prob double, market_prob double, won boolean")
+
+    def draw(*parts):
+        x = sum(p * k for p, k in zip(parts, (7919, 104729, 1299709))) + 12345
+        for _ in range(3):
+            x = x % sim.MODULUS * sim.FACTOR
+        return x % sim.MODULUS / float(sim.MODULUS)
+
+    stakes = {r["idx"]: r["f"] for r in bets.select("idx", bet.kelly(F.col("model_prob"), F.col("market_prob")).alias("f")).collect()}
+    for mode in ("empirical", "market_right"):
+        monkeypatch.setattr(sim, "BROADCAST_BETS", 10**6)
+        few = {r["sim"]: r for r in sim.bankroll_paths(bets, 12, mode).collect()}
+        monkeypatch.setattr(sim, "BROADCAST_BETS", 1)
+        many = {r["sim"]: r for r in sim.bankroll_paths(bets, 12, mode).collect()}
+        for s in range(12):
+            money = peak = config.BANKROLL
+            fall = 0.0
+            for step in range(70):
+                _, _, m, won = rows[int(draw(s, step) * 70)]
+                f = stakes[int(draw(s, step) * 70)]
+                won = won if mode == "empirical" else draw(step, s, 7) < m
+                money *= 1 + f * (1 / m - 1) if won else 1 - f
+                peak = max(peak, money)
+                fall = max(fall, (peak - money) / peak)
+            for got in (few[s], many[s]):
+                assert math.isclose(got["final_bankroll"], money, rel_tol=1e-9) and math.isclose(got["max_drawdown"], fall, abs_tol=1e-9) and got["n_bets"] == 70
+    assert sim.bankroll_paths(bets.limit(0), 3).count() == 0
+
+
+def test_quantiles_of_many_few_and_no_values(spark):
+    for values in ([], [3.0], [2.0, 1.0], [float(i * 7919 % 1000) for i in range(997)], [5.0] * 40):
+        got = mt.quantiles(spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(5), "x").first()
+        if not values:
+            assert all(v is None for v in got)
+            continue
+        assert [got[f"pct_{q}"] for q in mt.QUANTILES] == pytest.approx(np.percentile(values, mt.QUANTILES).tolist()) and got["max"] == max(values)
+
+
+def test_confidence_of_a_bet(spark):
+    got = {r["id"]: r for r in sim.confidence(spark.createDataFrame([(1, 0.6, 0.5), (2, 0.5, 0.6)], "id long, prob double, price double"), n=2000).collect()}
+    assert got[1]["edge_5"] < 0.2 < got[1]["edge_95"] and abs(got[1]["edge_50"] - 0.2) < 0.02 and got[1]["positive_share"] > 0.9 > 0.1 > got[2]["positive_share"]
+
+
+def test_search_stack_margins_importance_and_artifacts(spark, tmp_path):
+    r = np.random.default_rng(2)
+    rows, start = [], dt.date(2020, 1, 1)
+    for i in range(900):
+        x, y = float(r.normal()), float(r.normal())
+        p = 1 / (1 + math.exp(-2 * x))
+        home = 100 + int(8 * x + r.normal())
+        rows.append((i, start + dt.timedelta(days=i), x, y, p, min(max(p + 0.1 * float(r.normal()), 0.01), 0.99), float(r.random() < p), home, 100))
+    table = spark.createDataFrame(rows, "game_id long, date date, x double, y double, elo_home_prob double, other double, home_win double, home_score long, away_score long").repartition(3).persist()
+    best, losses = models.search(table, ["x", "y"], [{"maxIter": 1, "maxDepth": 1, "stepSize": 0.01}, {"maxIter": 8, "maxDepth": 2, "stepSize": 0.3}], n=1)
+    assert best["maxIter"] == 8 and len(losses) == 2 and losses[1][1] < losses[0][1] < 1
+    stack = models.stacked(table, "elo_home_prob", "other", ["y"])
+    p = models.scored(stack, models.stack_inputs(table, "elo_home_prob", "other"))
+    assert mt.probability_scores(p, F.col("raw_prob"), F.col("home_win")).first()["brier"] < 0.2
+    margins = models.margin_models(table, ["x", "y"])
+    assert margins["margin"][1] < 4 and margins["total"][1] < 4
+    model = models.classifier(["x", "y"], maxIter=4, maxDepth=2).fit(table)
+    rank = models.permutation_importance(model, table, ["x", "y"], repeats=2, sample=300).collect()
+    assert [v["feature"] for v in rank] == ["x", "y"] and rank[0]["importance"] > 0.05 > abs(rank[1]["importance"])
+
+    path = f"file://{tmp_path}/artifacts"
+    assert models.Artifacts.load(spark, path) is None
+    kept = models.Artifacts(model, ["x", "y"], {"x": 0.5, "y": 0.0}, models.Calibration("platt", [1.0], [0.0]), 0.25)
+    kept.save(spark, path)
+    one = models.Artifacts.load(spark, path)
+    assert one is models.Artifacts.load(spark, path) and (one.names, one.means, one.elo_weight, one.calibration) == (kept.names, kept.means, kept.elo_weight, kept.calibration)
+    kept.elo_weight = 1.0
+    kept.save(spark, path)
+    two = models.Artifacts.load(spark, path)
+    assert two is not one and two.elo_weight == 1.0
+    slate = spark.createDataFrame([(1, 2.0, None, 0.9), (2, None, None, 0.3), (3, 2.0, 1.0, None)], "game_id long, x double, y double, elo_home_prob double")
+    got = {v["game_id"]: v for v in models.predicted(slate, one).collect()}
+    assert not got[2]["used_model"] and got[2]["model_home_prob"] == 0.3 and not got[1]["used_model"] and got[3]["used_model"] and got[3]["model_home_prob"] > 0.5
+    table.unpersist()
+
+
+def test_upcoming_games(spark):
+    history = ratings.elo_history(view(spark, SF, "games"))
+    form = ft.team_form(view(spark, SF, "game_stats"), history)
+    slate = spark.createDataFrame([(-1, dt.date(2030, 1, 1), 3, 4), (-2, dt.date(2030, 1, 1), 5, 99)], "game_id long, date date, home_team_id long, away_team_id long")
+    rows = ft.upcoming_matrix(form, slate, history).collect()
+    last = {r["team_id"]: r["elo"] for r in ratings.leaderboard(history).collect()}
+    assert len(rows) == 1 and rows[0]["game_id"] == -1 and rows[0]["home_elo"] == last[3] and rows[0]["elo_diff"] == last[3] - last[4]
+    assert rows[0]["diff_pts_roll_10"] is not None and "home_win" not in rows[0].asDict()
+
+
+def test_documents_lines_and_pages(spark, tmp_path):
+    (tmp_path / "injuries.json").write_text(json.dumps([{"player_name": "A", "impact": 3.0}, {"player_name": "B"}]))
+    got = sn.read_documents(spark, str(tmp_path / "injuries.json"), T.StructType.fromDDL("player_name string, impact double")).collect()
+    assert [(r["player_name"], r["impact"]) for r in got] == [("A", 3.0), ("B", None)]
+    rows = spark.createDataFrame([("2026-01-01 23:59:00", "BOS", None), ("2026-01-02 00:10:00", "LAL", 0.5)], "timestamp string, home_team_abbr string, home_prob double").withColumn("timestamp", F.to_timestamp("timestamp"))
+    sn.append_snapshots(rows.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    for _ in range(2):
+        sn.append_snapshots(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 4 and (tmp_path / "log" / "utc_day=2026-01-02").exists()
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    event = lambda title, *markets: {"title": title, "slug": "x-2026-01-05", "markets": list(markets)}
+    market = lambda q, o, p, closed=False: {"question": q, "outcomes": json.dumps(o), "outcomePrices": json.dumps(p), "closed": closed}
+    (pages / "1.json").write_text(json.dumps([event("Bulls vs. Wizards", market("bulls vs. wizards", ["Bulls", "Wizards"], ["0.665", "0.335"])), event("Heat vs. Nets", market("Will the Nets win?", ["Yes", "No"], ["0.3", "0.7"])), event("Next MVP", market("?", ["Yes", "No"], ["0.5", "0.5"]))]))
+    (pages / "2.json").write_text(json.dumps([event("Suns vs. Jazz", market("Suns vs. Jazz", ["Suns", "Jazz"], ["0.99", "0.01"])), event("Kings vs. Spurs"), event("Magic vs. Hawks", market("Magic vs. Hawks", ["Magic", "Hawks"], ["0.4", "0.6"], True))]))
+    found = {r["event_title"]: (r["first"], r["second"], round(r["first_price"], 3), round(r["second_price"], 3), r["game_date"]) for r in markets.event_prices(markets.read_pages(spark, str(pages))).collect()}
+    assert found == {"Bulls vs. Wizards": ("CHI", "WAS", 0.665, 0.335, "2026-01-05"), "Heat vs. Nets": ("MIA", "BKN", 0.7, 0.3, "2026-01-05")}
+    assert sn.with_columns_of(rows, T.StructType.fromDDL("home_prob double, spread double")).first()["spread"] is None
+
+
+def test_reports_without_names_stay(spark):
+    reports = spark.createDataFrame([("Al", "BOS", 3.0), (None, "LAL", 9.0), ("BO", "AAA", 9.0)], "player_name string, team_abbr string, impact_rating double")
+    assert {r["team_abbr"] for r in inj.without_player(reports, "AL").collect()} == {"LAL", "AAA"} and inj.cleared(reports).count() == 0
+    assert [r["team_abbr"] for r in inj.by_impact(inj.with_player(reports, "al", "nyk", impact=9.5)).collect()] == ["NYK", "AAA", "LAL"]
+    players = spark.createDataFrame([("x", 1, 3, None), ("y", 1, None, 5.0), ("z", 2, 1, 1.0)], "player_name string, team_id long, depth_chart_rank int, points_per_game double")
+    assert [(r["player_name"], r["points_per_game"]) for r in inj.by_depth(players, 1).collect()] == [("y", 5.0), ("x", 0.0)]
+
+
+def test_slate_is_ordered_and_keeps_games_without_more(spark):
+    rows = rec.decided(spark.createDataFrame([(1, "A", "B", 1, 2, 0.6, 0.55), (2, "C", "D", 3, 4, 0.8, 0.5), (3, "E", "F", 5, 6, 0.5, 0.5)], "id long, home string, away string, home_team_id long, away_team_id long, model_home_prob double, market_home_prob double"))
+    rows = rows.withColumns({"spread": F.lit(-3.0), "over_under": F.lit(220.0)})
+    margins = spark.createDataFrame([(1, 2, 6.004, 230.0)], "home_team_id long, away_team_id long, predicted_spread double, predicted_total double")
+    context = spark.createDataFrame([(3, 5.0)], "team_id long, trend double")
+    moved = spark.createDataFrame([(3, 4, 0.1, 0.0, 3)], "home_team_id long, away_team_id long, prob_movement double, odds_disagreement double, n_snapshots long")
+    got = rec.slate_view(rows, margins, context, moved).collect()
+    assert [r["id"] for r in got] == [2, 1, 3] and "trending up" in got[0]["explanation"] and "line moves to" in got[0]["explanation"]
+    assert (got[1]["spread_pick"], got[1]["total_pick"], got[1]["predicted_spread"]) == ("A -3.0", "OVER 220.0", 6.0) and got[2]["spread_pick"] == "NO BET" and got[2]["trend"] is None
+
+
+def test_hourly_windows_of_a_stream(spark, tmp_path):
+    rows = odds(spark, ("espn", 0, 0.6, 1.0), ("espn", 0, 0.2, 1.0), ("espn", 3, 0.7, 1.0), ("espn", 3, None, 1.0))
+    rows.write.parquet(str(tmp_path / "in"))
+    q = stream.windowed_activity(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["window"]["start"], r["n"], r["mean_prob"]) for r in spark.table("hours").collect())
+    assert [(n, p) for _, n, p in got] == [(2, 0.4), (2, 0.7)]
+    assert sorted(map(str, stream.windowed_activity(rows).collect())) == sorted(map(str, spark.table("hours").collect()))
