@@ -794,15 +794,32 @@ def _moved(spark, sf):
     return last.select("home_team_id", "away_team_id", "m.*")
 
 
-@query()
+_SHOWN = f"""{ctes('predictions', 'game_stats', 'odds_snapshots')}{DECIDED[len(PRED):]},
+ t as (select team_id, {roll('plus_minus', 5, 2)} - {roll('plus_minus', 20, 10)} as trend, date, game_id from game_stats qualify row_number() over (partition by team_id order by date desc, game_id desc) = 1),
+ md as (select {_GAME}, count(*) as n_snapshots, {_MOVES['prob_movement']} as moved, {_MOVES['odds_disagreement']} as apart from odds_snapshots group by {_GAME}),
+ ml as (select home_team_id, away_team_id, arg_max(n_snapshots, game_date) as n_snapshots, arg_max(moved, game_date) as moved, arg_max(apart, game_date) as apart from md group by 1, 2),
+ mm as (select home_team_id, away_team_id, cast(max(home_score - away_score) as double) as margin, cast(max(home_score + away_score) as double) as points from games group by 1, 2),
+ sl as (select f.*, concat('T', cast(f.home_team_id as varchar)) as home, concat('T', cast(f.away_team_id as varchar)) as away, case when side = 'HOME' then th.trend else ta.trend end as trend, ml.n_snapshots, moved, apart, margin, points, cast(id % 25 - 12 as double) as spread, cast(195 + id % 40 as double) as line
+ from f left join t th on th.team_id = f.home_team_id left join t ta on ta.team_id = f.away_team_id left join ml on ml.home_team_id = f.home_team_id and ml.away_team_id = f.away_team_id left join mm on mm.home_team_id = f.home_team_id and mm.away_team_id = f.away_team_id),
+ sn as (select *, case when side = 'HOME' then home else away end as team from sl)"""
+
+
+@query(
+    f"{_SHOWN} select id, side, case when side = 'NO BET' then concat('No significant edge between ', away, ' and ', home, '.') else concat_ws(' ', concat('Model gives ', team, ' a ', printf('%.1f', 100 * q), '% chance against a market price of ', printf('%.1f', 100 * m), '%.'), "
+    "case when trend > 3 then concat(team, ' is trending up.') when trend < -3 then concat(team, ' is in a slump.') end, case when n_snapshots >= 2 and abs(moved) > 0.03 then concat('The line moves ', case when moved > 0 then 'to' else 'away from' end, ' the home team (', printf('%+.1f', 100 * moved), '%).') end, "
+    "case when n_snapshots >= 2 and apart > 0.05 then concat('Markets disagree by ', printf('%.1f', 100 * apart), '%.') end) end as explanation from sn"
+)
 def bet_explanations(spark, sf):
     out = rec.slate_view(_slate(spark, sf), context=_context(spark, sf), moved=_moved(spark, sf))
     return out.select("id", "side", "explanation")
 
 
-@query()
+@query(
+    f"{_SHOWN} select id, side, {r('edge', 'edge')}, {r('margin', 'predicted_spread')}, {r('points', 'predicted_total')}, case when margin + spread >= 1.5 then concat(home, ' ', printf('%+.1f', spread)) when margin + spread <= -1.5 then concat(away, ' ', printf('%+.1f', -spread)) else 'NO BET' end as spread_pick, "
+    f"case when points - line >= 2.5 then printf('OVER %.1f', line) when points - line <= -2.5 then printf('UNDER %.1f', line) else 'NO BET' end as total_pick, {r('margin + spread', 'spread_edge')}, {r('points - line', 'total_edge')}, {r('trend', 'trend')}, {r('moved', 'prob_movement')}, n_snapshots from sn"
+)
 def recommendation_slate(spark, sf):
-    margins = view(spark, sf, "games").groupBy("home_team_id", "away_team_id").agg(F.avg(F.col("home_score") - F.col("away_score")).alias("predicted_spread"), F.avg(F.col("home_score") + F.col("away_score")).alias("predicted_total"))
+    margins = view(spark, sf, "games").groupBy("home_team_id", "away_team_id").agg(F.max(F.col("home_score") - F.col("away_score")).cast("double").alias("predicted_spread"), F.max(F.col("home_score") + F.col("away_score")).cast("double").alias("predicted_total"))
     out = rec.slate_view(_slate(spark, sf), margins, _context(spark, sf), _moved(spark, sf))
     return rounded(out.select("id", "side", "edge", "predicted_spread", "predicted_total", "spread_pick", "total_pick", "spread_edge", "total_edge", "trend", "prob_movement", "n_snapshots"))
 
