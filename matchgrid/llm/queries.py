@@ -44,8 +44,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = secrets.train(secrets.example_findings(spark))
-    return secrets.secret_scan(read_table(spark, sf_dir, "documents"), trees)
+    docs = read_table(spark, sf_dir, "documents")
+    words = secrets.corpus_words(docs)
+    trees = secrets.train(secrets.example_findings(spark, dictionary=words), dictionary=words)
+    return secrets.secret_scan(docs, trees, dictionary=words)
 
 
 def op9_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
