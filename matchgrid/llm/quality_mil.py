@@ -20,6 +20,8 @@ PASSAGE = 50
 CHUNK = 1 << 20
 #: Labelled rows at most that the model is fitted on.
 MAX_TRAINING_ROWS = 4000
+#: Passages at most, spread over the text, that a row has in fitting.
+MAX_TRAINING_PASSAGES = 400
 #: Width of a passage's encoding, and of the attention's hidden layer.
 WIDTH, ATTENTION = 24, 12
 
@@ -143,8 +145,15 @@ class AttentionModel:
         return self.forward(np.concatenate(bags).astype(np.float64), starts)[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
-    """Fits a model to at most max_rows labelled rows (see bounded_sample).
+def _spread(own: np.ndarray, n: int) -> np.ndarray:
+    """own, or n of its rows at equal distances."""
+    return own if len(own) <= n else own[np.linspace(0, len(own) - 1, n).astype(int)]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", max_passages: int = MAX_TRAINING_PASSAGES) -> AttentionModel:
+    """Fits a model to at most max_rows labelled rows (see bounded_sample), each with max_passages passages at most.
+
+    Only fitting is bounded so: scores are of whole texts.
 
     Rows with a null label or id aren't used; without any the model is as initialised.
     """
@@ -154,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
     def work(batches):
         for batch in batches:
-            own = [passages(t).tobytes() for t in batch.column(2).to_pylist()]
+            own = [_spread(passages(t), max_passages).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["_doc", "_label", "bag"])
 
     rows = found.mapInArrow(work, f"_doc {found.schema[0].dataType.simpleString()}, _label double, bag binary")

@@ -140,7 +140,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     each time; an empty table gives no rows. Long texts are handled whole.
     """
     name, keep = "quality", docs.columns if keep is None else keep
-    while any(c.startswith(name) for c in docs.columns):
+    while any(c.lower().startswith(name) for c in docs.columns):
         name = f"_{name}"
     rows = written(measured(docs, text_col, lang_col, name, keep), "quality")
     refs = written(references(rows, name), "references")  # a row for each language
