@@ -257,6 +257,7 @@ class Trie:
     bits: int
     pairs: Level | None = None
     triples: Level | None = None
+    span: int = 0
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted hashes."""
@@ -273,37 +274,69 @@ class Trie:
                 counts[lo:hi][known] = arrays["counts"][at[known]]
         return ids, counts
 
-    def numbered(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """look_up of hashes in any order."""
-        own, place = np.unique(hashes, return_inverse=True)
-        ids, counts = self.look_up(own)
-        return ids[place], counts[place]
-
-    def pair_keys(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of tokens' numbers (texts one after the other): the number before (at the beginning of a text that of an end), whether both are known, and level 2's keys of those."""
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[np.cumsum(sizes) - sizes] = self.numbered(np.array([END], np.uint64))[0][0]
-        known = np.flatnonzero((before >= 0) & (ids >= 0))
-        return before, known, before[known].astype(np.uint64) * np.uint64(self.distinct) + ids[known].astype(np.uint64)
-
-    def places(self, ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
-        """For each token: its pair's place in level 2 (-1: absent) and probability, what the word before leaves, and level 3's key of a triple (where there is one: rows)."""
-        before, known, keys = self.pair_keys(ids, sizes)
-        place, p, left = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
-        own, back = np.unique(keys, return_inverse=True)
-        found, q = self.pairs.find(own)
-        place[known], p[known] = found[back], q[back]
-        some = np.flatnonzero(before >= 0)
-        contexts, back = np.unique(before[some], return_inverse=True)
-        begins, rest = self.pairs.begins(contexts)
-        begin = np.zeros(len(ids), np.int64)
-        begin[some], left[some] = begins[back], rest[back]
-        context = np.full(len(ids), -1, np.int64)
-        context[1:] = place[:-1]
-        context[np.cumsum(sizes) - sizes] = -1
-        rows = np.flatnonzero((context >= 0) & (place >= 0))
-        return {"place": place, "p": p, "left": left, "context": context, "rows": rows, "rank": (place - begin)[rows]}
+    def placed(self, hashes: np.ndarray, sizes: np.ndarray) -> Placed:
+        """Where the tokens of texts, one text after the other, stand in the levels that there are."""
+        own, back = np.unique(hashes, return_inverse=True)
+        ids, counts = self.look_up(own)  # numbers ascend as hashes do
+        starts = np.cumsum(sizes) - sizes
+        before = np.empty_like(back)
+        before[1:] = back[:-1]
+        before[starts] = np.searchsorted(own, END)  # every text has an end, and begins after one
+        at = Placed(ids[back], counts[back], starts)
+        at.known = np.flatnonzero((ids[before] >= 0) & (at.ids >= 0))
+        at.pair_keys = ids[before[at.known]].astype(np.uint64) * np.uint64(max(self.distinct, 1)) + at.ids[at.known].astype(np.uint64)
+        if not self.pairs:
+            return at
+        begin, left = np.zeros(len(own), np.int64), np.ones(len(own))
+        some = ids >= 0
+        begin[some], left[some] = self.pairs.begins(ids[some])
+        at.left = left[before]
+        keys, pair = np.unique(at.pair_keys, return_inverse=True)
+        places, p = self.pairs.find(keys)  # they ascend as keys do
+        at.p = np.zeros(len(hashes))
+        at.p[at.known] = p[pair]
+        index = np.full(len(hashes), -1, np.int64)  # of each token's pair among the keys, if the level has it
+        index[at.known] = np.where(places[pair] >= 0, pair, -1)
+        context = np.empty_like(index)
+        context[1:] = index[:-1]
+        context[starts] = -1
+        at.rows = np.flatnonzero((context >= 0) & (index >= 0))
+        span = self.triples.span if self.triples else self.span
+        rank = places[index[at.rows]] - begin[before[at.rows]]
+        at.triple_keys = places[context[at.rows]].astype(np.uint64) * np.uint64(span) + rank.astype(np.uint64)
+        if self.triples:
+            rest, seen = np.ones(len(keys) + 1), np.flatnonzero(places >= 0)
+            rest[seen] = self.triples.begins(places[seen])[1]
+            at.rest = rest[context]  # the last stands for tokens without a context
+        return at
+
+    def probabilities(self, at: Placed) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token alone, and after those before it."""
+        p1 = (at.counts + 1.0) / (self.total + 1.0 * (self.distinct + 1))
+        if not self.pairs:
+            return p1, p1
+        p = at.p + at.left * p1
+        if self.triples:
+            keys, back = np.unique(at.triple_keys, return_inverse=True)
+            p = at.rest * p
+            p[at.rows] += self.triples.find(keys)[1][back]
+        return p1, p
+
+
+@dataclass
+class Placed:
+    """Tokens in a model: numbers (-1: unknown) and counts; of known pairs (rows known) the keys and, by level 2, probabilities p, what the word before leaves; of triples (rows) the keys and what pairs leave."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+    known: np.ndarray | None = None
+    pair_keys: np.ndarray | None = None
+    left: np.ndarray | None = None
+    p: np.ndarray | None = None
+    rows: np.ndarray | None = None
+    triple_keys: np.ndarray | None = None
+    rest: np.ndarray | None = None
 
 
 def _starts(cuts: list[int], hot: dict[int, int], span: int, contexts: int, each: int) -> np.ndarray:
@@ -409,45 +442,27 @@ def build(texts: DataFrame, each: int = SHARD) -> Trie:
 
     shared = spark.sparkContext.broadcast(trie)  # names of files
     level = Level(trie.distinct, trie.distinct, _starts(cuts, hot, trie.distinct, trie.distinct, each))
-    parts = _gathered(texts, lambda hashes, sizes: shared.value.pair_keys(shared.value.numbered(hashes)[0], sizes)[2], level.shard_of)
+    parts = _gathered(texts, lambda hashes, sizes: shared.value.placed(hashes, sizes).pair_keys, level.shard_of)
     trie.pairs, cuts, next_hot, most = _level(parts, level, hot, folder, "pairs", each)
     most = max([most, *(fan for fan, _ in trie.pairs.split.values())])
 
-    shared_pairs = spark.sparkContext.broadcast(trie)
-    span = most + 1
+    trie.span = span = most + 1
     if trie.pairs.size * span >= 1 << 63:
         raise ValueError("too many pairs for keys of 63 bits")
+    shared_pairs = spark.sparkContext.broadcast(trie)
     level = Level(trie.pairs.size, span, _starts(cuts, next_hot, span, trie.pairs.size, each))
-
-    def triple_keys(hashes, sizes):
-        trie = shared_pairs.value
-        at = trie.places(trie.numbered(hashes)[0], sizes)
-        return at["context"][at["rows"]].astype(np.uint64) * np.uint64(span) + at["rank"].astype(np.uint64)
-
-    trie.triples = _level(_gathered(texts, triple_keys, level.shard_of), level, next_hot, folder, "triples", each)[0]
+    parts = _gathered(texts, lambda hashes, sizes: shared_pairs.value.placed(hashes, sizes).triple_keys, level.shard_of)
+    trie.triples = _level(parts, level, next_hot, folder, "triples", each)[0]
     return trie
 
 
 def scores(texts: list[str], trie: Trie) -> dict[str, np.ndarray]:
     """Counts and scores of texts."""
     hashes, sizes = tokens(texts)
-    ids, counts = trie.numbered(hashes)
-    starts = np.cumsum(sizes) - sizes
-    p1 = (counts + 1.0) / (trie.total + 1.0 * (trie.distinct + 1))
-    p = p1
-    if trie.pairs:
-        at = trie.places(ids, sizes)
-        p = at["p"] + at["left"] * p1
-        some = np.flatnonzero(at["context"] >= 0)
-        if trie.triples and len(some):
-            contexts, back = np.unique(at["context"][some], return_inverse=True)
-            q, left = np.zeros(len(ids)), np.ones(len(ids))
-            left[some] = trie.triples.begins(contexts)[1][back]
-            keys, back = np.unique(at["context"][at["rows"]].astype(np.uint64) * np.uint64(trie.triples.span) + at["rank"].astype(np.uint64), return_inverse=True)
-            q[at["rows"]] = trie.triples.find(keys)[1][back]
-            p = q + left * p
-    sums = lambda x: np.add.reduceat(x, starts)
-    return {"n_tokens": sizes, "n_known": sums((ids >= 0).astype(np.int64)), "base_score": sums(np.log10(p1)), "score": sums(np.log10(p))}
+    at = trie.placed(hashes, sizes)
+    p1, p = trie.probabilities(at)
+    sums = lambda x: np.add.reduceat(x, at.starts)
+    return {"n_tokens": sizes, "n_known": sums((at.ids >= 0).astype(np.int64)), "base_score": sums(np.log10(p1)), "score": sums(np.log10(p))}
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
