@@ -710,7 +710,7 @@ def elo_diagnosis(spark, sf):
 
 def _form(spark, sf):
     history = _history(spark, sf)
-    return ft.team_form(view(spark, sf, "game_stats"), history), history
+    return written(ft.team_form(view(spark, sf, "game_stats"), history), "form"), history
 
 
 _OPPONENT = f"""{_RATED}, g as (select t.*, cast(pts - pts_against as double) as net, coalesce(o.elo_before, 1500e0) as opp from game_stats t
