@@ -22,7 +22,7 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, and shingles of a set up to which its sketch isn't asked.
 BITS, PLAIN = 512, 64
 #: Members of a band up to which all groups in it are compared, and bands that divide a larger one.
-FEW, DIVIDERS = 32, 8
+FEW, DIVIDERS = 2048, 4
 #: Parts that groups are dealt out in where they meet their smallest ids.
 SALTS = 16
 _RANDOM = np.random.default_rng(20240607)
@@ -151,8 +151,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     in different groups, all pairs across them are compared in a band of up to
     FEW members; a larger one is divided by DIVIDERS other bands, drawn by its
     key, again and again. So a link is lost only where a pair shares no band at
-    all (see BANDS), none of the dividers of any band it shares (less than once
-    in 10**9 for similar sets), or has samples that differ improbably.
+    all (see BANDS), none of the dividers of any band it shares (a pair of
+    similarity 0.8 shares 13 of 32 bands, and each one's dividers but for once
+    in 8), or has samples that differ improbably.
     """
     rows = written(signatures(docs, k, id_col, text_col), "signatures")
     first = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.first(F.struct("doc", "place", "n_shingles", "bands", "sketch")).alias("r"))
