@@ -40,6 +40,16 @@ sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hi
 from d left join c using (doc_id) left join m using (doc_id)"""
 
 
+def hard_negatives() -> str:
+    return """with e as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as a, a.label = c.label as same, c.id as c, cast(coalesce(list_inner_product(a.v, c.v), 0) as bigint) as score from e a join e c on a.id <> c.id where a.id % 50 = 0),
+p as (select a, c as p, score as ps from s where same qualify row_number() over (partition by a order by score desc, c) <= 5),
+n as (select p.a, p.p, p.ps, s.c, s.score, row_number() over (partition by p.a, p.p order by s.score desc, s.c) as rank
+  from p join s on s.a = p.a and not s.same and 50 * ps <= 100 * s.score and 100 * s.score <= 95 * ps)
+select a as anchor_id, p as positive_id, cast(rank as int) as rank, c as negative_id, ps as positive_score, score as negative_score from n where rank <= 3"""
+
+
 def quality_rules() -> str:
     found = ", ".join(f"len(list_filter(ws, lambda x: x = '{w}'))" for w in qr.WORDS)
     some = ", ".join(f"'{w}'" for w in qr.WORDS)

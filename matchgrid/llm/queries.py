@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, line_dedup, lm_trie, near_dup, oracle, pii, quality_mil, quality_rules, secrets, token_files
+from . import bpe, decontaminate, hard_negatives, line_dedup, lm_trie, near_dup, oracle, pii, quality_mil, quality_rules, secrets, token_files
 from .common import read_table
 
 
@@ -59,6 +59,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows, label, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -70,10 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_lm_trie": op9_lm_trie,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": oracle.quality_rules(),
     "op4_near_dup": oracle.near_dup(),
     "op6_decontaminate": oracle.contamination(),
+    "op11_hard_negatives": oracle.hard_negatives(),
 }
