@@ -50,6 +50,27 @@ n as (select p.a, p.p, p.ps, s.c, s.score, row_number() over (partition by p.a,
 select a as anchor_id, p as positive_id, cast(rank as int) as rank, c as negative_id, ps as positive_score, score as negative_score from n where rank <= 3"""
 
 
+def source_divergence(least: int = 3, top: int = 200) -> str:
+    p = "cast(1 + (1000000000 * cast({} + 1 as hugeint)) // ({} + v) as bigint)"
+    f = "((p - q) * (p - q)) // q"
+    return f"""with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all({_folded('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents),
+t as (select id, lang, source, unnest(ts) as term from d),
+k as (select lang, term, cast(count(*) as bigint) as lang_n from t group by 1, 2 having count(distinct id) >= {least}),
+c as (select t.lang, t.source, t.term, cast(count(*) as bigint) as n from t join k on t.lang = k.lang and t.term = k.term group by 1, 2, 3),
+l as (select lang, cast(sum(lang_n) as bigint) as lang_size, count(*) as v from k group by 1),
+g as (select d.lang, d.source, coalesce(size, 0) as size, coalesce(v, 0) as v, coalesce(lang_size, 0) as lang_size from (select distinct lang, source from d) d
+  left join (select lang, source, cast(sum(n) as bigint) as size from c group by 1, 2) s on d.lang = s.lang and d.source = s.source left join l on d.lang = l.lang),
+x as (select g.lang, g.source, k.term, coalesce(n, 0) as n, {p.format('coalesce(n, 0)', 'size')} as p, {p.format('lang_n', 'lang_size')} as pl
+  from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pv as (select lang, a as source, b as item, sum({f}) as value from (select a.lang, a.source as a, b.source as b, a.p, b.p as q from x a join x b on a.lang = b.lang and a.term = b.term and a.source <> b.source) group by 1, 2, 3),
+pr as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+tv as (select lang, source, 'term' as part, term as item, {f} as value from (select lang, source, term, p, pl as q from x where n > 0 and p > pl)),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pr union all select * from tv))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= {top}"""
+
+
 def quality_rules() -> str:
     found = ", ".join(f"len(list_filter(ws, lambda x: x = '{w}'))" for w in qr.WORDS)
     some = ", ".join(f"'{w}'" for w in qr.WORDS)

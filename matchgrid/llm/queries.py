@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, hard_negatives, line_dedup, lm_trie, near_dup, oracle, pii, quality_mil, quality_rules, secrets, token_files
+from . import bpe, decontaminate, divergence, hard_negatives, line_dedup, lm_trie, near_dup, oracle, pii, quality_mil, quality_rules, secrets, token_files
 from .common import read_table
 
 
@@ -65,6 +65,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, label, F.col("id") % 50 == 0)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_trie": op9_lm_trie,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_dup": oracle.near_dup(),
     "op6_decontaminate": oracle.contamination(),
     "op11_hard_negatives": oracle.hard_negatives(),
+    "op12_source_divergence": oracle.source_divergence(),
 }

@@ -1,10 +1,16 @@
 """Hard negatives, divergence of sources and languages of texts, against plain versions."""
 
+import random
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchgrid.llm import hard_negatives as hn
+from matchgrid.llm import divergence, hard_negatives as hn
+
+from . import brute
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score long"
 
@@ -54,3 +60,48 @@ def test_hard_negatives_of_few_rows(spark):
     assert mined(spark, [(50, [1.0], 0, 0)]) == []
     with pytest.raises(ValueError):
         mined(spark, [(50, [3e30], 0, 0)])
+
+
+DOCS = "doc_id long, text string, lang string, source string, n long, term string"
+
+
+def plain_divergence(rows, least=3, top=200):
+    terms, docs, groups = Counter(), defaultdict(set), set()
+    for i, (_, text, lang, source, *_) in enumerate(rows):
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", brute.lower(text or "")):
+            terms[lang, source, t] += 1
+            docs[lang, t].add(i)
+    kept = {k for k, d in docs.items() if len(d) >= least}
+    prob = lambda n, total: 1 + 10**9 * (n + 1) // total
+    value = lambda p, q: (p - q) ** 2 // q
+    of_lang, out = {}, set()
+    for lang in {lang for lang, _ in groups}:
+        own = [t for k, t in kept if k == lang]
+        whole = {t: sum(terms[lang, s, t] for k, s in groups if k == lang) for t in own}
+        of_lang[lang] = own, whole, sum(whole.values())
+    for lang, source in groups:
+        own, whole, n_lang = of_lang[lang]
+        p = lambda s: {t: prob(terms[lang, s, t], sum(terms[lang, s, u] for u in own) + len(own)) for t in own}  # noqa: B023, E731
+        mine = p(source)
+        pair = [(sum(value(mine[t], q[t]) for t in own), s) for k, s in groups if k == lang and s != source for q in [p(s)]]
+        best = [(v, t) for t in own if terms[lang, source, t] and mine[t] > (q := prob(whole[t], n_lang + len(own))) for v in [value(mine[t], q)]]
+        for part, found in (("pair", pair), ("term", best)):
+            found.sort(key=lambda x: (-x[0], x[1].encode()))
+            out |= {(lang, source, part, item, v, r + 1) for r, (v, item) in enumerate(found) if part == "pair" or r < top}
+    return out
+
+
+def test_source_divergence(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE", 200)
+    monkeypatch.setattr(divergence, "GATHERED", 50)
+    rng = random.Random(5)
+    words = ["the", "The", "ÉCOLE", "École", "naïve", "x_y", "a1b", "漢字", "is", "of"] + [f"w{chr(97 + i)}" for i in range(20)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))), rng.choice(["en", "fr", None]), rng.choice(["s0", "s1", "s2", None]), 1, "t") for i in range(150)]
+    rows += [(0, None, "en", "s9", 1, "t"), (0, "", "xx", "s1", 1, "t"), (1, "alone", "xx", "s2", 1, "t"), (None, "the \x00 the", None, "s0", 1, None), (2, "the " * 20_000, "en", "s0", 1, "t")]
+    rows += rows[:20]
+    got = divergence.source_divergence(spark.createDataFrame(rows, DOCS).repartition(3), top=6)
+    want = plain_divergence(rows, top=6)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert divergence.source_divergence(spark.createDataFrame([], DOCS)).count() == 0
