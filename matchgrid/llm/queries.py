@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, divergence, hard_negatives, line_dedup, lm_trie, near_dup, oracle, pii, quality_mil, quality_rules, secrets, token_files
+from . import bpe, decontaminate, divergence, hard_negatives, language_crf, line_dedup, lm_trie, near_dup, oracle, pii, quality_mil, quality_rules, secrets, token_files
 from .common import read_table
 
 
@@ -69,6 +69,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.languages(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_source_divergence": op12_source_divergence,
+    "op13_language_crf": op13_language_crf,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -2,13 +2,14 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchgrid.llm import divergence, hard_negatives as hn
+from matchgrid.llm import divergence, hard_negatives as hn, language_crf as crf
 
 from . import brute
 
@@ -105,3 +106,77 @@ def test_source_divergence(spark, monkeypatch):
     want = plain_divergence(rows, top=6)
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert divergence.source_divergence(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def plain_marginals(scores, starts, trans, first):
+    out, n = np.zeros_like(scores), len(scores)
+    at = [*np.flatnonzero(starts), n]
+    for lo, hi in zip(at, at[1:], strict=False):
+        f, b = [np.exp(first + scores[lo])], [np.ones(scores.shape[1])]
+        for i in range(lo + 1, hi):
+            f.append(f[-1] @ np.exp(trans) * np.exp(scores[i]))
+            b.append(np.exp(trans) @ (np.exp(scores[hi + lo - i]) * b[-1]))
+        both = np.array(f) * np.array(b[::-1])
+        out[lo:hi] = both / both.sum(1, keepdims=True)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 5, 64, 300])
+def test_marginals_over_blocks_are_those_of_each_text(n):
+    r = np.random.default_rng(n)
+    scores, trans, first = r.normal(0, 2, (n, 3)), r.normal(0, 1, (3, 3)), r.normal(0, 1, 3)
+    starts = r.random(n) < 0.1
+    starts[0] = True
+    want = plain_marginals(scores, starts, trans, first)
+    for block in (1, 7, 64):
+        assert np.allclose(crf.marginals(scores, starts, trans, first, block), want, atol=1e-9)
+
+
+def test_features_of_a_word():
+    raw = np.frombuffer(b" abcd ef ", np.uint8)
+    slots, owners = crf.features(raw, np.array([1, 6]), np.array([4, 2]))
+    assert np.bincount(owners).tolist() == [5 + 4 + 4, 3 + 2]  # ends included; affixes of 3 and 4 bytes
+    again, _ = crf.features(np.frombuffer(b"xx abcd", np.uint8), np.array([3]), np.array([4]))
+    assert sorted(again) == sorted(slots[owners == 0])
+
+
+TONGUES = {"aa": "the and thing over erly tion", "bb": "élan qué façon leur oeil aux", "cc": "ung sch über keit auf der"}
+
+
+def text_in(lang, rng, n):
+    stems = TONGUES[lang].split()
+    return " ".join(rng.choice(stems) + rng.choice(["", *stems]) for _ in range(n))
+
+
+def test_languages(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, text_in(lang, rng, rng.randint(8, 60)), lang, "s", 1, "t") for i in range(240) for lang in [rng.choice(list(TONGUES))]]
+    rows += [(900, None, "aa", "s", 1, "t"), (901, "", "aa", "s", 1, "t"), (902, "12 -- € ½ 🙂", "bb", "s", 1, "t"), (903, "漢字", "bb", "s", 1, "t"), (904, text_in("bb", rng, 30), None, "s", 1, "t")]
+    rows += [(None, text_in("cc", rng, 30), "cc", "s", 1, "t"), (905, text_in("aa", rng, 60) + " " + text_in("bb", rng, 20), "cc", "s", 1, "t"), (906, text_in("cc", rng, 20_000), "cc", "s", 1, "t"), (5, rows[5][1], rows[5][2], "s", 1, "t")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = {r[0]: r[2] for r in rows}
+    want |= {904: "bb", 905: "aa"} | dict.fromkeys([900, 901, 902], "und")
+    got = crf.languages(docs).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"}
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and (r["score"] == 0) == (r["lang_pred"] == "und")
+        assert r["lang_pred"] in ("aa", "bb", "cc") if r["doc_id"] == 903 else r["lang_pred"] == want[r["doc_id"]], r
+    before = {r["doc_id"]: r["lang_pred"] for r in got}
+    monkeypatch.setattr(crf, "PIECE", 4000)  # parts of texts, whose marginals add up
+    field = crf.train(docs)
+    assert {r["doc_id"]: r["lang_pred"] for r in crf.predicted(docs, field).collect()} == before
+    # words of a code-switched text
+    raw = crf._BYTES[np.frombuffer((text_in("aa", rng, 15) + " " + text_in("cc", rng, 15)).encode(), np.uint8)]
+    hashes, starts, lengths = crf._words(raw)
+    own = crf.marginals(field.emissions(hashes, *crf.features(raw, starts, lengths)), np.arange(30) == 0, field.w["move"], field.w["first"]).argmax(1)
+    assert (own == np.repeat([0, 2], 15)).mean() > 0.9
+
+
+def test_languages_without_anything_to_learn(spark):
+    empty = crf.languages(spark.createDataFrame([], DOCS))
+    assert empty.count() == 0
+    alone = crf.languages(spark.createDataFrame([(1, "some words", None, "s", 1, "t"), (2, "more", "xx", "s", 1, "t")], DOCS).where("doc_id = 1"))
+    assert [tuple(r) for r in alone.collect()] == [(1, False, "und", 0.0)]
+    one = crf.languages(spark.createDataFrame([(1, "some words", "xx", "s", 1, "t"), (2, "more", None, "s", 1, "t")], DOCS))
+    assert {(r["lang_pred"], r["score"]) for r in one.collect()} == {("xx", 1.0)}
