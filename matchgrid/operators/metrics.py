@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
@@ -127,9 +129,12 @@ def capped_stakes(rows: DataFrame, slate: str, fraction: str, cap: float = confi
 QUANTILES = (5, 25, 50, 75, 95)
 
 
-def quantiles(rows: DataFrame, x: str) -> DataFrame:
+def quantiles(rows: DataFrame, x: str, exponential: bool = False) -> DataFrame:
     """Quantiles of a column by linear interpolation, with mean and maximum, as one row; nulls don't count.
 
+    With exponential the column has logarithms, and interpolation is between
+    what they are logarithms of.
+
     Values are sorted over ranges of them and written; the counts of the ranges,
     one number each, tell which rows are wanted, so no task holds them all.
     """
@@ -148,6 +153,13 @@ def quantiles(rows: DataFrame, x: str) -> DataFrame:
     at = {q: (int(q * (n - 1) // 100), q * (n - 1) % 100 / 100) for q in QUANTILES} if n else {}
     places = {k: place_of(k) for low, part in at.values() for k in ((low, low + 1) if part else (low,))}
     found = {r["place"]: r["x"] for r in own.where(F.col("place").isin(*places.values())).collect()} if n else {}
-    value = lambda low, part: found[places[low]] + (part * (found[places[low + 1]] - found[places[low]]) if part else 0.0)
+
+    def value(low: int, part: float) -> float:
+        a = found[places[low]]
+        step = found[places[low + 1]] - a if part else 0.0
+        if not exponential:
+            return a + part * step
+        return a + (math.log1p(part * math.expm1(step)) if step < 700 else step + math.log(part))
+
     known = {f"pct_{q}": F.lit(value(*at[q]) if n else None).cast("double") for q in QUANTILES}
     return own.agg(F.avg("x").alias("mean"), F.max("x").alias("max")).select(*(v.alias(k) for k, v in known.items()), "mean", "max")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import config
 from ..functions import betting as bet
 from ..scratch import written
-from .metrics import quantiles
+from .metrics import QUANTILES, quantiles
 
 #: A multiplicative generator that both SQL dialects can compute exactly.
 MODULUS, FACTOR = 2147483647, 48271
@@ -32,14 +32,17 @@ BROADCAST_BETS = 2_000_000
 
 
 def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_bets: int | None = None) -> DataFrame:
-    """Final bankroll and largest drawdown of each simulated sequence of bets.
+    """Growth and largest drawdown of each simulated sequence of bets.
 
-    bets has idx (0 to n - 1), model_prob, market_prob and won. Each step draws a
+    Bankrolls are kept as logarithms (log_growth: of the last over the first),
+    which no number of bets overflows; final_bankroll is infinite, or 0, where
+    a double can't hold it. bets has idx (0 to n - 1), model_prob, market_prob and won. Each step draws a
     bet with replacement; it is won as it was (``empirical``) or with the
     market's probability (``market_right``). Draws follow from (sim, step), so a
     repeated task draws the same. Simulations are dealt out to tasks, which get
     all bets where those are few (see BROADCAST_BETS); else draws meet bets in a
-    join and a simulation's steps in an ordered window.
+    join, and segments of a simulation's steps are ordered windows of their own,
+    whose sums, tops and falls merge.
     """
     if mode not in ("empirical", "market_right"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -54,7 +57,9 @@ def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_b
     return (_paths_in_tasks if few else _paths_by_windows)(logs, n_source, n_sims, steps, mode)
 
 
-PATHS = "sim long, final_bankroll double, max_drawdown double, n_bets long"
+PATHS = "sim long, log_growth double, final_bankroll double, max_drawdown double, n_bets long"
+#: Steps of a simulation that one ordered window takes.
+SEGMENT = 1 << 16
 
 
 def _paths_in_tasks(logs: DataFrame, n_source: int, n_sims: int, steps: int, mode: str) -> DataFrame:
@@ -74,17 +79,18 @@ def _paths_in_tasks(logs: DataFrame, n_source: int, n_sims: int, steps: int, mod
         for batch in batches:
             out = []
             for sim in batch.column(0).to_pylist():
-                value, peak, fall = 0.0, config.BANKROLL, 0.0
+                value, peak, fall = 0.0, 0.0, 0.0  # fall: the largest, as a logarithm
                 for lo in range(0, steps, 1 << 20):
                     step = np.arange(lo, min(steps, lo + (1 << 20)), dtype=np.int64)
                     idx = np.floor(uniform_of(np.int64(sim), step) * n_source).astype(np.int64)
                     win = won[idx].astype(bool) if mode == "empirical" else uniform_of(step, np.int64(sim), np.int64(7)) < price[idx]
                     path = np.cumsum(np.concatenate([[value], np.where(win, up[idx], down[idx])]))[1:]
-                    money = config.BANKROLL * np.exp(path)
-                    peaks = np.maximum.accumulate(np.concatenate([[peak], money]))[1:]
-                    value, peak, fall = path[-1], peaks[-1], max(fall, float(((peaks - money) / peaks).max()))
-                out.append((sim, config.BANKROLL * float(np.exp(value)), fall, steps))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["sim", "final_bankroll", "max_drawdown", "n_bets"])
+                    peaks = np.maximum.accumulate(np.concatenate([[peak], path]))[1:]
+                    value, peak, fall = path[-1], peaks[-1], max(fall, float((peaks - path).max()))
+                with np.errstate(over="ignore"):
+                    out.append((sim, float(value), config.BANKROLL * float(np.exp(value)), -float(np.expm1(-fall)), steps))
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["sim", "log_growth", "final_bankroll", "max_drawdown", "n_bets"])
 
     tasks = max(1, min(n_sims, 8 * spark.sparkContext.defaultParallelism))
     return spark.range(0, n_sims, 1, tasks).mapInArrow(work, PATHS)
@@ -92,36 +98,56 @@ def _paths_in_tasks(logs: DataFrame, n_source: int, n_sims: int, steps: int, mod
 
 def _paths_by_windows(logs: DataFrame, n_source: int, n_sims: int, steps: int, mode: str) -> DataFrame:
     spark = logs.sparkSession
-    draws = spark.range(n_sims).withColumnRenamed("id", "sim").select("sim", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))  # simulations x steps is the work itself
+    draws = spark.range(n_sims * steps).select(F.expr(f"id div {steps}").alias("sim"), (F.col("id") % steps).alias("step"))  # simulations x steps is the work itself
     rows = draws.withColumn("idx", F.floor(uniform(F.col("sim"), F.col("step")) * n_source).cast("long")).join(logs, "idx")
     won = F.col("won") if mode == "empirical" else uniform(F.col("step"), F.col("sim"), F.lit(7)) < F.col("market_prob")
-    path = Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    value = config.BANKROLL * F.exp(F.sum(F.when(won, F.col("up")).otherwise(F.col("down"))).over(path))
-    rows = rows.select("sim", "step", value.alias("bankroll"))
-    peak = F.greatest(F.lit(config.BANKROLL), F.max("bankroll").over(path))
-    rows = rows.withColumn("fall", (peak - F.col("bankroll")) / peak)
-    return rows.groupBy("sim").agg(F.max_by("bankroll", "step").alias("final_bankroll"), F.max("fall").alias("max_drawdown"), F.count("*").alias("n_bets"))
+    rows = rows.select("sim", "step", F.expr(f"step div {SEGMENT}").alias("segment"), F.when(won, F.col("up")).otherwise(F.col("down")).alias("g"))
+    within = Window.partitionBy("sim", "segment").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("path", F.sum("g").over(within))
+    rows = rows.withColumn("fall", F.greatest(F.max("path").over(within), F.lit(0.0)) - F.col("path"))
+    parts = rows.groupBy("sim", "segment").agg(F.sum("g").alias("total"), F.greatest(F.max("path"), F.lit(0.0)).alias("top"), F.min("path").alias("low"), F.max("fall").alias("fall"), F.count("*").alias("n"))
+    before = Window.partitionBy("sim").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    parts = parts.withColumn("peak", F.greatest(F.lit(0.0), F.max(F.col("start") + F.col("top")).over(before)))
+    falls = F.greatest("fall", F.col("peak") - F.col("start") - F.col("low"))
+    out = parts.groupBy("sim").agg(F.sum("total").alias("log_growth"), F.max(falls).alias("fall"), F.sum("n").alias("n_bets"))
+    return out.select("sim", "log_growth", (config.BANKROLL * F.exp("log_growth")).alias("final_bankroll"), (-F.expm1(-F.col("fall"))).alias("max_drawdown"), "n_bets")
 
 
 def simulation_summary(paths: DataFrame) -> DataFrame:
+    """One row: quantiles, mean and maximum of the final bankroll, as such and as logarithms, drawdowns, growth per bet.
+
+    Quantiles lie between bankrolls, not logarithms, in equal parts. Where a
+    double can't hold a bankroll it is infinite; its logarithm never is.
+    """
     paths = written(paths, "paths")
-    growth = F.ln(F.greatest(F.col("final_bankroll"), F.lit(1e-9)) / config.BANKROLL) / F.col("n_bets")
-    more = paths.agg(
+    growth = F.col("log_growth") / F.col("n_bets")
+    top = paths.agg(F.max("log_growth").alias("_top"))  # one row
+    more = paths.crossJoin(F.broadcast(top)).agg(
         F.count("*").alias("n_simulations"),
-        F.avg((F.col("final_bankroll") > config.BANKROLL).cast("double")).alias("probability_of_profit"),
+        (F.max("_top") + F.ln(F.avg(F.exp(F.col("log_growth") - F.col("_top"))))).alias("log_mean"),
+        F.avg((F.col("log_growth") > 0).cast("double")).alias("probability_of_profit"),
         F.avg((F.col("final_bankroll") <= 0).cast("double")).alias("probability_of_ruin"),
         F.percentile("max_drawdown", F.lit(0.5)).alias("median_max_drawdown"),
         F.max("max_drawdown").alias("worst_max_drawdown"),
         F.avg(growth).alias("mean_log_growth_per_bet"),
         F.percentile(growth, F.lit(0.5)).alias("median_log_growth_per_bet"),
     )
-    return quantiles(paths, "final_bankroll").crossJoin(more)  # one row each
+    logs = [f"pct_{q}" for q in QUANTILES] + ["max"]
+    own = quantiles(paths, "log_growth", exponential=True).select(*(F.col(c).alias(f"log_{c}") for c in logs))
+    out = own.crossJoin(more)  # one row each
+    return out.select(*((config.BANKROLL * F.exp(f"log_{c}")).alias(c) for c in [*logs, "mean"]), "*")
 
 
 def skill_gap(empirical: DataFrame, market_right: DataFrame) -> DataFrame:
-    """How far simulations of what happened are above those where the market is right: per bet, and in all (one row each)."""
-    side = lambda d, s: d.select(F.col("median_log_growth_per_bet").alias(f"g{s}"), (F.col("pct_50") / config.BANKROLL - 1).alias(f"r{s}"))
-    return side(empirical, 1).crossJoin(side(market_right, 2)).select((F.col("g1") - F.col("g2")).alias("log_growth_gap"), (F.col("r1") - F.col("r2")).alias("median_roi_gap"))
+    """How far simulations of what happened are above those where the market is right (one row each).
+
+    Per bet; between the logarithms of the median bankrolls; and between the
+    medians' returns, infinite where a double can't hold them.
+    """
+    side = lambda d, s: d.select(F.col("median_log_growth_per_bet").alias(f"g{s}"), F.col("log_pct_50").alias(f"l{s}"), F.expm1("log_pct_50").alias(f"r{s}"))
+    both = side(empirical, 1).crossJoin(side(market_right, 2))
+    return both.select((F.col("g1") - F.col("g2")).alias("log_growth_gap"), (F.col("l1") - F.col("l2")).alias("median_log_gap"), (F.col("r1") - F.col("r2")).alias("median_roi_gap"))
 
 
 def confidence(bets: DataFrame, noise: float = 0.05, n: int = 1000) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
 from ..functions import betting as bet, text
+from ..scratch import written
 
 
 def decided(rows: DataFrame, live: bool = True) -> DataFrame:
@@ -80,12 +83,16 @@ def backtest(rows: DataFrame, live: bool = True, bankroll: float = config.BANKRO
     home = F.col("side") == "HOME"
     price = F.when(home, F.col("market_home_prob")).otherwise(F.col("away_price"))
     bets = bets.withColumn("won", F.when(home, F.col("home_won")).otherwise(~F.col("home_won")))
-    bets = bets.withColumn("log_factor", F.ln(F.when(F.col("won"), 1 + F.col("kelly_pct") * (1 / price - 1)).otherwise(1 - F.col("kelly_pct"))))
+    bets = bets.withColumn("win_return", 1 / price - 1)
+    bets = bets.withColumn("log_factor", F.ln(F.when(F.col("won"), 1 + F.col("kelly_pct") * F.col("win_return")).otherwise(1 - F.col("kelly_pct"))))
     return compounded(bets, "log_factor", bankroll)
 
 
 def compounded(bets: DataFrame, log_factor: str, bankroll: float) -> DataFrame:
-    """Adds bankroll_before and bankroll_after in the order (date, id).
+    """Adds log_before and log_after, logarithms of the bankroll around each bet in the order (date, id), and bankroll_after.
+
+    bankroll_after is infinite, or 0, where a double can't hold it; the
+    logarithms are the curve.
 
     Days are summed first; the ordered pass over all of them has a row for each
     day, and bets of a day are ordered among themselves.
@@ -95,20 +102,32 @@ def compounded(bets: DataFrame, log_factor: str, bankroll: float) -> DataFrame:
     days = days.select("date", F.coalesce(F.sum("_day").over(before), F.lit(0.0)).alias("_start"))
     within = Window.partitionBy("date").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     out = bets.join(days, "date").withColumn("_log", F.col("_start") + F.sum(log_factor).over(within))
-    out = out.withColumn("bankroll_after", bankroll * F.exp("_log")).withColumn("bankroll_before", bankroll * F.exp(F.col("_log") - F.col(log_factor)))
-    return out.drop("_start", "_log")
+    start = math.log(bankroll)
+    out = out.withColumn("log_after", start + F.col("_log")).withColumn("log_before", start + F.col("_log") - F.col(log_factor))
+    return out.withColumn("bankroll_after", F.exp("log_after")).drop("_start", "_log")
 
 
 def backtest_summary(bets: DataFrame) -> DataFrame:
-    """One row: bets, wins, money, edge, Sharpe ratio."""
-    stake, gain = F.col("bankroll_before") * F.col("kelly_pct"), F.col("bankroll_after") - F.col("bankroll_before")
-    r = F.try_divide(gain, stake)
-    out = bets.agg(
+    """One row: bets, wins, money, edge, Sharpe ratio.
+
+    A bet's return follows from its price. Money is added up in units of the
+    largest bankroll, so that roi holds whatever the bankroll has grown to;
+    log_scale is that unit's logarithm, and log_wagered the logarithm of all
+    stakes. total_wagered, total_profit and avg_size are in money, infinite
+    where a double can't hold them.
+    """
+    bets = written(bets.select("won", "edge", "kelly_pct", "log_before", "log_after", F.when(F.col("won"), F.col("win_return")).otherwise(-1.0).alias("r")), "backtest")
+    top = bets.agg(F.max(F.greatest("log_before", "log_after")).alias("_top"))  # one row
+    before, after = (F.exp(F.col(c) - F.col("_top")) for c in ("log_before", "log_after"))
+    r = F.col("r")
+    out = bets.crossJoin(F.broadcast(top)).agg(
         F.count("*").alias("total_bets"), F.count(F.when(F.col("won"), 1)).alias("wins"), F.avg(F.col("won").cast("double")).alias("win_rate"),
-        F.sum(stake).alias("total_wagered"), F.sum(gain).alias("total_profit"), F.avg("edge").alias("avg_edge"), F.avg(stake).alias("avg_size"),
+        F.max("_top").alias("log_scale"), F.sum(before * F.col("kelly_pct")).alias("_wagered"), F.sum(after - before).alias("_profit"), F.avg("edge").alias("avg_edge"),
         F.coalesce(F.try_divide(F.avg(r), F.stddev_samp(r)) * F.sqrt(F.count(r)), F.lit(0.0)).alias("sharpe"),
     )
-    return out.withColumn("roi", F.coalesce(F.try_divide(F.col("total_profit"), F.col("total_wagered")), F.lit(0.0)))
+    money = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c) * F.exp("log_scale"))
+    out = out.withColumns({"total_wagered": money("_wagered"), "total_profit": money("_profit"), "log_wagered": F.col("log_scale") + F.ln("_wagered"), "roi": F.coalesce(F.try_divide(F.col("_profit"), F.col("_wagered")), F.lit(0.0))})
+    return out.withColumn("avg_size", F.try_divide(F.col("total_wagered"), F.col("total_bets"))).drop("_wagered", "_profit")
 
 
 def odds_coverage(rows: DataFrame, price: str) -> DataFrame:

@@ -396,26 +396,27 @@ def bet_recommendations(spark, sf):
 
 BACKTEST = f"""{DECIDED}, t as (select *, (side = 'HOME') = home_won as won from f where side <> 'NO BET' and kelly > 0),
  u as (select *, ln(case when won then 1 + kelly * (1 / m - 1) else 1 - kelly end) as lf from t),
- v as (select *, 1000 * exp(sum(lf) over (order by date, id)) as bankroll_after, 1000 * exp(sum(lf) over (order by date, id) - lf) as bankroll_before from u)"""
+ v as (select *, ln(1000) + sum(lf) over (order by date, id) as la, ln(1000) + sum(lf) over (order by date, id) - lf as lb from u)"""
 
 
 def _backtest(spark, sf):
     return rec.backtest(view(spark, sf, "predictions").drop("bet_size"))
 
 
-@query(f"{BACKTEST} select id, date, side, won, {r('kelly', 'kelly_pct')}, {r('ln(bankroll_after)', 'log_bankroll')} from v")
+@query(f"{BACKTEST} select id, date, side, won, {r('kelly', 'kelly_pct')}, {r('la', 'log_bankroll')} from v")
 def backtest_bets(spark, sf):
-    return rounded(_backtest(spark, sf).select("id", "date", "side", "won", "kelly_pct", F.ln("bankroll_after").alias("log_bankroll")))
+    return rounded(_backtest(spark, sf).select("id", "date", "side", "won", "kelly_pct", F.col("log_after").alias("log_bankroll")))
 
 
 @query(
-    f"{BACKTEST}, x as (select won, edge, kelly, case when won then 1 / m - 1 else -1 end as ret from v) select count(*) as n_bets, count(*) filter (where won) as wins, {r('avg(cast(won as double))', 'win_rate')}, {r('avg(edge)', 'avg_edge')}, "
-    f"{r('avg(kelly)', 'avg_kelly')}, {r('avg(ret) / stddev_samp(ret) * sqrt(count(*))', 'sharpe')} from x"
+    f"{BACKTEST}, t1 as (select greatest(max(la), max(lb)) as top from v), x as (select won, edge, kelly, case when won then 1 / m - 1 else -1 end as ret, exp(lb - top) as b, exp(la - top) as a, top from v, t1) "
+    f"select count(*) as n_bets, count(*) filter (where won) as wins, {r('avg(cast(won as double))', 'win_rate')}, {r('avg(edge)', 'avg_edge')}, {r('avg(kelly)', 'avg_kelly')}, {r('avg(ret) / stddev_samp(ret) * sqrt(count(*))', 'sharpe')}, "
+    f"{r('sum(a - b) / sum(b * kelly)', 'roi')}, {r('max(top) + ln(sum(b * kelly))', 'log_wagered')} from x"
 )
 def backtest_summary(spark, sf):
-    s = rec.backtest_summary(_backtest(spark, sf).where("bankroll_before > 0"))
-    k = _backtest(spark, sf).agg(F.avg("kelly_pct").alias("avg_kelly"))
-    return rounded(s.select(F.col("total_bets").alias("n_bets"), "wins", "win_rate", "avg_edge", "sharpe").crossJoin(k))
+    bets = written(_backtest(spark, sf), "bets")
+    s, k = rec.backtest_summary(bets), bets.agg(F.avg("kelly_pct").alias("avg_kelly"))
+    return rounded(s.select(F.col("total_bets").alias("n_bets"), "wins", "win_rate", "avg_edge", "sharpe", "roi", "log_wagered").crossJoin(k))
 
 
 _DATES = "select distinct make_date(cast(y as int), 7, 1) as split from (select unnest(generate_series(year(lo), year(hi))) as y, lo, hi from r) where make_date(cast(y as int), 7, 1) > lo and make_date(cast(y as int), 7, 1) < hi"
@@ -438,37 +439,16 @@ def ensemble_weight_grid(spark, sf):
     return rounded(models.weight_grid(view(spark, sf, "predictions"), "market_home_prob", "model_home_prob", F.col("home_won")))
 
 
-def _mix(*parts: str) -> str:
-    x = "(" + " + ".join([*(f"cast({p} as bigint) * {k}" for p, k in zip(parts, (7919, 104729, 1299709), strict=False)), "12345"]) + f") % {sim.MODULUS}"
-    for _ in range(3):
-        x = f"(({x}) * {sim.FACTOR} % {sim.MODULUS})"
-    return f"({x} / {float(sim.MODULUS)!r}e0)"
-
-
-_SIZED = """least((q - m) / (1 - m) * least(greatest(0.25 * case when q - m < 0.02 then 0.6 when q - m <= 0.08 then 1 when q - m <= 0.12 then 0.9 when q - m <= 0.2 then 0.75 else 0.5 end
- * case when abs(q - m) >= 0.2 then 0.65 when abs(q - m) >= 0.15 then 0.85 else 1 end, 0.0625), 0.3125), 0.05)"""
-
-
 #: Paths of a simulation.
 _SIMULATIONS = 10_000
 
 
-def _paths_sql(won: str) -> str:
-    return (
-        f"{PRED}, b as (select row_number() over (order by id) - 1 as idx, model_home_prob as q, market_home_prob as m, home_won as won from predictions where bet_side = 'HOME' and home_won is not null), n as (select count(*) as n from b), "
-        f"d as (select sim, step, cast(floor({_mix('sim', 'step')} * n) as bigint) as idx from (select unnest(generate_series(0, {_SIMULATIONS - 1})) as sim), n, lateral (select unnest(generate_series(0, n - 1)) as step) t), "
-        f"f as (select idx, q, m, won, case when q > m then {_SIZED} else 0 end as f from b), "
-        f"g as (select sim, step, ln(case when {won} then 1 + f * (1 / m - 1) else 1 - f end) as g from d join f using (idx)), "
-        "p as (select sim, step, 1000 * exp(sum(g) over (partition by sim order by step)) as v from g), "
-        "k as (select *, greatest(1000, max(v) over (partition by sim order by step)) as peak from p) "
-        f"select {big('sim', 'sim')}, {r('ln(arg_max(v, step))', 'log_final')}, {r('max((peak - v) / peak)', 'max_drawdown')}, count(*) as n_bets from k group by sim"
-    )
-
-
 def _bets(spark, sf):
-    """Every settled HOME bet, numbered by id from 0: places within ranges of ids, and the ranges' offsets."""
-    rows = view(spark, sf, "predictions").where("bet_side = 'HOME' and home_won is not null")
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("place"), F.col("model_home_prob").alias("model_prob"), F.col("market_home_prob").alias("market_prob"), F.col("home_won").alias("won"))
+    """Every settled bet, seen from its side, numbered by id from 0: places within ranges of ids, and the ranges' offsets."""
+    rows = view(spark, sf, "predictions").where("bet_side in ('HOME', 'AWAY') and home_won is not null")
+    home = F.col("bet_side") == "HOME"
+    of = lambda p: F.when(home, F.col(p)).otherwise(1 - F.col(p))
+    rows = rows.repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("place"), of("model_home_prob").alias("model_prob"), of("market_home_prob").alias("market_prob"), (home == F.col("home_won")).alias("won"))
     rows = written(rows.withColumn("part", F.shiftright("place", 33)), "bets")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -481,7 +461,7 @@ def _paths(spark, sf, mode):
 
 
 def _logged(paths):
-    return rounded(paths.select("sim", F.ln("final_bankroll").alias("log_final"), "max_drawdown", "n_bets"))
+    return rounded(paths.select("sim", "log_growth", "max_drawdown", "n_bets"))
 
 
 @query()

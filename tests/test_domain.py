@@ -272,7 +272,7 @@ def test_whole_simulations_take_every_settled_bet(spark, monkeypatch):
     rows = [(i, side, 0.6, 0.5 + i / 1e5, won) for i in range(1, 2001) for side, won in [(("HOME", "AWAY", "NO BET", "HOME")[i % 4], None if i % 7 == 0 else i % 2 == 0)]]
     table = spark.createDataFrame(rows, "id long, bet_side string, model_home_prob double, market_home_prob double, home_won boolean").repartition(5)
     monkeypatch.setattr(q, "view", lambda *_: table)
-    expected = [(r[3], r[4]) for r in rows if r[1] == "HOME" and r[4] is not None]
+    expected = [(r[3], r[4]) if r[1] == "HOME" else (1 - r[3], not r[4]) for r in rows if r[1] != "NO BET" and r[4] is not None]
     got = sorted(q._bets(spark, "").collect(), key=lambda r: r["idx"])
     assert [r["idx"] for r in got] == list(range(len(expected))) and [(r["market_prob"], r["won"]) for r in got] == expected
     asked = []
@@ -295,6 +295,7 @@ def test_simulations_in_tasks_by_windows_and_by_hand(spark, monkeypatch):
         return x % sim.MODULUS / float(sim.MODULUS)
 
     stakes = {r["idx"]: r["f"] for r in bets.select("idx", bet.kelly(F.col("model_prob"), F.col("market_prob")).alias("f")).collect()}
+    monkeypatch.setattr(sim, "SEGMENT", 16)
     for mode in ("empirical", "market_right"):
         monkeypatch.setattr(sim, "BROADCAST_BETS", 10**6)
         few = {r["sim"]: r for r in sim.bankroll_paths(bets, 12, mode).collect()}
@@ -315,6 +316,47 @@ def test_simulations_in_tasks_by_windows_and_by_hand(spark, monkeypatch):
     assert sim.bankroll_paths(bets.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("few", [10**6, 1])
+def test_simulations_may_grow_beyond_a_double(spark, monkeypatch, few):
+    monkeypatch.setattr(sim, "BROADCAST_BETS", few)
+    monkeypatch.setattr(sim, "SEGMENT", 5000)
+    bets = spark.createDataFrame([(i, 0.6, 0.4, i % 10 > 0) for i in range(20)], "idx long, model_prob double, market_prob double, won boolean")
+    paths = sim.bankroll_paths(bets, 3, "empirical", 20_000)
+    for r in paths.collect():
+        assert 710 < r["log_growth"] < 1e4 and math.isinf(r["final_bankroll"]) and 0 < r["max_drawdown"] < 1
+    out = sim.simulation_summary(paths).first()
+    assert math.isinf(out["pct_50"]) and 710 < out["log_pct_5"] <= out["log_pct_50"] <= out["log_pct_95"] <= out["log_max"] and math.isclose(out["log_mean"], out["log_max"], abs_tol=5)
+    gap = sim.skill_gap(*(sim.simulation_summary(sim.bankroll_paths(bets, 3, m, 20_000)) for m in ("empirical", "market_right"))).first()
+    assert gap["log_growth_gap"] > 0 and 710 < gap["median_log_gap"] < 1e4
+
+
+def test_backtest_beyond_a_double(spark):
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(i // 50), 0.7, 0.4, i % 10 > 0) for i in range(20_000)]
+    games = spark.createDataFrame(rows, "id long, date date, model_home_prob double, market_home_prob double, home_won boolean")
+    bets = rec.backtest(games)
+    got = rec.backtest_summary(bets).first()
+    f = bets.first()["kelly_pct"]
+    money, gains, stakes, logs = 0.0, [], [], []
+    for *_, won in rows:  # in units of the last bankroll
+        logs.append(money)
+        money += math.log(1 + f * 1.5 if won else 1 - f)
+    scale = max(money, *logs)
+    stakes = [f * math.exp(x - scale) for x in logs]
+    gains = [s * (1.5 if won else -1) for s, (*_, won) in zip(stakes, rows)]
+    assert money > 710 and got["total_bets"] == 20_000 and got["wins"] == 18_000 and math.isinf(got["total_wagered"])
+    assert got["roi"] == pytest.approx(sum(gains) / sum(stakes)) and got["log_wagered"] == pytest.approx(math.log(1000) + scale + math.log(sum(stakes)))
+    returns = [1.5 if won else -1.0 for *_, won in rows]
+    assert got["sharpe"] == pytest.approx(np.mean(returns) / np.std(returns, ddof=1) * math.sqrt(20_000))
+    small = rec.backtest_summary(rec.backtest(games.where("id < 3"))).first()
+    assert small["total_profit"] == pytest.approx(1000 * ((1 - f) * (1 + 1.5 * f) ** 2 - 1))
+
+
+def test_quantiles_between_logarithms(spark):
+    values = [1.0, 2.0, 5.0, 9.0, 10.0, 30.0]
+    got = mt.quantiles(spark.createDataFrame([(math.log(v),) for v in values], "x double"), "x", exponential=True).first()
+    assert [math.exp(got[f"pct_{q}"]) for q in mt.QUANTILES] == pytest.approx(np.percentile(values, mt.QUANTILES).tolist())
+
+
 def test_quantiles_of_many_few_and_no_values(spark):
     for values in ([], [3.0], [2.0, 1.0], [float(i * 7919 % 1000) for i in range(997)], [5.0] * 40):
         got = mt.quantiles(spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(5), "x").first()
