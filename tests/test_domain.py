@@ -242,7 +242,7 @@ def test_features_and_models(spark):
     fit, rest = models.split_by_date(rows)
     assert fit.agg(F.max("date")).first()[0] <= rest.agg(F.min("date")).first()[0] and (fit.count(), rest.count()) == (1200, 300)
     assert fit.join(rest, "game_id").count() == 0
-    model = models.classifier(few, maxIter=3, maxDepth=2).fit(fit)
+    model = models.classifier(fit, few, rounds=3, depth=2, patience=None)
     p = models.scored(model, rest)
     for kind in ("isotonic", "platt"):
         c = models.Calibration.fit(p, kind=kind)
@@ -380,14 +380,14 @@ def test_search_stack_margins_importance_and_artifacts(spark, tmp_path):
         home = 100 + int(8 * x + r.normal())
         rows.append((i, start + dt.timedelta(days=i), x, y, p, min(max(p + 0.1 * float(r.normal()), 0.01), 0.99), float(r.random() < p), home, 100))
     table = spark.createDataFrame(rows, "game_id long, date date, x double, y double, elo_home_prob double, other double, home_win double, home_score long, away_score long").repartition(3).persist()
-    best, losses = models.search(table, ["x", "y"], [{"maxIter": 1, "maxDepth": 1, "stepSize": 0.01}, {"maxIter": 8, "maxDepth": 2, "stepSize": 0.3}], n=1)
-    assert best["maxIter"] == 8 and len(losses) == 2 and losses[1][1] < losses[0][1] < 1
+    best, losses = models.search(table, ["x", "y"], [{"rounds": 1, "depth": 1, "rate": 0.01}, {"rounds": 8, "depth": 2, "rate": 0.3}], n=1)
+    assert best["rounds"] == 8 and len(losses) == 2 and losses[1][1] < losses[0][1] < 1
     stack = models.stacked(table, "elo_home_prob", "other", ["y"])
     p = models.scored(stack, models.stack_inputs(table, "elo_home_prob", "other"))
     assert mt.probability_scores(p, F.col("raw_prob"), F.col("home_win")).first()["brier"] < 0.2
-    margins = models.margin_models(table, ["x", "y"])
+    margins = models.margin_models(table, ["x", "y"], rounds=30, rate=0.2, depth=3)
     assert margins["margin"][1] < 4 and margins["total"][1] < 4
-    model = models.classifier(["x", "y"], maxIter=4, maxDepth=2).fit(table)
+    model = models.classifier(table, ["x", "y"], rounds=12, depth=2, rate=0.3)
     rank = models.permutation_importance(model, table, ["x", "y"], repeats=2, sample=300).collect()
     assert [v["feature"] for v in rank] == ["x", "y"] and rank[0]["importance"] > 0.05 > abs(rank[1]["importance"])
 
