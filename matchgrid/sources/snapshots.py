@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text
+from ..scratch import written
+from .versioned import VersionedTable
 
 #: All fields are read as strings, so that only broken JSON counts as such; numbers are cast afterwards.
 FIELDS = ("game_date", "home_team_abbr", "away_team_abbr", "source", "timestamp", "home_prob", "spread", "over_under", "game_id")
@@ -41,30 +43,44 @@ def checked(rows: DataFrame, teams: DataFrame) -> DataFrame:
     return own.withColumn("error", error).withColumns({"game_date": day, "timestamp": at, **values, "game_id": F.nullif("game_id", F.lit(""))})
 
 
+def in_order(lines: DataFrame) -> DataFrame:
+    """Adds ``place`` to lines as read: their order by file, and within it by position."""
+    return lines.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")))
+
+
 def new_snapshots(good: DataFrame, stored: DataFrame) -> DataFrame:
-    """Of usable lines those whose natural key is neither stored nor repeated among them."""
-    first = good.dropDuplicates(KEY).select(*KEY, "home_prob", "spread", "over_under", "game_id")
+    """Of usable lines those whose natural key isn't stored; of a repeated key the first by ``place``, if lines have one.
+
+    Without places the first is the least by its values.
+    """
+    values = ["home_prob", "spread", "over_under", "game_id"]
+    order = F.col("place") if "place" in good.columns else F.struct(*values)
+    first = good.groupBy(*KEY).agg(F.min_by(F.struct(*values), order).alias("_v")).select(*KEY, "_v.*")
     return first.join(stored.select(*KEY), KEY, "left_anti")
 
 
+STORED = "game_date date, home_team_id long, away_team_id long, source string, timestamp timestamp, home_prob double, spread double, over_under double, game_id string"
+
+
+def snapshot_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, STORED, ["game_date"])
+
+
 def import_snapshots(spark: SparkSession, path: str, teams: DataFrame, table: str) -> dict[str, int]:
-    """Adds a file or folder to a Parquet table, once however often it is run; returns counters."""
-    rows = checked(read_snapshots(spark, path), teams).persist()
-    try:
-        stored = spark.read.parquet(table)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = None
-    good = rows.where("error is null")
-    fresh = (new_snapshots(good, stored) if stored is not None else new_snapshots(good, good.limit(0))).persist()
-    counts = rows.agg(F.countDistinct("file").alias("files"), F.count("*").alias("records"), F.count("error").alias("errors")).first().asDict()
-    counts["imported"] = fresh.count()
+    """Adds a file or folder to a table (see snapshot_table), once however often it is run; returns counters.
+
+    Keys are compared with the stored rows of the dates at hand only. New rows
+    are staged and appear in one commit: a killed import leaves nothing behind.
+    """
+    lines = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.jsonl").json(path)
+    rows = written(checked(in_order(lines), teams), "lines")
+    stored, good = snapshot_table(spark, table), rows.where("error is null")
+    version = stored.stage(new_snapshots(good, stored.read(good)))
+    counts = rows.agg(F.countDistinct("place.file").alias("files"), F.count("*").alias("records"), F.count("error").alias("errors")).first().asDict()
+    counts["imported"] = stored.staged(version).count()
     counts["skipped"] = counts["records"] - counts["errors"] - counts["imported"]
     if counts["imported"]:
-        fresh.write.mode("append").parquet(table)
-    fresh.unpersist()
-    rows.unpersist()
+        stored.commit(version)
     return counts
 
 

@@ -10,24 +10,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config
 from ..operators.odds import GAME, earliest, latest
+from ..scratch import written
 from ..sources import snapshots
 
 KEPT = "game_date date, home_team_id long, away_team_id long, source string, timestamp timestamp, home_prob double, spread double, over_under double"
 
 
 def import_stream(rows: DataFrame, teams: DataFrame, table: str, checkpoint: str):
-    """Adds new lines of a stream of files to a Parquet table, exactly once by natural key."""
+    """Adds new lines of a stream of files to a table (see snapshots.snapshot_table), exactly once by natural key.
+
+    A batch that runs again after a failure finds its keys stored, or stages them anew.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        good = snapshots.checked(batch, teams).where("error is null")
-        try:
-            stored = spark.read.parquet(table)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = good.limit(0)
-        snapshots.new_snapshots(good, stored).write.mode("append").parquet(table)
+        stored = snapshots.snapshot_table(batch.sparkSession, table)
+        good = written(snapshots.checked(batch, teams).where("error is null"), "lines")
+        version = stored.stage(snapshots.new_snapshots(good, stored.read(good)))
+        if not stored.staged(version).isEmpty():
+            stored.commit(version)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

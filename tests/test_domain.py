@@ -15,6 +15,7 @@ from matchgrid.operators import injuries as inj, metrics as mt, models, odds as
 from matchgrid.plans import features as ft, recommend as rec
 from matchgrid.sources import markets, snapshots as sn
 from matchgrid.sources.fixtures import view
+from matchgrid.sources.versioned import VersionedTable
 from matchgrid.streaming import odds as stream
 
 SF = "/root/testdata/sf0.001"
@@ -173,7 +174,68 @@ def test_import_is_idempotent(spark, tmp_path):
     stored = str(tmp_path / "streamed")
     for _ in range(2):
         stream.import_stream(sn.stream_snapshots(spark, str(tmp_path / "in")), teams, stored, str(tmp_path / "check")).awaitTermination(60)
-    assert spark.read.parquet(stored).count() == 2
+    assert sn.snapshot_table(spark, stored).read().count() == 2
+
+
+def test_import_keeps_the_first_line_of_a_key(spark, tmp_path, monkeypatch):
+    teams = spark.createDataFrame([(1, "BOS"), (2, "LAL")], "id long, abbreviation string")
+    (tmp_path / "in").mkdir()
+    for name, probs in (("a", [0.9, 0.1, 0.5]), ("b", [0.2])):
+        (tmp_path / "in" / f"2026-04-21{name}.jsonl").write_text("\n".join(json.dumps(GOOD | {"home_prob": p}) for p in probs))
+    table = str(tmp_path / "table")
+    run = lambda: sn.import_snapshots(spark, str(tmp_path / "in"), teams, table)
+    stored = sn.snapshot_table(spark, table)
+    commit = VersionedTable.commit
+    monkeypatch.setattr(VersionedTable, "commit", lambda *_, **__: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        run()
+    assert stored.read().count() == 0  # staged, but in no commit
+    monkeypatch.setattr(VersionedTable, "commit", commit)
+    assert run()["imported"] == 1 and run() == {"files": 2, "records": 4, "errors": 0, "imported": 0, "skipped": 4}
+    assert [r["home_prob"] for r in stored.read().collect()] == [0.9]
+    (tmp_path / "in" / "2026-04-22.jsonl").write_text(json.dumps(GOOD | {"game_date": "2026-04-23", "home_prob": 0.3}))
+    assert run()["imported"] == 1 and {r["home_prob"] for r in stored.read().collect()} == {0.9, 0.3}
+    one = spark.createDataFrame([(dt.date(2026, 4, 23),)], "game_date date")
+    assert [r["home_prob"] for r in stored.read(one).collect()] == [0.3]
+
+
+def test_versioned_partitions(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "k string, x int", ["k"])
+    rows = lambda *v: spark.createDataFrame(list(v), "k string, x int")
+    seen = lambda: sorted(tuple(r) for r in t.read().collect())
+    assert seen() == [] and t.commit(t.stage(rows(("a", 1), ("b", 2)))) == 1
+    assert t.commit(t.stage(rows(("a", 3)))) == 2 and seen() == [("a", 1), ("a", 3), ("b", 2)]
+    waiting = t.stage(rows(("a", 9)))
+    assert seen() == [("a", 1), ("a", 3), ("b", 2)]
+    t.commit(waiting, replaces=True, dropped=rows(("a", 0), ("b", 0)))
+    assert seen() == [("a", 9)]
+    t.commit(t.stage(rows(("b", 5))))
+    assert seen() == [("a", 9), ("b", 5)]
+
+
+def test_ratings_resume(spark, tmp_path, monkeypatch):
+    games = view(spark, SF, "games").withColumn("lg", F.when(F.col("home_team_id") < 12, "east").otherwise("west"))
+    whole = {(r["league"], r["game_id"], r["team_id"]): tuple(r)[3:] for lg in ("east", "west") for r in ratings.elo_history(games.where(F.col("lg") == lg)).select(F.lit(lg).alias("league"), "game_id", "team_id", "date", *ratings._COLUMNS).collect()}
+    store = ratings.rating_store(spark, str(tmp_path / "ratings"))
+    got = lambda: {(r["league"], r["game_id"], r["team_id"]): tuple(r)[3:] for r in ratings.stored_history(store).collect()}
+    late = F.col("id") % 97 == 5
+    early = games.where((F.col("date") < "1996-01-01") & ~late)
+    first = ratings.sync_ratings(store, early.withColumn("home_score", F.when(F.col("id") % 101 == 3, 150).otherwise(F.col("home_score"))), "lg")
+    assert first["fresh"] == first["rated"] == early.count()
+    assert ratings.sync_ratings(store, games.where((F.col("date") < "1997-06-10") & ~late & (F.col("lg") == "west")), "lg")["rated"] > 0
+    ratings.sync_ratings(store, games.where(late & (F.col("lg") == "east")), "lg")
+    monkeypatch.setattr(VersionedTable, "commit", lambda *_, **__: (_ for _ in ()).throw(RuntimeError("killed")))
+    before = got()
+    with pytest.raises(RuntimeError):
+        ratings.sync_ratings(store, games, "lg")
+    monkeypatch.undo()
+    assert got() == before
+    ratings.sync_ratings(store, games, "lg")
+    assert got() == whole and ratings.sync_ratings(store, games, "lg") == {"fresh": 0, "rated": 0}
+    last = games.orderBy(F.desc("date"), F.desc("id")).limit(1)  # only its month is folded again
+    again = ratings.sync_ratings(store, last.withColumn("home_score", F.lit(70)), "lg")
+    month = games.join(last.select("lg", F.trunc("date", "MM").alias("m")), "lg").where(F.trunc("date", "MM") == F.col("m")).count()
+    assert again == {"fresh": 1, "rated": month}
 
 
 def test_streams(spark, tmp_path):
