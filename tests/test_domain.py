@@ -87,7 +87,12 @@ def test_elo_history_is_the_fold_in_order(spark):
     assert len(got) == 2 * games.count() and ratings.leaderboard(ratings.elo_history(games)).count() == 25
 
 
-def test_windows_match_pandas(spark):
+@pytest.mark.parametrize("size", [wn.RANGE, 40])
+def test_windows_match_pandas(spark, monkeypatch, size):
+    """With 40, the rows of a team lie in several ranges, and means over 20 rows reach into those before."""
+    if size == 40:
+        monkeypatch.setattr(wn, "RANGE", 40)
+        monkeypatch.setattr(wn, "HALO", 20)
     rows = wn.with_rest(wn.with_back_to_back_shooting(wn.with_venue_splits(wn.with_weighted(wn.with_rolling(wn.with_derived(view(spark, SF, "game_stats")), ["fg3_pct"]), ["fg3_pct"]))))
     pdf = rows.toPandas().sort_values(["team_id", "date", "game_id"])
     for _, t in pdf.groupby("team_id"):
@@ -104,10 +109,41 @@ def test_windows_match_pandas(spark):
         assert t["games_last_7"].tolist() == [sum((d - e).days <= 7 for e in days[:i]) for i, d in enumerate(days)]
 
 
+def test_ranges_carry_what_the_halo_does_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(wn, "RANGE", 40)
+    monkeypatch.setattr(wn, "HALO", 20)
+    day = "date_add(date '2000-01-01', cast(id as int))"
+    rows = spark.range(400).selectExpr("id as game_id", "if(id % 4 = 0, null, 1L) as team_id", f"{day} as date", "id % 2 = 0 as is_home", "if(id > 30 and id < 330, null, cast(id % 7 as double)) as plus_minus", "0.0 as net_rtg_game", "cast(null as double) as fg3_pct")
+    got = wn.with_venue_splits(rows).toPandas().sort_values(["game_id"])
+    for _, t in got.groupby("team_id", dropna=False):
+        x = t["plus_minus"].where(~t["is_home"]).reset_index(drop=True)
+        np.testing.assert_allclose(t["plus_minus_away_split_roll_10"].astype(float), x.shift(1).rolling(10, min_periods=3).mean().ffill(), rtol=1e-9)
+    few = rows.withColumn("x", F.expr("if(game_id in (1, 2), 5.0, if(game_id > 350, game_id, null))"))
+    ewm = wn.with_weighted(few, ["x"], half_life=0.5).where("team_id = 1").orderBy("game_id").toPandas()
+    want = ewm["x"].astype(float).shift(1).ewm(halflife=0.5, min_periods=2, ignore_na=False).mean()
+    late = ewm["game_id"] > 355
+    np.testing.assert_allclose(ewm["x_ewm_0.5"][late].astype(float), want[late], rtol=1e-9)
+    one = ewm[ewm["game_id"] == 353].iloc[0]  # two rows at the start and one just before count as three
+    assert one["x_ewm_0.5"] == pytest.approx(351.0)
+
+
+def test_no_partition_holds_a_whole_history(spark, monkeypatch):
+    monkeypatch.setattr(wn, "RANGE", 1000)
+    monkeypatch.setattr(wn, "HALO", 100)
+    rows = spark.range(50_000).selectExpr("id as game_id", "1L as team_id", "date_add(date '2000-01-01', cast(id div 5 as int)) as date", "cast(id % 11 as double) as x")
+    spread = wn.ranged(rows)
+    sizes = spread.groupBy("_range").count().orderBy("_range").collect()
+    assert len(sizes) == 51 and max(r["count"] for r in sizes) == 1100 and sum(r["count"] for r in sizes) == 50_000 + 50 * 100
+    got = wn.with_rolling(rows, ["x"]).orderBy("game_id").toPandas()
+    np.testing.assert_allclose(got["x_roll_20"], got["x"].shift(1).rolling(20, min_periods=10).mean(), rtol=1e-12)
+
+
 def test_weights_of_long_histories(spark):
     rows = spark.range(2000).selectExpr("id as game_id", "1L as team_id", "date_add(date '2000-01-01', cast(id as int)) as date", "cast(id % 7 as double) as x")
     got = wn.with_weighted(rows, ["x"]).orderBy("game_id").toPandas()
     np.testing.assert_allclose(got["x_ewm_10"], got["x"].shift(1).ewm(halflife=10, min_periods=2).mean(), rtol=1e-12)
+    short = wn.with_weighted(rows, ["x"], half_life=0.5).orderBy("game_id").toPandas()  # ranges of 480 rows
+    np.testing.assert_allclose(short["x_ewm_0.5"], got["x"].shift(1).ewm(halflife=0.5, min_periods=2).mean(), rtol=1e-12)
 
 
 def test_opponent_rebounds(spark):
