@@ -29,7 +29,7 @@ from .elias_fano import EliasFano
 #: Absolute discount of successor counts.
 DISCOUNT = 0.75
 #: Bytes of text, and keys, that a task holds at a time.
-CHUNK, HELD = 8 << 20, 6_000_000
+CHUNK, HELD = 4 << 20, 3_000_000
 #: Occurrences for which a shard of levels 2 and 3 is planned; a context with more is split over several.
 SHARD = 4_000_000
 #: Bytes of text for which a shard of level 1 is planned.
