@@ -35,7 +35,6 @@ FEATURE_LABELS = {
     "diff_plus_minus_venue_roll_10": "10-game venue-split +/- differential", "diff_plus_minus_venue_roll_20": "20-game venue-split +/- differential",
     "diff_net_rtg_game_venue_roll_10": "10-game venue-split net rating differential", "diff_net_rtg_game_venue_roll_20": "20-game venue-split net rating differential",
     "diff_fg3_pct_b2b_roll_5": "5-game back-to-back 3PT% differential", "diff_fg3_pct_b2b_roll_10": "10-game back-to-back 3PT% differential",
-    "is_conference_game": "conference matchup", "is_division_game": "division matchup", "home_ats_record_pct": "home against-the-spread record", "away_ats_record_pct": "away against-the-spread record",
 }
 
 # Words in titles of events that aren't single games.

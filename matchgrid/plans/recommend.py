@@ -39,15 +39,15 @@ def recommendations(rows: DataFrame, slate: str, bankroll: float = config.BANKRO
     return own.withColumn("bet_size", F.col("kelly_pct") * bankroll)
 
 
-def slate_view(bets: DataFrame, margins: DataFrame | None = None, context: DataFrame | None = None, moved: DataFrame | None = None) -> DataFrame:
+def slate_view(bets: DataFrame, margins: DataFrame | None = None, context: DataFrame | None = None, moved: DataFrame | None = None, form: DataFrame | None = None, injuries: DataFrame | None = None) -> DataFrame:
     """Recommendations (see recommendations; with id, home, away, home_team_id, away_team_id, spread and over_under) as they are shown, the best edge first.
 
     Adds, where they are given and known: predicted_spread and predicted_total
     (two places) with picks and their edges, from margins (home_team_id,
     away_team_id, predicted_spread, predicted_total); home_trend and away_trend
     from context (team_id, trend); prob_movement, odds_disagreement and
-    n_snapshots from moved (by both teams); and the explanation. A game that has
-    none keeps nulls.
+    n_snapshots from moved (by both teams); what with_form and with_injured add
+    from form and injuries; and the explanation. A game that has none keeps nulls.
     """
     pair, c = ["home_team_id", "away_team_id"], F.col
     out = bets
@@ -62,6 +62,8 @@ def slate_view(bets: DataFrame, margins: DataFrame | None = None, context: DataF
         out = out.withColumn("trend", F.when(c("side") == "HOME", c("home_trend")).otherwise(c("away_trend")))
     if moved is not None:
         out = out.join(moved.select(*pair, "prob_movement", "odds_disagreement", "n_snapshots"), pair, "left")
+    out = out if form is None else with_form(out, form)
+    out = out if injuries is None else with_injured(out, injuries)
     return explanation(out).orderBy(F.desc("edge"), "home", "away", "id")
 
 
@@ -154,35 +156,102 @@ def resolved(predictions: DataFrame, games: DataFrame) -> DataFrame:
     return predictions.drop("home_won").join(done, ["date", "home_team_id", "away_team_id"])
 
 
+def number(x: Column, digits: int = 1, sign: str = "") -> Column:
+    """A number as text: rounded in decimals (halves away from 0), so that it doesn't depend on the order of a sum."""
+    return F.format_string(f"%{sign}.{digits}f", F.round(x.cast("decimal(20,9)"), digits).cast("double"))
+
+
 def percent(x: Column, sign: str = "") -> Column:
-    return F.concat(F.format_string(f"%{sign}.1f", 100 * x), F.lit("%"))
+    return F.concat(number(100 * x, 1, sign), F.lit("%"))
+
+
+#: Form that an explanation cites: column, windows, least difference, how points of it weigh against points of plus-minus.
+CITED = (("plus_minus", (5, 10), 3.0, 1.0), ("efg_pct", (5, 10), 0.02, 50.0), ("tov_pct", (5, 10), 0.02, 30.0))
+#: Impact from which an injured player is named, and how many are.
+NAMED_IMPACT, NAMED = 5.0, 2
+
+
+def with_form(rows: DataFrame, form: DataFrame) -> DataFrame:
+    """Adds home_form and away_form: the last windowed means of both teams (see CITED), from rows by team."""
+    columns = [f"{c}_roll_{n}" for c, widths, *_ in CITED for n in widths] + ["plus_minus_roll_20"]
+    for s in ("home", "away"):
+        rows = rows.join(form.select(F.col("team_id").alias(f"{s}_team_id"), F.struct(*columns).alias(f"{s}_form")), f"{s}_team_id", "left")
+    return rows
+
+
+def with_injured(rows: DataFrame, injuries: DataFrame) -> DataFrame:
+    """Adds home_out and away_out: players of impact NAMED_IMPACT or more (player_name, status) of both teams (by abbreviation), the weightiest first.
+
+    Only as many are kept as a sentence names, so no list grows with the reports.
+    """
+    order = Window.partitionBy("team_abbr").orderBy(F.desc("impact_rating"), "player_name", "status")
+    top = injuries.where(F.col("impact_rating") >= NAMED_IMPACT).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= NAMED)
+    lists = top.groupBy("team_abbr").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "player_name", "status"))), lambda x: F.struct(x["player_name"].alias("player_name"), x["status"].alias("status"))).alias("_out"))
+    for s in ("home", "away"):
+        rows = rows.join(lists.select(F.col("team_abbr").alias(s), F.col("_out").alias(f"{s}_out")), s, "left")
+    return rows
+
+
+def _form_sentence(home_bet: Column) -> Column:
+    """The difference in form that supports the bet most; if all speak against it, a caveat with the largest."""
+    c, points = F.col, lambda x: number(x, 1, "+")
+    found = []
+    for k, (stat, widths, least, weight) in enumerate(CITED):
+        for j, n in enumerate(widths):
+            h, a = c(f"home_form.{stat}_roll_{n}"), c(f"away_form.{stat}_roll_{n}")
+            gap = (a - h) if stat == "tov_pct" else (h - a)  # above 0: the home team is better
+            better, worse = F.when(gap > 0, c("home")).otherwise(c("away")), F.when(gap > 0, c("away")).otherwise(c("home"))
+            own, other = F.when(gap > 0, h).otherwise(a), F.when(gap > 0, a).otherwise(h)
+            said = {
+                "plus_minus": F.concat(better, F.lit(" is "), number(F.abs(gap)), F.lit(" points a game ahead of "), worse, F.lit(f" over {n} games ("), points(own), F.lit(" to "), points(other), F.lit(")")),
+                "efg_pct": F.concat(better, F.lit(" shoots "), percent(F.abs(gap)), F.lit(f" better by effective field goals over {n} games")),
+                "tov_pct": F.concat(better, F.lit(" loses the ball less ("), percent(own), F.lit(" to "), percent(other), F.lit(f" of possessions over {n} games)")),
+            }[stat]
+            found.append(F.when(F.abs(gap) > least, F.struct((-weight * F.abs(gap)).alias("rank"), F.lit(2 * k + j).alias("place"), ((gap > 0) == home_bet).alias("agrees"), said.alias("said"))))
+    every = F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    agreeing = F.get(F.filter(every, lambda x: x["agrees"]), F.lit(0))["said"]
+    return F.coalesce(F.concat(agreeing, F.lit(".")), F.concat(F.lit("But form speaks for the other side: "), F.get(every, F.lit(0))["said"], F.lit("; the model goes by ratings, rest and the rest of its features.")))
+
+
+def _driver_sentence(drivers: Column, home_bet: Column, team: Column) -> Column:
+    """The first of a model's drivers that supports the bet by half a point or more, with its value and what it moves."""
+    first = F.get(F.filter(drivers, lambda d: (d["delta"] * F.when(home_bet, 1).otherwise(-1) > 0) & (F.abs(d["delta"]) >= 0.005)), F.lit(0))
+    label, value, size = text.feature_label(first["label"]), first["value"], F.abs(first["delta"])
+    strength = F.when(size >= 0.03, "mainly by").when(size >= 0.01, "much by").otherwise("a little by")
+    signed = number(value, 2, "+")
+    shown = F.when(label.rlike("%|probability|rate"), F.when(F.abs(value) <= 1.5, percent(value)).otherwise(signed)).when(label.rlike("differential|Elo"), signed).otherwise(number(value, 2))
+    return F.concat(team, F.lit(" is favoured "), strength, F.lit(" "), label, F.coalesce(F.concat(F.lit(" ("), shown, F.lit(")")), F.lit("")), F.lit(", which moves the home team's chance by "), percent(first["delta"], "+"), F.lit("."))
 
 
 def explanation(rows: DataFrame) -> DataFrame:
     """Adds ``explanation``: sentences by rule, on edge, driver, injuries, trend and lines.
 
     Uses side, edge, home_prob, market_home_prob, home, away, and where present
-    drivers (array<struct<label, delta>>), home_out and away_out (arrays of names),
-    trend (recent less long-run plus-minus of the side), prob_movement,
-    odds_disagreement and n_snapshots; a sentence without its data is left out.
+    drivers (array<struct<label, delta, value>>, the greatest first), home_form
+    and away_form (see with_form), home_out and away_out (see with_injured),
+    prob_movement, odds_disagreement and n_snapshots. What moves the model is
+    cited before form; a sentence without its data is left out.
     """
     c = F.col
     have = lambda n, kind: c(n) if n in rows.columns else F.lit(None).cast(kind)
     home = c("side") == "HOME"
     team, other = F.when(home, c("home")).otherwise(c("away")), F.when(home, c("away")).otherwise(c("home"))
     p, price = F.when(home, c("home_prob")).otherwise(1 - c("home_prob")), F.when(home, c("market_home_prob")).otherwise(1 - c("market_home_prob"))
-    lead = F.when(price > 0, F.concat(F.lit("Model gives "), team, F.lit(" a "), percent(p), F.lit(" chance against a market price of "), percent(price), F.lit(".")))
-    direction = F.when(home, 1).otherwise(-1)
-    agreeing = F.filter(have("drivers", "array<struct<label:string,delta:double>>"), lambda d: (d["delta"] * direction > 0) & (F.abs(d["delta"]) >= 0.005))
-    support = F.aggregate(agreeing, F.lit(0.0), lambda s, d: s + F.abs(d["delta"]))
-    strength = F.when(support >= 0.03, "Strong").when(support >= 0.01, "Moderate").otherwise("Slight")
-    driver = F.when(F.size(agreeing) > 0, F.concat(strength, F.lit(" support from "), F.array_join(F.transform(F.slice(agreeing, 1, 2), lambda d: text.feature_label(d["label"])), " and "), F.lit(".")))
-    out_of = lambda n: F.array_join(F.slice(have(n, "array<string>"), 1, 3), ", ")
-    foes, own = F.when(home, out_of("away_out")).otherwise(out_of("home_out")), F.when(home, out_of("home_out")).otherwise(out_of("away_out"))
+    edge = F.concat(F.lit(" (an edge of "), percent(c("edge")), F.lit(").")) if "edge" in rows.columns else F.lit(".")
+    lead = F.when(price > 0, F.concat(F.lit("Model gives "), team, F.lit(" a "), percent(p), F.lit(" chance against a market price of "), percent(price), edge))
+    formed = {"home_form", "away_form"} <= set(rows.columns)
+    driver = F.coalesce(_driver_sentence(have("drivers", "array<struct<label:string,delta:double,value:double>>"), home, team), _form_sentence(home) if formed else F.lit(None).cast("string"))
+    named = lambda n: F.array_join(F.transform(F.slice(have(n, "array<struct<player_name:string,status:string>>"), 1, NAMED), lambda x: F.concat(x["player_name"], F.lit(" ("), x["status"], F.lit(")"))), ", ")
+    foes, own = F.when(home, named("away_out")).otherwise(named("home_out")), F.when(home, named("home_out")).otherwise(named("away_out"))
     weakened = F.when(foes != "", F.concat(other, F.lit(" is weakened without "), foes, F.lit(".")))
     missing = F.when(own != "", F.concat(F.lit("But "), team, F.lit(" also misses "), own, F.lit(".")))
-    t = have("trend", "double")
-    trend = F.when(t > 3, F.concat(team, F.lit(" is trending up."))).when(t < -3, F.concat(team, F.lit(" is in a slump.")))
+    if formed:
+        short, long = (F.when(home, c(f"home_form.plus_minus_roll_{n}")).otherwise(c(f"away_form.plus_minus_roll_{n}")) for n in (5, 20))
+        numbers = F.concat(number(short, 1, "+"), F.lit(" over 5 games, "), number(long, 1, "+"), F.lit(" over 20."))
+        trend = F.when(short - long > 3, F.concat(team, F.lit(" is trending up: "), numbers)).when(short - long < -3, F.concat(team, F.lit(" is in a slump: "), numbers))
+    else:
+        t = have("trend", "double")
+        trend = F.when(t > 3, F.concat(team, F.lit(" is trending up."))).when(t < -3, F.concat(team, F.lit(" is in a slump.")))
     m, apart, seen = have("prob_movement", "double"), have("odds_disagreement", "double"), have("n_snapshots", "long") >= 2
     moving = F.when(seen & (F.abs(m) > 0.03), F.concat(F.lit("The line moves "), F.when(m > 0, "to").otherwise("away from"), F.lit(" the home team ("), percent(m, "+"), F.lit(").")))
     split = F.when(seen & (apart > 0.05), F.concat(F.lit("Markets disagree by "), percent(apart), F.lit(".")))

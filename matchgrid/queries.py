@@ -789,7 +789,7 @@ def _moved(spark, sf):
     return last.select("home_team_id", "away_team_id", "m.*")
 
 
-_SHOWN = f"""{ctes('predictions', 'game_stats', 'odds_snapshots')}{DECIDED[len(PRED):]},
+_SHOWN = f"""{ctes('predictions', 'game_stats', 'odds_snapshots', 'historical_injuries')}{DECIDED[len(PRED):]},
  t as (select team_id, {roll('plus_minus', 5, 2)} - {roll('plus_minus', 20, 10)} as trend, date, game_id from game_stats qualify row_number() over (partition by team_id order by date desc, game_id desc) = 1),
  md as (select {_GAME}, count(*) as n_snapshots, {_MOVES['prob_movement']} as moved, {_MOVES['odds_disagreement']} as apart from odds_snapshots group by {_GAME}),
  ml as (select home_team_id, away_team_id, arg_max(n_snapshots, game_date) as n_snapshots, arg_max(moved, game_date) as moved, arg_max(apart, game_date) as apart from md group by 1, 2),
@@ -799,13 +799,69 @@ _SHOWN = f"""{ctes('predictions', 'game_stats', 'odds_snapshots')}{DECIDED[len(P
  sn as (select *, case when side = 'HOME' then home else away end as team from sl)"""
 
 
-@query(
-    f"{_SHOWN} select id, side, case when side = 'NO BET' then concat('No significant edge between ', away, ' and ', home, '.') else concat_ws(' ', concat('Model gives ', team, ' a ', printf('%.1f', 100 * q), '% chance against a market price of ', printf('%.1f', 100 * m), '%.'), "
-    "case when trend > 3 then concat(team, ' is trending up.') when trend < -3 then concat(team, ' is in a slump.') end, case when n_snapshots >= 2 and abs(moved) > 0.03 then concat('The line moves ', case when moved > 0 then 'to' else 'away from' end, ' the home team (', printf('%+.1f', 100 * moved), '%).') end, "
-    "case when n_snapshots >= 2 and apart > 0.05 then concat('Markets disagree by ', printf('%.1f', 100 * apart), '%.') end) end as explanation from sn"
-)
+def _last_form(spark, sf):
+    """The windowed means that explanations cite, as of each team's last game."""
+    rows = wn.latest_rows(wn.with_rolling(_derived(spark, sf), ["plus_minus", "efg_pct", "tov_pct"]))
+    return rows.select("team_id", *(f"{c}_roll_{n}" for c, widths, *_ in rec.CITED for n in widths), "plus_minus_roll_20")
+
+
+def _injured(spark, sf):
+    """Reports by the names that the slate's teams have."""
+    return view(spark, sf, "historical_injuries").withColumn("team_abbr", F.concat(F.lit("T"), "team_id"))
+
+
+def _driven(spark, sf):
+    """Every third game has drivers, as a model would give them: its opening price and its teams' ids against their means."""
+    rows, c = _slate(spark, sf), F.col
+    item = lambda label, delta, value: F.struct(F.lit(label).alias("label"), delta.alias("delta"), value.alias("value"))
+    price = item("elo_home_prob", (c("market_home_prob") - 0.5) / 10, c("market_home_prob"))
+    teams = item("diff_plus_minus_roll_10", (c("home_team_id") - c("away_team_id")) / 500, (c("home_team_id") - c("away_team_id")).cast("double"))
+    return rows.withColumn("drivers", F.when(c("id") % 3 == 0, F.array(price, teams)))
+
+
+def _explanation_sql() -> str:
+    wide = [(c, n) for c, widths, *_ in rec.CITED for n in widths] + [("plus_minus", 20)]
+    form = ", ".join(f"{roll(c, n, n // 2)} as {c}_{n}" for c, n in wide)
+    num = lambda x, n=1, sign="": f"printf('%{sign}.{n}f', cast(round(cast({x} as decimal(20, 9)), {n}) as double))"
+    pct, one = (lambda x, sign="": f"concat({num(f'100 * ({x})', 1, sign)}, '%')"), (lambda x: num(x, 1, "+"))
+    found = []
+    for k, (stat, widths, least, weight) in enumerate(rec.CITED):
+        for j, n in enumerate(widths):
+            h, a = f"hf.{stat}_{n}", f"af.{stat}_{n}"
+            gap = f"({a} - {h})" if stat == "tov_pct" else f"({h} - {a})"
+            pick = lambda x, y, gap=gap: f"case when {gap} > 0 then {x} else {y} end"
+            better, worse, own, other = pick("home", "away"), pick("away", "home"), pick(h, a), pick(a, h)
+            said = {
+                "plus_minus": f"concat({better}, ' is ', {num(f'abs({gap})')}, ' points a game ahead of ', {worse}, ' over {n} games (', {one(own)}, ' to ', {one(other)}, ')')",
+                "efg_pct": f"concat({better}, ' shoots ', {pct(f'abs({gap})')}, ' better by effective field goals over {n} games')",
+                "tov_pct": f"concat({better}, ' loses the ball less (', {pct(own)}, ' to ', {pct(other)}, ' of possessions over {n} games)')",
+            }[stat]
+            found.append(f"case when abs({gap}) > {least} then {{'rank': -{weight} * abs({gap}), 'place': {2 * k + j}, 'agrees': ({gap} > 0) = (side = 'HOME'), 'said': {said}}} end")
+    names = "concat(player_name, ' (', status, ')')"
+    return f"""{_SHOWN}, fd as (select *, (fgm + 0.5e0 * fg3m) / case when fga = 0 then 1 else fga end as efg_pct, tov / case when fga + 0.44e0 * fta + tov = 0 then 1 else fga + 0.44e0 * fta + tov end as tov_pct from game_stats),
+ fm as (select team_id, {form} from fd qualify row_number() over (partition by team_id order by date desc, game_id desc) = 1),
+ ir as (select team_id, {names} as who, row_number() over (partition by team_id order by impact_rating desc, player_name, status) as k from historical_injuries where impact_rating >= 5),
+ il as (select team_id, string_agg(who, ', ' order by k) as who from ir where k <= 2 group by 1),
+ ex as (select sn.*, hf.plus_minus_5 as h5, hf.plus_minus_20 as h20, af.plus_minus_5 as a5, af.plus_minus_20 as a20, hi.who as home_out, ai.who as away_out,
+  list_sort(list_filter([{', '.join(found)}], lambda x: x is not null)) as said,
+  case when id % 3 = 0 then list_filter([{{'d': (market_home_prob - 0.5) / 10, 's': concat('Elo win probability', ' (', {pct('market_home_prob')}, ')')}}, {{'d': (home_team_id - away_team_id) / 500e0, 's': concat('10-game plus/minus differential (', {num('home_team_id - away_team_id', 2, '+')}, ')')}}],
+   lambda x: x.d * case when side = 'HOME' then 1 else -1 end > 0 and abs(x.d) >= 0.005)[1] end as driver
+  from sn left join fm hf on hf.team_id = sn.home_team_id left join fm af on af.team_id = sn.away_team_id left join il hi on hi.team_id = sn.home_team_id left join il ai on ai.team_id = sn.away_team_id),
+ ey as (select *, case when side = 'HOME' then away_out else home_out end as foes, case when side = 'HOME' then home_out else away_out end as own, case when side = 'HOME' then away else home end as other,
+  case when side = 'HOME' then h5 else a5 end as s5, case when side = 'HOME' then h20 else a20 end as s20, list_filter(said, lambda x: x.agrees)[1].said as fits, said[1].said as most from ex)
+select id, side, case when side = 'NO BET' then concat('No significant edge between ', away, ' and ', home, '.') else concat_ws(' ',
+ concat('Model gives ', team, ' a ', {pct('q')}, ' chance against a market price of ', {pct('m')}, ' (an edge of ', {pct('edge')}, ').'),
+ case when driver is not null then concat(team, ' is favoured ', case when abs(driver.d) >= 0.03 then 'mainly by' when abs(driver.d) >= 0.01 then 'much by' else 'a little by' end, ' ', driver.s, ', which moves the home team''s chance by ', {pct('driver.d', '+')}, '.')
+  when fits is not null then concat(fits, '.') when most is not null then concat('But form speaks for the other side: ', most, '; the model goes by ratings, rest and the rest of its features.') end,
+ case when foes is not null then concat(other, ' is weakened without ', foes, '.') end, case when own is not null then concat('But ', team, ' also misses ', own, '.') end,
+ case when s5 - s20 > 3 then concat(team, ' is trending up: ', {one('s5')}, ' over 5 games, ', {one('s20')}, ' over 20.') when s5 - s20 < -3 then concat(team, ' is in a slump: ', {one('s5')}, ' over 5 games, ', {one('s20')}, ' over 20.') end,
+ case when n_snapshots >= 2 and abs(moved) > 0.03 then concat('The line moves ', case when moved > 0 then 'to' else 'away from' end, ' the home team (', {pct('moved', '+')}, ').') end,
+ case when n_snapshots >= 2 and apart > 0.05 then concat('Markets disagree by ', {pct('apart')}, '.') end) end as explanation from ey"""
+
+
+@query(_explanation_sql())
 def bet_explanations(spark, sf):
-    out = rec.slate_view(_slate(spark, sf), context=_context(spark, sf), moved=_moved(spark, sf))
+    out = rec.slate_view(_driven(spark, sf), moved=_moved(spark, sf), form=_last_form(spark, sf), injuries=_injured(spark, sf))
     return out.select("id", "side", "explanation")
 
 

@@ -352,9 +352,43 @@ def test_features_and_models(spark):
 
 
 def test_explanations(spark):
-    row = spark.createDataFrame([(1, "BOS", "LAL", 0.7, 0.5, 4.0, 0.06, 0.08, 3, ["X Y"], [])], "id long, home string, away string, model_home_prob double, market_home_prob double, trend double, prob_movement double, odds_disagreement double, n_snapshots long, away_out array<string>, home_out array<string>")
+    person = "array<struct<player_name:string,status:string>>"
+    row = spark.createDataFrame([(1, "BOS", "LAL", 0.7, 0.5, 4.0, 0.06, 0.08, 3, [("X Y", "Out")], [])], f"id long, home string, away string, model_home_prob double, market_home_prob double, trend double, prob_movement double, odds_disagreement double, n_snapshots long, away_out {person}, home_out {person}")
     said = rec.explanation(rec.decided(row)).first()["explanation"]
-    assert "BOS" in said and "without X Y" in said and "trending up" in said and "to the home team (+6.0%)" in said and "8.0%" in said
+    assert "BOS" in said and "without X Y (Out)" in said and "trending up" in said and "to the home team (+6.0%)" in said and "8.0%" in said and "(an edge of 16.8%)" in said
+
+
+def explained(spark, home_bet, home, away, drivers=None, injuries=()):
+    """The explanation of a bet, from forms (plus-minus 5, 10; eFG 5, 10; turnovers 5, 10; plus-minus 20) and reports."""
+    columns = [f"{c}_roll_{n}" for c, widths, *_ in rec.CITED for n in widths] + ["plus_minus_roll_20"]
+    form = spark.createDataFrame([(1, *home), (2, *away)], "team_id long, " + ", ".join(f"{c} double" for c in columns))
+    reports = spark.createDataFrame(list(injuries), "team_abbr string, player_name string, status string, impact_rating double")
+    game = spark.createDataFrame([(7, "BOS", "LAL", 1, 2, "HOME" if home_bet else "AWAY", 0.15, 0.6, 0.52, drivers)], "id long, home string, away string, home_team_id long, away_team_id long, side string, edge double, home_prob double, market_home_prob double, drivers array<struct<label:string,delta:double,value:double>>")
+    return rec.explanation(rec.with_injured(rec.with_form(game, form), reports)).first()["explanation"]
+
+
+def test_explanations_cite_what_supports_the_bet(spark):
+    good, bad = (6.0, 9.0, 0.60, 0.55, 0.10, 0.12, 1.0), (1.0, -2.0, 0.50, 0.54, 0.15, 0.13, 0.5)
+    said = explained(spark, True, good, bad)
+    assert "BOS is 11.0 points a game ahead of LAL over 10 games (+9.0 to -2.0)." in said and "BOS is trending up: +6.0 over 5 games, +1.0 over 20." in said
+    said = explained(spark, False, good, bad)
+    assert "But form speaks for the other side: BOS is 11.0 points a game ahead" in said
+    mixed = explained(spark, False, good, (1.0, 0.0, 0.50, 0.54, 0.05, 0.02, 9.0))  # only turnovers are for LAL
+    assert "LAL loses the ball less (2.0% to 12.0% of possessions over 10 games)." in mixed and "LAL is in a slump: +1.0 over 5 games, +9.0 over 20." in mixed
+    assert "other side" not in explained(spark, True, (None,) * 7, bad) and "ahead" not in explained(spark, True, (2.0, 2.0, 0.5, 0.5, 0.1, 0.1, 2.0), (1.0, 1.0, 0.49, 0.5, 0.1, 0.1, 1.0))
+
+
+def test_explanations_cite_drivers_and_named_players(spark):
+    form = (6.0, 9.0, 0.60, 0.55, 0.10, 0.12, 5.0)
+    drivers = [("elo_diff", -0.2, -40.0), ("efg_pct_x", 0.004, 1.0), ("home_elo", 0.02, 1571.234), ("elo_home_prob", 0.01, 0.61)]
+    said = explained(spark, True, form, form, drivers)
+    assert "BOS is favoured much by home Elo (+1571.23), which moves the home team's chance by +2.0%." in said
+    said = explained(spark, False, form, form, drivers)
+    assert "LAL is favoured mainly by Elo differential (-40.00), which moves the home team's chance by -20.0%." in said
+    assert "favoured" not in explained(spark, True, form, form, drivers[:2])
+    people = [("LAL", "A", "Out", 9.0), ("LAL", "B", "Questionable", 5.0), ("LAL", "C", "Out", 7.0), ("BOS", "D", "Out", 4.9), ("BOS", "E", "GTD", 5.1)]
+    said = explained(spark, True, form, form, None, people)
+    assert "LAL is weakened without A (Out), C (Out)." in said and "But BOS also misses E (GTD)." in said
 
 
 def test_exposure_and_curve(spark):
