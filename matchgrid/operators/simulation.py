@@ -173,32 +173,96 @@ def _projected(f: np.ndarray, top: float, total: float) -> np.ndarray:
     return np.clip(f - hi, 0, top)
 
 
-def optimal_fractions(probs: np.ndarray, prices: np.ndarray, rho: float = config.PORTFOLIO_RHO, scale: float = config.KELLY_FRACTION, top: float = config.MAX_BET, total: float = config.MAX_EXPOSURE, draws: int = 2000, seed: int = 42) -> np.ndarray:
-    """Stakes of a slate that maximise expected log growth under equally correlated results, then scaled down."""
+#: Largest gap of an optimum; results drawn at once; steps after which a slate is given up.
+GAP, DRAWN, STEPS = 1e-7, 1 << 21, 5000
+
+
+def _outcomes(p: np.ndarray, rho: float, draws: int, seed: int):
+    """Pieces of a (draws x bets) table of equally correlated results, the same each time it is asked for."""
+    edges = np.array([NormalDist().inv_cdf(min(max(1 - x, 1e-9), 1 - 1e-9)) for x in p])
+    step = max(1, DRAWN // max(1, len(p)))
+    for k, lo in enumerate(range(0, draws, step)):
+        r = np.random.default_rng([seed, k])
+        n = min(step, draws - lo)
+        yield np.sqrt(rho) * r.standard_normal((n, 1)) + np.sqrt(1 - rho) * r.standard_normal((n, len(p))) > edges
+
+
+def _growth(f: np.ndarray, p, b, rho, draws, seed) -> tuple[float, np.ndarray]:
+    """Mean log growth over the draws, and its gradient; minus infinity where a draw loses all."""
+    value, grad = 0.0, np.zeros(len(f))
+    for won in _outcomes(p, rho, draws, seed):
+        gains = np.where(won, b, -1.0)
+        money = 1 + gains @ f
+        if money.min() <= 0:
+            return -np.inf, grad
+        value += np.log(money).sum()
+        grad += (gains / money[:, None]).sum(0)
+    return value / draws, grad / draws
+
+
+def gap_of(grad: np.ndarray, f: np.ndarray, top: float, total: float) -> float:
+    """At most by how much any allowed stakes can be better: what the gradient promises at the best corner."""
+    left, corner = total, np.zeros(len(f))
+    for i in np.argsort(-grad, kind="stable"):
+        if grad[i] <= 0 or left <= 0:
+            break
+        corner[i] = min(top, left)
+        left -= corner[i]
+    return float(grad @ (corner - f))
+
+
+def optimum(probs: np.ndarray, prices: np.ndarray, rho: float = config.PORTFOLIO_RHO, top: float = config.MAX_BET, total: float = config.MAX_EXPOSURE, draws: int = 2000, seed: int = 42) -> tuple[np.ndarray, float, float]:
+    """(stakes, growth, gap) of a slate: stakes that maximise mean log growth over draws of equally correlated results.
+
+    Projected gradient steps, each of a length that is sure to improve, until
+    the gap shows that no allowed stakes are better by more than GAP. Draws are
+    made in pieces, so a slate of any size needs memory for its stakes and one piece.
+    """
     out = np.zeros(len(probs))
     good = np.flatnonzero((prices > 0) & (prices < 1) & (probs > prices))
     if not len(good):
-        return out
+        return out, 0.0, 0.0
     p, b = probs[good], 1 / prices[good] - 1
-    r = np.random.default_rng(seed)
-    common, own = r.standard_normal((draws, 1)), r.standard_normal((draws, len(good)))
-    edges = np.array([NormalDist().inv_cdf(min(max(1 - x, 1e-9), 1 - 1e-9)) for x in p])
-    gains = np.where(np.sqrt(rho) * common + np.sqrt(1 - rho) * own > edges, b, -1.0)
     f = _projected((p * (b + 1) - 1) / b, top, total)
-    for k in range(200):
-        grad = (gains / np.maximum(1 + gains @ f, 1e-3)[:, None]).mean(0)
-        f = _projected(f + 0.02 / np.sqrt(1 + k) * grad, top, total)
-    f = np.clip(f * scale, 0, top)
-    out[good] = f * min(1.0, total / f.sum()) if f.sum() > 0 else f
-    return out
+    value, grad = _growth(f, p, b, rho, draws, seed)
+    if not np.isfinite(value):
+        f = f * 0.0
+        value, grad = _growth(f, p, b, rho, draws, seed)
+    length = 0.02
+    for _ in range(STEPS):
+        if gap_of(grad, f, top, total) <= GAP:
+            break
+        while True:
+            g = _projected(f + length * grad, top, total)
+            better, slope = _growth(g, p, b, rho, draws, seed)
+            if better >= value + grad @ (g - f) - ((g - f) ** 2).sum() / (2 * length) - 1e-15 or length < 1e-12:
+                break
+            length /= 2
+        move, turn = g - f, grad - slope
+        f, value, grad = g, better, slope
+        curve = move @ turn
+        length = min(max((move @ move) / curve, length / 10), 1e3) if curve > 0 else 2 * length
+    out[good] = f
+    return out, value, gap_of(grad, f, top, total)
+
+
+def optimal_fractions(probs: np.ndarray, prices: np.ndarray, rho: float = config.PORTFOLIO_RHO, scale: float = config.KELLY_FRACTION, top: float = config.MAX_BET, total: float = config.MAX_EXPOSURE, draws: int = 2000, seed: int = 42) -> np.ndarray:
+    """The optimum's stakes, scaled down; within the limits of a bet and of the slate."""
+    return scaled(optimum(probs, prices, rho, top, total, draws, seed)[0], scale, top, total)
+
+
+def scaled(stakes: np.ndarray, scale: float = config.KELLY_FRACTION, top: float = config.MAX_BET, total: float = config.MAX_EXPOSURE) -> np.ndarray:
+    f = np.clip(stakes * scale, 0, top)
+    return f * min(1.0, total / f.sum()) if f.sum() > 0 else f
 
 
 def optimised_slates(bets: DataFrame) -> DataFrame:
-    """Adds fraction to bets (slate, id, prob, price): each slate is optimised as a whole; a slate is one day's games."""
+    """Adds fraction to bets (slate, id, prob, price), with the slate's growth and gap: each slate is optimised as a whole; a slate is one day's games."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        return pdf.assign(fraction=optimal_fractions(pdf["prob"].to_numpy(), pdf["price"].to_numpy()))
+        stakes, growth, gap = optimum(pdf["prob"].to_numpy(), pdf["price"].to_numpy())
+        return pdf.assign(fraction=scaled(stakes), growth=growth, gap=gap)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bets.select("slate", "id", "prob", "price").schema)
-    return bets.select("slate", "id", "prob", "price").groupBy("slate").applyInPandas(work, f"{schema}, fraction double")
+    return bets.select("slate", "id", "prob", "price").groupBy("slate").applyInPandas(work, f"{schema}, fraction double, growth double, gap double")

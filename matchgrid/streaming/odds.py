@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import config
 from ..operators.odds import GAME, earliest, latest
 from ..scratch import written
 from ..sources import snapshots
 
-KEPT = "game_date date, home_team_id long, away_team_id long, source string, timestamp timestamp, home_prob double, spread double, over_under double"
+KEPT = "game_date date, home_team_id long, away_team_id long, source string, timestamp timestamp, id long, home_prob double, spread double, over_under double"
 
 
 def import_stream(rows: DataFrame, teams: DataFrame, table: str, checkpoint: str):
@@ -37,31 +35,78 @@ def distinct_stream(rows: DataFrame, delay: str = "1 day") -> DataFrame:
     return rows.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(snapshots.KEY)
 
 
-def _close(a, b, tolerance: float) -> bool:
-    if pd.isna(a) or pd.isna(b):
-        return bool(pd.isna(a) and pd.isna(b))
-    return abs(a - b) <= tolerance
+def _alike(last: tuple, row: tuple) -> bool:
+    """Whether a row (at, id, home_prob, spread, over_under) repeats the last one kept, within the tolerances."""
+    close = lambda a, b, tolerance: abs(a - b) <= tolerance if a is not None and b is not None else a is b
+    return row[0] - last[0] <= HOURS_MS * config.DEDUP_HOURS * 1000 and all(map(close, last[2:], row[2:], (config.DEDUP_PROB, config.DEDUP_POINTS, config.DEDUP_POINTS)))
+
 
+HOURS_MS = 3_600_000  # of an hour; times of rows are in microseconds
+_VALUES = "at long, id long, home_prob double, spread double, over_under double"
 
-def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
-    kept = []
-    for r in rows.itertuples(index=False):
-        at = r.timestamp.timestamp()
-        repeat = last is not None and at - last[0] <= 3600 * config.DEDUP_HOURS and _close(last[1], r.home_prob, config.DEDUP_PROB) and _close(last[2], r.spread, config.DEDUP_POINTS) and _close(last[3], r.over_under, config.DEDUP_POINTS)
-        if not repeat:
-            last = (at, r.home_prob, r.spread, r.over_under)
-            kept.append(r)
-    if last is not None:
-        state.update(tuple(None if pd.isna(x) else float(x) for x in last))
-    yield pd.DataFrame(kept, columns=rows.columns)
 
+class Moved(StatefulProcessor):
+    """The tolerance filter of a game and source, over event time.
 
-def moved_stream(rows: DataFrame) -> DataFrame:
-    """Rows that aren't repeats, within the tolerances, of the last one kept of their game and source."""
+    Rows wait until the watermark has passed them, so that they are judged in the
+    order (timestamp, id) however they came in; then the last one kept stays for
+    DEDUP_HOURS, after which nothing can repeat it, and is dropped.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last, self.waiting = handle.getValueState("last", _VALUES), handle.getListState("waiting", _VALUES)
+        self.columns = [f.split()[0] for f in KEPT.split(", ")]
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed, fresh = timerValues.getCurrentWatermarkInMs(), []
+        for pdf in rows:
+            at = pdf["timestamp"].astype("datetime64[us]").astype("int64")
+            fresh += [tuple(None if pd.isna(x) else x for x in r) for r in zip(at, pdf["id"], *(pdf[c].astype(float) for c in ("home_prob", "spread", "over_under")))]
+        fresh = [(int(r[0]), int(r[1]), *r[2:]) for r in fresh if r[0] // 1000 > passed]  # others are late
+        if fresh:
+            self.waiting.appendList(fresh)
+            self.handle.registerTimer(min(r[0] for r in fresh) // 1000 + 1)
+        yield pd.DataFrame(columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed, waiting = timerValues.getCurrentWatermarkInMs(), sorted(tuple(r) for r in self.waiting.get())
+        ready, rest = [r for r in waiting if r[0] // 1000 <= passed], [r for r in waiting if r[0] // 1000 > passed]
+        last = tuple(self.last.get()) if self.last.exists() else None
+        kept = []
+        for r in ready:
+            if last is None or not _alike(last, r):
+                last = r
+                kept.append((*key, pd.Timestamp(r[0], unit="us"), *r[1:]))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        ends = last[0] // 1000 + HOURS_MS * config.DEDUP_HOURS + 1 if last else 0
+        if last and ends > passed:
+            self.last.update(last)
+            self.handle.registerTimer(ends)
+        else:
+            self.last.clear()
+        yield pd.DataFrame(kept, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def moved_stream(rows: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Rows that aren't repeats, within the tolerances, of the last one kept of their game and source.
+
+    The same rows as moved_snapshots of all that isn't later than the delay; a
+    row comes out once the watermark has passed it. State is kept in RocksDB, as
+    this kind of operator asks; it holds rows within the delay and, of games
+    that had any in the last DEDUP_HOURS before, one row.
+    """
     key = [*GAME, "source"]
-    return rows.select(*key, "timestamp", "home_prob", "spread", "over_under").groupBy(*key).applyInPandasWithState(_fold, KEPT, "at double, home_prob double, spread double, over_under double", "append", GroupStateTimeout.NoTimeout)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = rows.select(*key, "timestamp", "id", "home_prob", "spread", "over_under").withWatermark("timestamp", delay)
+    return own.groupBy(*key).transformWithStateInPandas(Moved(), KEPT, "append", "EventTime")
 
 
 def movement_stream(rows: DataFrame) -> DataFrame:

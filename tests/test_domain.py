@@ -278,13 +278,36 @@ def test_streams(spark, tmp_path):
     rows = odds(spark, ("espn", 0, 0.6, 1.0), ("espn", 1, 0.601, 1.0), ("espn", 3, 0.7, 1.0), ("espn", 3, 0.7, 1.0))
     rows.write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    for name, df, mode, n in (("moved", stream.moved_stream(read()), "append", 2), ("distinct", stream.distinct_stream(read()), "append", 3), ("movement", stream.movement_stream(read()), "complete", 1)):
+    for name, df, mode, n in (("distinct", stream.distinct_stream(read()), "append", 3), ("movement", stream.movement_stream(read()), "complete", 1)):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == n, name
 
 
+def test_tolerance_filter_of_a_stream(spark, tmp_path):
+    """Late rows, ties, a restart, and state that goes after its time."""
+    r, t0, day = np.random.default_rng(8), dt.datetime(2026, 4, 22), dt.date(2026, 4, 22)
+    rows = [(i, day, 1, 2, ("espn", "polymarket")[i % 2], t0 + dt.timedelta(minutes=int(r.integers(0, 2800) // 20 * 20)), float(r.choice([0.5, 0.503, 0.52])) if i % 9 else None, float(r.choice([1.0, 1.5, 3.0])), None) for i in range(300)]
+    parts = [sorted((x for x in rows if n * 700 <= (x[5] - t0).total_seconds() / 60 < (n + 1) * 700), key=lambda x: r.random()) for n in range(4)]
+    parts[1], parts[2] = parts[1][20:] + parts[2][:10], parts[2][10:] + parts[1][:20]  # some come a part too early or too late
+    late = (900, day, 1, 2, "espn", t0 - dt.timedelta(hours=40), 0.9, 1.0, None)
+    parts += [[(901, day, 3, 4, "espn", t0 + dt.timedelta(days=5), 0.5, 1.0, None)], [late, (902, day, 3, 4, "espn", t0 + dt.timedelta(days=9), 0.5, 1.0, None)]]
+    parts += [[(903, day, 5, 6, "espn", t0 + dt.timedelta(days=20), 0.5, 1.0, None)], [(904, day, 5, 6, "espn", t0 + dt.timedelta(days=30), 0.5, 1.0, None)]]
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    state = []
+    for n, part in enumerate(parts):  # each run is a restart from the checkpoint
+        spark.createDataFrame(part, ODDS).coalesce(1).write.mode("append").parquet(source)
+        feed = spark.readStream.schema(ODDS).parquet(source)
+        q = stream.moved_stream(feed, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        state.append([sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress])
+    got = sorted(x["id"] for x in spark.read.schema(stream.KEPT).parquet(out).collect())
+    want = sorted(x["id"] for x in od.moved_snapshots(spark.createDataFrame(rows + [parts[4][0], parts[5][1], parts[6][0]], ODDS)).collect())
+    assert got == want and 0 < len(want) < 250 and 900 not in got
+    assert max(map(max, state)) >= 4 and state[-1][-1] <= 2, state  # keys that state has
+
+
 def test_new_games_and_upserts(spark, tmp_path):
     log = spark.createDataFrame([("g1", 1, "BOS vs. LAL", 100), ("g1", 2, "LAL @ BOS", 90), ("g2", 1, "BOS vs. NYK", 99), ("g3", 3, "A vs. B", 1), ("g3", 4, "B vs. A", 2)], "game_id string, team_id long, matchup string, pts int").withColumn("date", F.current_date()).withColumn("season", F.lit("2025-26"))
     got = sn.new_games(log, spark.createDataFrame([], "id string")).collect()
@@ -327,6 +350,32 @@ def test_portfolio():
     assert sim.optimal_fractions(np.array([0.4, 0.7]), np.array([0.5, 0.5]))[0] == 0
 
 
+@pytest.mark.parametrize(("probs", "prices"), [([0.6], [0.5]), ([0.55, 0.7], [0.5, 0.66]), ([0.56, 0.62, 0.8], [0.5, 0.6, 0.75]), ([0.9, 0.9, 0.3], [0.5, 0.5, 0.2])])
+def test_portfolio_is_best_on_a_grid(probs, prices):
+    p, m, top, total = np.array(probs), np.array(prices), 0.3, 0.5
+    f, growth, gap = sim.optimum(p, m, top=top, total=total)
+    assert 0 <= gap <= 1e-6 and f.sum() <= total + 1e-12 and f.min() >= 0 and f.max() <= top
+    steps = np.meshgrid(*[np.linspace(0, top, 61)] * len(p), indexing="ij")
+    grid = np.stack([s.ravel() for s in steps], 1)
+    grid = grid[grid.sum(1) <= total + 1e-12]
+    b = 1 / m - 1
+    won = np.concatenate(list(sim._outcomes(p, config.PORTFOLIO_RHO, 2000, 42)))
+    best = max(np.log(1 + np.where(won, b, -1.0) @ g).mean() for g in grid)
+    assert best - 1e-6 <= growth and growth <= best + 1e-3
+
+
+def test_portfolio_of_a_large_slate(monkeypatch):
+    r = np.random.default_rng(1)
+    m = r.uniform(0.3, 0.7, 300)
+    p = np.clip(m + r.uniform(-0.05, 0.15, 300), 0.01, 0.99)
+    f, growth, gap = sim.optimum(p, m)
+    monkeypatch.setattr(sim, "DRAWN", 1 << 12)
+    assert gap <= 1e-6 and f.sum() <= config.MAX_EXPOSURE + 1e-9 and growth > 0
+    again = sim.optimum(p[:40], m[:40])
+    assert again[2] <= 1e-6  # draws in pieces
+    assert sim.optimum(np.zeros(2), np.ones(2))[1:] == (0.0, 0.0)
+
+
 def test_features_and_models(spark):
     history = ratings.elo_history(view(spark, SF, "games"))
     form = ft.team_form(view(spark, SF, "game_stats"), history)
