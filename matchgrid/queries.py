@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import config
 from .functions import basketball as bb, betting as bet, text
-from .operators import injuries as inj, metrics as mt, models, odds as od, ratings, simulation as sim, windows as wn
+from .operators import injuries as inj, metrics as mt, models, odds as od, ratings, simulation as sim, sketches as sk, windows as wn
 from .plans import features as ft, recommend as rec
 from .scratch import shared_dir, written
 from .sources import markets, snapshots as sn
@@ -1032,3 +1032,20 @@ def new_snapshot_rows(spark, sf):
 def claimed_win_rate(spark, sf):
     bets = view(spark, sf, "predictions").where("bet_side <> 'NO BET'").select(F.col("bet_side").alias("side"), F.col("model_home_prob").alias("home_prob"), F.expr("(bet_side = 'HOME') = home_won").alias("won"))
     return rounded(rec.win_rate_gap(bets))
+
+
+@query(f"{SETTLED} select count(*) as n, true as counts_hold, true as quantiles_hold from s")
+def sketched_predictions(spark, sf):
+    """Sketches of days, merged, against the exact numbers: pairs of teams within three standard errors, quantiles of profit within 1 % of ranks."""
+    rows = _settled(spark, sf).withColumn("pair", F.concat_ws("-", "home_team_id", "away_team_id"))
+    days = written(sk.daily_sketches(rows, "date", {"pairs": F.col("pair")}, {"profit": F.col("profit")}), "sketches")
+    found = sk.merged(days).first()  # one row
+    shares = {s: found[f"profit_{100 * s:g}"] for s in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    known = F.col("profit").isNotNull()
+    share = lambda when: F.avg(F.when(known, when.cast("double")))
+    inside = [(share(F.col("profit") < v) <= s + 0.01) & (share(F.col("profit") <= v) >= s - 0.01) for s, v in shares.items() if v is not None]
+    held = inside[0] if inside else F.lit(True)
+    for i in inside[1:]:
+        held = held & i
+    exact = F.count_distinct("pair")
+    return rows.agg(F.count("*").alias("n"), (F.abs(exact - found["pairs"]) <= 3 * 1.04 / 2 ** (sk.LG_K / 2) * exact).alias("counts_hold"), held.alias("quantiles_hold"))
