@@ -12,7 +12,7 @@ from .functions import basketball as bb, betting as bet, text
 from .operators import injuries as inj, metrics as mt, models, odds as od, ratings, simulation as sim, sketches as sk, windows as wn
 from .plans import features as ft, recommend as rec
 from .scratch import shared_dir, written
-from .sources import markets, snapshots as sn
+from .sources import documents, markets, snapshots as sn
 from .sources.fixtures import ctes, view
 from .streaming import odds as streaming
 
@@ -1049,3 +1049,37 @@ def sketched_predictions(spark, sf):
         held = held & i
     exact = F.count_distinct("pair")
     return rows.agg(F.count("*").alias("n"), (F.abs(exact - found["pairs"]) <= 3 * 1.04 / 2 ** (sk.LG_K / 2) * exact).alias("counts_hold"), held.alias("quantiles_hold"))
+
+
+@query(
+    f"{ctes('historical_injuries', 'teams')} select h.player_name, cast(player_id as varchar) as player_id, case when player_id % 7 = 0 then '' else abbreviation end as team_abbr, case when player_id % 5 = 0 then 'Unknown' else status end as status, "
+    "case when player_id % 3 = 0 then 'short' else concat('rated ', cast(cast(impact_rating as int) as varchar)) end as description, cast(snapshot_date as varchar) as reported from historical_injuries h join teams t on t.id = h.team_id"
+)
+def injury_documents(spark, sf):
+    """Injury reports, a document each, laid flat: teams by id, by name, or unknown; missing statuses and comments."""
+    rows, c = view(spark, sf, "historical_injuries").join(view(spark, sf, "teams").select(F.col("id").alias("team_id"), "name"), "team_id"), F.col
+    sometimes = lambda when, x: F.when(F.expr(when), x)
+    player = F.struct(
+        F.struct(c("player_id").cast("string").alias("id"), c("player_name").alias("displayName")).alias("athlete"), sometimes("player_id % 5 <> 0", c("status")).alias("status"),
+        sometimes("player_id % 3 <> 0", F.concat(F.lit("rated "), c("impact_rating").cast("int").cast("string"))).alias("longComment"), F.lit("short").alias("shortComment"), c("snapshot_date").cast("string").alias("date"),
+    )
+    team = F.struct(sometimes("player_id % 7 <> 0 and player_id % 2 = 0", c("team_id").cast("string")).alias("id"), sometimes("player_id % 7 <> 0", c("name")).alias("displayName"), F.array(player).alias("injuries"))
+    docs = documents.parsed(rows.select(F.to_json(F.struct(F.array(team).alias("injuries"))).alias("body")), "body", documents.INJURIES)
+    return documents.flat_injuries(docs, view(spark, sf, "teams").select(F.col("id").alias("feed_id"), "name", "abbreviation"))
+
+
+@query(
+    f"{PRED} select id, {big('case when id % 4 = 0 then 0 else 1 + id % 2 end', 'n_providers')}, case when id % 4 <> 0 then 'book' end as provider, {r('case when id % 4 <> 0 then id % 25 - 12.5e0 end', 'spread')}, {r('case when id % 4 <> 0 then 200 + id % 40 end', 'over_under')}, "
+    "concat(cast(home_team_id as varchar), '-', cast(away_team_id as varchar)) as first_against_spread, case when id % 3 <> 0 then 'level' end as season_series from predictions"
+)
+def summary_documents(spark, sf):
+    """Summaries of games, a document each, laid flat."""
+    rows, c = view(spark, sf, "predictions"), F.col
+    pick = lambda name: F.struct(F.struct(F.lit(name).alias("name")).alias("provider"), F.expr("cast(id % 25 - 12.5 as string)").alias("spread"), F.expr("cast(200 + id % 40 as string)").alias("overUnder"))
+    picks = F.when(F.expr("id % 4 = 0"), F.array().cast("array<struct<provider:struct<name:string>,spread:string,overUnder:string>>")).when(F.expr("id % 2 = 0"), F.array(pick("book"))).otherwise(F.array(pick("book"), pick("other")))
+    record = F.struct(F.lit("total").alias("type"), F.concat_ws("-", "home_team_id", "away_team_id").alias("summary"))
+    side = F.struct(F.struct(c("home_team_id").cast("string").alias("abbreviation")).alias("team"), F.array(record).alias("records"))
+    series = F.when(F.expr("id % 3 <> 0"), F.array(F.struct(F.lit("level").alias("summary"))))
+    body = F.to_json(F.struct(picks.alias("pickcenter"), F.array(side).alias("againstTheSpread"), F.struct(F.array(F.struct(series.alias("series"))).alias("competitions")).alias("header")))
+    out = documents.flat_summary(documents.parsed(rows.select("id", body.alias("body")), "body", documents.SUMMARY), ["id"])
+    return rounded(out.select("id", "n_providers", "provider", "spread", "over_under", "first_against_spread", "season_series"))
