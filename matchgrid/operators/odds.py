@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .. import config
+from . import moves
 
 GAME = ["game_date", "home_team_id", "away_team_id"]
 
@@ -76,38 +75,9 @@ def distinct_snapshots(odds: DataFrame) -> DataFrame:
     return odds.groupBy(*GAME, "source", "timestamp").agg(F.min_by(F.struct("id", "home_prob", "spread", "over_under"), F.col("id")).alias("r")).select(*GAME, "source", "timestamp", "r.*")
 
 
-def _close(a: float | None, b: float | None, tolerance: float) -> bool:
-    return abs(a - b) <= tolerance if a is not None and b is not None else a is b
-
-
 def moved_snapshots(odds: DataFrame) -> DataFrame:
-    """Snapshots that aren't repeats of the last one kept of the same game and source.
-
-    A repeat comes within DEDUP_HOURS of it and has all three lines within the
-    tolerances. As each decision depends on the one before, a game's snapshots
-    are one ordered stream of rows; a task keeps the last one only.
-    """
-    key = [*GAME, "source"]
-    rows = odds.select(*key, "timestamp", "id", "home_prob", "spread", "over_under").repartition(*key).sortWithinPartitions(*key, "timestamp", "id")
-    tolerances = (config.DEDUP_PROB, config.DEDUP_POINTS, config.DEDUP_POINTS)
-
-    def fold(batches):
-        of, last_at, last = None, 0, None
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(len(key))]
-            times = batch.column("timestamp").cast(pa.int64()).to_pylist()
-            values = [batch.column(c).to_pylist() for c in ("home_prob", "spread", "over_under")]
-            kept = []
-            for i in range(batch.num_rows):
-                own = tuple(c[i] for c in columns)
-                at, now = times[i], tuple(v[i] for v in values)
-                repeat = own == of and at - last_at <= config.DEDUP_HOURS * 3_600_000_000 and all(map(_close, last, now, tolerances))
-                if not repeat:
-                    of, last_at, last = own, at, now
-                kept.append(not repeat)
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return rows.mapInArrow(fold, rows.schema)
+    """Snapshots that aren't repeats of the last one kept of the same game and source (see moves.moved_snapshots)."""
+    return moves.moved_snapshots(odds, GAME)
 
 
 def match_games(slate: DataFrame, odds: DataFrame) -> DataFrame:
