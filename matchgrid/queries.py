@@ -242,18 +242,36 @@ def _players(spark, sf):
     return view(spark, sf, "historical_injuries").selectExpr("team_id", "player_name", "cast(1 + player_id % 12 as int) as depth_chart_rank", "case when team_id % 2 = 0 then cast(player_id % 36 as double) else 0e0 end as minutes_per_game", "cast(player_id % 25 as double) as points_per_game", "cast(player_id % 8 as double) as assists_per_game", "cast(player_id % 10 as double) as rebounds_per_game", "player_id")
 
 
-@query(
-    f"{ctes('historical_injuries')}, p as (select team_id, lower(player_name) as name, 1 + player_id % 12 as depth, case when team_id % 2 = 0 then cast(player_id % 36 as double) else 0e0 end as mpg, "
+_IMPACT = (
+    "p as (select team_id, lower(player_name) as name, 1 + player_id % 12 as depth, case when team_id % 2 = 0 then cast(player_id % 36 as double) else 0e0 end as mpg, "
     "cast(player_id % 25 + player_id % 8 + player_id % 10 as double) as talent from historical_injuries), "
     "m as (select *, case when sum(mpg) over (partition by team_id) > 0 then mpg when depth <= 5 then 30 when depth <= 10 then 15 else 5 end as mins from p), "
-    f"h as (select team_id, lower(player_name) as name, max({_MISS}) as miss from historical_injuries group by 1, 2) "
-    f"select m.team_id, {r('sum(mins * coalesce(miss, 0)) / sum(mins)', 'missing_pct')}, coalesce(bool_or(mins >= 30 and miss >= 0.5), false) as star_out, {r('sum(talent * (1 - coalesce(miss, 0)))', 'available_talent')} "
-    "from m left join h on m.team_id = h.team_id and m.name = h.name group by m.team_id"
+    f"h as (select team_id, lower(player_name) as name, max({_MISS}) as miss from historical_injuries group by 1, 2), "
+    "v as (select m.team_id, sum(mins * coalesce(miss, 0)) / sum(mins) as missing_pct, coalesce(bool_or(mins >= 30 and miss >= 0.5), false) as star_out, sum(talent * (1 - coalesce(miss, 0))) as available_talent "
+    "from m left join h on m.team_id = h.team_id and m.name = h.name group by m.team_id)"
 )
+
+
+@query(f"{ctes('historical_injuries')}, {_IMPACT} select team_id, {r('missing_pct', 'missing_pct')}, star_out, {r('available_talent', 'available_talent')} from v")
 def player_impact(spark, sf):
     return rounded(inj.roster_impact(_players(spark, sf), view(spark, sf, "historical_injuries")))
 
 
+_BOTH = "coalesce(h.{0}, 0e0) - coalesce(a.{0}, 0e0)"
+
+
+@query(
+    f"{ctes('games', 'historical_injuries')}, {_IMPACT}, w as (select * from v where team_id <> 7) select id, {r('coalesce(h.missing_pct, 0)', 'home_missing_minutes_pct')}, {r('coalesce(a.missing_pct, 0)', 'away_missing_minutes_pct')}, "
+    f"{r('coalesce(cast(h.star_out as int), 0)', 'home_star_out')}, {r('coalesce(cast(a.star_out as int), 0)', 'away_star_out')}, {r(_BOTH.format('missing_pct'), 'diff_missing_minutes_pct')}, {r(_BOTH.format('available_talent'), 'diff_available_talent')} "
+    "from games g left join w h on h.team_id = g.home_team_id left join w a on a.team_id = g.away_team_id"
+)
+def matchup_impact(spark, sf):
+    """What both teams of each game miss; one team has no players."""
+    impact = inj.roster_impact(_players(spark, sf).where("team_id <> 7"), view(spark, sf, "historical_injuries"))
+    names = [f"{s}_{c}" for c in ("missing_minutes_pct", "star_out") for s in ("home", "away")] + ["diff_missing_minutes_pct", "diff_available_talent"]
+    return rounded(inj.matchup_impact(view(spark, sf, "games").select("id", "home_team_id", "away_team_id"), impact).select("id", *names))
+
+
 PRED = ctes("predictions")
 _PRICE = "case when bet_side = 'AWAY' then 1 - market_home_prob else market_home_prob end"
 SETTLED = f"""{PRED}, s as (select *, case when bet_side = 'NO BET' then 0e0 when (bet_side = 'HOME') = home_won then bet_size * (1 / ({_PRICE}) - 1) else -bet_size end as profit,
