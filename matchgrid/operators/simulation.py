@@ -7,6 +7,8 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
@@ -27,8 +29,8 @@ def uniform(*parts: Column) -> Column:
     return mixed / F.lit(float(MODULUS))
 
 
-#: Bets up to which every task gets all of them (24 bytes each).
-BROADCAST_BETS = 2_000_000
+#: Bets up to which every worker reads all of them from the shared folder (8 bytes each, 24 where the market is right).
+BROADCAST_BETS = 64_000_000
 
 
 def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_bets: int | None = None) -> DataFrame:
@@ -39,8 +41,9 @@ def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_b
     a double can't hold it. bets has idx (0 to n - 1), model_prob, market_prob and won. Each step draws a
     bet with replacement; it is won as it was (``empirical``) or with the
     market's probability (``market_right``). Draws follow from (sim, step), so a
-    repeated task draws the same. Simulations are dealt out to tasks, which get
-    all bets where those are few (see BROADCAST_BETS); else draws meet bets in a
+    repeated task draws the same. Simulations are dealt out to tasks, whose workers
+    read all bets from the shared folder, column by column, where they may hold them
+    (see BROADCAST_BETS); none pass through the driver. Else draws meet bets in a
     join, and segments of a simulation's steps are ordered windows of their own,
     whose sums, tops and falls merge.
     """
@@ -48,7 +51,7 @@ def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_b
         raise ValueError(f"unknown mode {mode!r}")
     f = bet.kelly(F.col("model_prob"), F.col("market_prob"))
     logs = bets.select("idx", "market_prob", F.col("won").cast("boolean").alias("won"), F.ln(1 + f * (1 / F.col("market_prob") - 1)).alias("up"), F.ln(1 - f).alias("down"))
-    logs = written(logs, "bets")
+    logs = written(logs.withColumn("own", F.when(F.col("won"), F.col("up")).otherwise(F.col("down"))), "bets")
     n_source = logs.count()
     steps = n_source if n_bets is None else n_bets
     if not n_source or not steps:
@@ -62,30 +65,62 @@ PATHS = "sim long, log_growth double, final_bankroll double, max_drawdown double
 SEGMENT = 1 << 16
 
 
+#: Steps that a task draws at a time.
+DRAWS = 1 << 16
+#: The bets that a worker holds: those of the last simulation it took part in.
+_HELD: dict[tuple, list[np.ndarray]] = {}
+
+
+def _held(files: tuple[str, ...], names: tuple[str, ...], n: int) -> list[np.ndarray]:
+    """Columns of the bets in files by idx, read in pieces once in a worker."""
+    if (files, names) not in _HELD:
+        _HELD.clear()
+        out = [np.zeros(n) for _ in names]
+        for uri in files:
+            fs, path = FileSystem.from_uri(uri)
+            with fs.open_input_file(path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(1 << 17, columns=["idx", *names]):
+                    idx = batch.column("idx").to_numpy()
+                    for own, c in zip(out, names, strict=True):
+                        own[idx] = batch.column(c).to_numpy(zero_copy_only=False)
+        _HELD[files, names] = out
+    return _HELD[files, names]
+
+
+def _steps_from(first: int, steps: np.ndarray) -> np.ndarray:
+    """uniform() of draws whose state before mixing is first, and steps (states mixed) further on."""
+    x = steps + np.uint32(first * _MIX % MODULUS)
+    return np.minimum(x, x - np.uint32(MODULUS)) / float(MODULUS)  # a state that is too great less the modulus, others stay
+
+
+#: Three times FACTOR: uniform() is linear in its parts, so the states of later steps are sums.
+_MIX = pow(FACTOR, 3, MODULUS)
+
+
 def _paths_in_tasks(logs: DataFrame, n_source: int, n_sims: int, steps: int, mode: str) -> DataFrame:
     spark = logs.sparkSession
-    own = logs.toPandas().sort_values("idx")  # at most BROADCAST_BETS rows
-    shared = spark.sparkContext.broadcast(tuple(own[c].to_numpy() for c in ("market_prob", "won", "up", "down")))
-
-    def uniform_of(*parts):
-        x = sum(p * k for p, k in zip(parts, (7919, 104729, 1299709), strict=False)) + 12345
-        x = x % MODULUS
-        for _ in range(3):
-            x = x * FACTOR % MODULUS
-        return x / float(MODULUS)
+    names = ("own",) if mode == "empirical" else ("market_prob", "up", "down")
+    files = tuple(sorted(logs.inputFiles()))
+    size = min(DRAWS, steps)
 
     def work(batches):
-        price, won, up, down = shared.value
+        bets = _held(files, names, n_source)
+        along, across = ((np.arange(size) * (k * _MIX % MODULUS) % MODULUS).astype(np.uint32) for k in (104729, 7919))
         for batch in batches:
             out = []
             for sim in batch.column(0).to_pylist():
                 value, peak, fall = 0.0, 0.0, 0.0  # fall: the largest, as a logarithm
-                for lo in range(0, steps, 1 << 20):
-                    step = np.arange(lo, min(steps, lo + (1 << 20)), dtype=np.int64)
-                    idx = np.floor(uniform_of(np.int64(sim), step) * n_source).astype(np.int64)
-                    win = won[idx].astype(bool) if mode == "empirical" else uniform_of(step, np.int64(sim), np.int64(7)) < price[idx]
-                    path = np.cumsum(np.concatenate([[value], np.where(win, up[idx], down[idx])]))[1:]
-                    peaks = np.maximum.accumulate(np.concatenate([[peak], path]))[1:]
+                for lo in range(0, steps, size):
+                    n = min(size, steps - lo)
+                    idx = (_steps_from(sim * 7919 + lo * 104729 + 12345, along[:n]) * n_source).astype(np.int64)
+                    if mode == "empirical":
+                        path = bets[0].take(idx)
+                    else:
+                        win = _steps_from(lo * 7919 + sim * 104729 + 7 * 1299709 + 12345, across[:n]) < bets[0].take(idx)
+                        path = np.where(win, bets[1].take(idx), bets[2].take(idx))
+                    path[0] += value
+                    np.cumsum(path, out=path)
+                    peaks = np.maximum(np.maximum.accumulate(path), peak)
                     value, peak, fall = path[-1], peaks[-1], max(fall, float((peaks - path).max()))
                 with np.errstate(over="ignore"):
                     out.append((sim, float(value), config.BANKROLL * float(np.exp(value)), -float(np.expm1(-fall)), steps))
