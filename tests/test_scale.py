@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 
-from matchgrid.operators import simulation as sim
+from matchgrid.operators import injuries as inj, simulation as sim
 
 
 def test_simulations_take_no_bets_through_the_driver(spark, monkeypatch):
@@ -18,3 +18,20 @@ def test_simulations_take_no_bets_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(sim, "DRAWS", 64)  # steps in pieces, the last one short
     for mode, expected in whole.items():
         assert sorted(map(tuple, sim.bankroll_paths(bets, 3, mode).collect())) == expected
+
+
+def test_lineups_meet_players_by_parts_of_names(spark):
+    names = ["jo", "Ann Lee", "lee", "", "Al", "ALBERT", "Bo-1", "bo-10", "Zoë", "zo", "Max", None]
+    reports = spark.createDataFrame([(n, t, s, r) for n in names for t in ("aa", "BB", "CC", "DD", None) for s, r in (("GTD", 8.0), ("Out", 9.0), ("GTD", 3.0), (None, 7.0))], "player_name string, team_abbr string, status string, impact_rating double")
+    starters = spark.createDataFrame([("AA", ["Ann Lee", "Alb", "BO-1", "zoë x"]), ("BB", []), ("CC", ["Max", None])], "team_abbr string, names array<string>")
+
+    def plain(name, team, status, rating):
+        lineup = dict(AA=["ann lee", "alb", "bo-1", "zoë x"], BB=[], CC=["max", None]).get((team or "").upper())
+        if not lineup or None in lineup or name is None or status in ("Out", None) or rating < 7:
+            return (name, team, status, rating)
+        listed = any(name.lower() in x or x in name.lower() for x in lineup)
+        return (name, team, status, rating) if listed else (name, team, "Out", 10.0)
+
+    out = inj.lineup_bumps(reports, starters)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted((plain(*r) for r in reports.collect()), key=key)
