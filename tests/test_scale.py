@@ -1,8 +1,10 @@
 """Steps that have to stay bounded as tables grow."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 
-from matchgrid.operators import injuries as inj, simulation as sim
+from matchgrid.operators import injuries as inj, ratings, simulation as sim
 
 
 def test_simulations_take_no_bets_through_the_driver(spark, monkeypatch):
@@ -35,3 +37,25 @@ def test_lineups_meet_players_by_parts_of_names(spark):
     out = inj.lineup_bumps(reports, starters)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, out.collect()), key=key) == sorted((plain(*r) for r in reports.collect()), key=key)
+
+
+def test_leagues_are_folded_from_sorted_files(spark):
+    rows = [(i, dt.date(2000, 1, 1) + dt.timedelta(i * 7 % 900), 2000 + i * 7 % 900 // 365, i % 5, (i + 1 + i // 5 % 4) % 5, 90 + i * 31 % 40, 91 + i * 17 % 37, [None, "a", "b", "c", "d", "e", "f"][i % 7]) for i in range(700)]
+    games = spark.createDataFrame(rows, "id long, date date, season int, home_team_id long, away_team_id long, home_score int, away_score int, lg string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a league is in several files, a file has several leagues
+    try:
+        out = ratings.elo_history(games, "lg")
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = []
+    for lg in {r[7] for r in rows}:
+        fold = ratings.Ratings()
+        for i, day, season, h, a, x, y, _ in sorted((r for r in rows if r[7] == lg), key=lambda r: (r[1], r[0])):
+            for team, (b, e) in zip((h, a), fold.play(season, h, a, x, y)):
+                expected.append((i, team, day, b[0], e[0], b[1], e[1], b[2], e[2]))
+    assert got == sorted(expected)
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()  # no task orders a league
+    board = {r["team_id"]: r["elo"] for r in ratings.leaderboard(out).collect()}
+    last = {t: max((r for r in expected if r[1] == t), key=lambda r: (r[2], r[0])) for t in range(5)}
+    assert board == {t: r[4] for t, r in last.items()}
