@@ -41,13 +41,17 @@ FEATURE_LABELS = {
 NOT_GAMES = ["champion", "mvp", "rookie", "playoffs", "division", "record", "season", "draft", "will ", "retire", "over or under"]
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), with x computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def nickname_abbreviation(name: Column) -> Column:
     """The abbreviation of a name: an exact nickname, else the first nickname in it, else null."""
-    own = F.lower(F.btrim(name))
     table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(a).alias("a")) for n, a in NICKNAMES))
-    exact = F.get(F.filter(table, lambda x: x["n"] == own), F.lit(0))["a"]
-    inside = F.get(F.filter(table, lambda x: F.contains(own, x["n"])), F.lit(0))["a"]
-    return F.coalesce(exact, inside)
+    exact = lambda own: F.get(F.filter(table, lambda x: x["n"] == own), F.lit(0))["a"]
+    inside = lambda own: F.get(F.filter(table, lambda x: F.contains(own, x["n"])), F.lit(0))["a"]
+    return bound(F.lower(F.btrim(name)), lambda own: F.coalesce(exact(own), inside(own)))
 
 
 def nickname_among(text: Column, *teams: Column) -> Column:

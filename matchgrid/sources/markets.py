@@ -17,15 +17,22 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(market: Column, title: Column, first: Column, second: Column) -> Column:
     """What a market says: struct(first, second: prices where it is about the whole game; yes, asked: the price of Yes and the team it is about)."""
-    names, prices = text.json_list(market["outcomes"]), text.json_list(market["outcomePrices"])
-    usable = ~F.coalesce(market["closed"], F.lit(False)) & (F.size(names) == 2) & (F.size(prices) > 0)
-    row = F.when(usable, F.struct(F.lower(market["question"]).alias("q"), names.alias("n"), F.transform(prices, lambda p: p.try_cast("double")).alias("p")))
-    teams = F.transform(row["n"], text.nickname_abbreviation)
-    # Of two outcomes that are the same team the last counts.
-    of = lambda t: F.when(row["q"] == F.lower(title), F.get(F.filter(F.reverse(F.arrays_zip(teams.alias("t"), row["p"].alias("p"))), lambda x: (x["t"] == t) & x["p"].isNotNull()), F.lit(0))["p"])
-    place = F.array_position(F.transform(row["n"], F.lower), F.lit("yes"))
-    yes = F.when(place > 0, F.get(row["p"], place.cast("int") - 1))
-    return F.struct(of(first).alias("first"), of(second).alias("second"), yes.alias("yes"), F.when(yes.isNotNull(), text.nickname_among(row["q"], first, second)).alias("asked"))
+    open_ = ~F.coalesce(market["closed"], F.lit(False))
+
+    def row(own: Column) -> Column:
+        asked = F.lower(market["question"])
+        teams = F.when(asked == F.lower(title), F.transform(own["n"], text.nickname_abbreviation))
+        return F.when((F.size(own["n"]) == 2) & (F.size(own["p"]) > 0), F.struct(asked.alias("q"), own["n"].alias("n"), F.transform(own["p"], lambda p: p.try_cast("double")).alias("p"), teams.alias("t")))
+
+    def said(own: Column) -> Column:
+        # Of two outcomes that are the same team the last counts.
+        of = lambda t: F.when(own["t"].isNotNull(), F.get(F.filter(F.reverse(F.arrays_zip(own["t"].alias("t"), own["p"].alias("p"))), lambda x: (x["t"] == t) & x["p"].isNotNull()), F.lit(0))["p"])
+        place = F.array_position(F.transform(own["n"], F.lower), F.lit("yes"))
+        yes = F.when(place > 0, F.get(own["p"], place.cast("int") - 1))
+        return text.bound(yes, lambda y: F.struct(of(first).alias("first"), of(second).alias("second"), y.alias("yes"), F.when(y.isNotNull(), text.nickname_among(own["q"], first, second)).alias("asked")))
+
+    lists = F.when(open_, F.struct(text.json_list(market["outcomes"]).alias("n"), text.json_list(market["outcomePrices"]).alias("p")))
+    return text.bound(text.bound(lists, row), said)
 
 
 def _step(state: Column, m: Column, first: Column, second: Column) -> Column:
@@ -45,7 +52,8 @@ def event_prices(events: DataFrame) -> DataFrame:
     Events whose markets are all closed, and titles of other things, are left out.
     """
     once = lambda x: F.explode(F.array_compact(F.array(x)))  # nulls go; what follows uses the value, not the expression
-    own = events.where(text.is_game_title(F.col("title"))).withColumn("_t", once(text.title_teams(F.col("title"))))
+    own = events.repartition(2 * events.sparkSession.sparkContext.defaultParallelism)  # small to read, much to compute
+    own = own.where(text.is_game_title(F.col("title"))).withColumn("_t", once(text.title_teams(F.col("title"))))
     own = own.where((F.size("markets") > 0) & F.exists("markets", lambda m: ~F.coalesce(m["closed"], F.lit(False))))
     empty = F.struct(F.lit(None).cast("double").alias("p1"), F.lit(None).cast("double").alias("p2"), F.lit(False).alias("done"))
     own = own.withColumn("_m", once(F.transform("markets", lambda m: _read(m, F.col("title"), F.col("_t.first"), F.col("_t.second")))))

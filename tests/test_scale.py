@@ -59,3 +59,12 @@ def test_leagues_are_folded_from_sorted_files(spark):
     board = {r["team_id"]: r["elo"] for r in ratings.leaderboard(out).collect()}
     last = {t: max((r for r in expected if r[1] == t), key=lambda r: (r[2], r[0])) for t in range(5)}
     assert board == {t: r[4] for t, r in last.items()}
+
+
+def test_market_fields_are_read_once(spark):
+    from matchgrid.sources import markets
+
+    events = spark.createDataFrame([("Bulls vs. Heat", "x-2024-01-05", [("Bulls vs. Heat", '["Bulls","Heat"]', '["0.4","0.6"]', False)])], markets.EVENT)
+    out = markets.event_prices(events)
+    assert [tuple(r)[3:] for r in out.collect()] == [("CHI", "MIA", 0.4, 0.6)]
+    assert out._jdf.queryExecution().analyzed().toString().count("from_json") == 2  # outcomes and prices
