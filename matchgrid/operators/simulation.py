@@ -208,8 +208,8 @@ def _projected(f: np.ndarray, top: float, total: float) -> np.ndarray:
     return np.clip(f - hi, 0, top)
 
 
-#: Largest gap of an optimum; results drawn at once; steps after which a slate is given up.
-GAP, DRAWN, STEPS = 1e-7, 1 << 21, 5000
+#: Largest gap of an optimum; results drawn at once; steps after which a slate is given up; bytes of drawn results, a bit each, that are kept for the next step.
+GAP, DRAWN, STEPS, KEPT = 1e-7, 1 << 21, 5000, 64 << 20
 
 
 def _outcomes(p: np.ndarray, rho: float, draws: int, seed: int):
@@ -222,16 +222,25 @@ def _outcomes(p: np.ndarray, rho: float, draws: int, seed: int):
         yield np.sqrt(rho) * r.standard_normal((n, 1)) + np.sqrt(1 - rho) * r.standard_normal((n, len(p))) > edges
 
 
-def _growth(f: np.ndarray, p, b, rho, draws, seed) -> tuple[float, np.ndarray]:
+def _drawn(p: np.ndarray, rho: float, draws: int, seed: int):
+    """A function that gives the pieces of _outcomes: kept as bits, where they take KEPT bytes at most, else drawn again."""
+    if len(p) * draws > 8 * KEPT:
+        return lambda: _outcomes(p, rho, draws, seed)
+    kept = [np.packbits(won, axis=1) for won in _outcomes(p, rho, draws, seed)]
+    return lambda: (np.unpackbits(bits, axis=1, count=len(p)).view(bool) for bits in kept)
+
+
+def _growth(f: np.ndarray, b, draws: int, drawn) -> tuple[float, np.ndarray]:
     """Mean log growth over the draws, and its gradient; minus infinity where a draw loses all."""
     value, grad = 0.0, np.zeros(len(f))
-    for won in _outcomes(p, rho, draws, seed):
+    for won in drawn():
         gains = np.where(won, b, -1.0)
         money = 1 + gains @ f
         if money.min() <= 0:
             return -np.inf, grad
         value += np.log(money).sum()
-        grad += (gains / money[:, None]).sum(0)
+        gains /= money[:, None]
+        grad += gains.sum(0)
     return value / draws, grad / draws
 
 
@@ -251,7 +260,8 @@ def optimum(probs: np.ndarray, prices: np.ndarray, rho: float = config.PORTFOLIO
 
     Projected gradient steps, each of a length that is sure to improve, until
     the gap shows that no allowed stakes are better by more than GAP. Draws are
-    made in pieces, so a slate of any size needs memory for its stakes and one piece.
+    made in pieces, once for all steps where their bits are few (see KEPT), so a slate of
+    any size needs memory for its stakes, one piece and KEPT bytes.
     """
     out = np.zeros(len(probs))
     good = np.flatnonzero((prices > 0) & (prices < 1) & (probs > prices))
@@ -259,17 +269,18 @@ def optimum(probs: np.ndarray, prices: np.ndarray, rho: float = config.PORTFOLIO
         return out, 0.0, 0.0
     p, b = probs[good], 1 / prices[good] - 1
     f = _projected((p * (b + 1) - 1) / b, top, total)
-    value, grad = _growth(f, p, b, rho, draws, seed)
+    drawn = _drawn(p, rho, draws, seed)
+    value, grad = _growth(f, b, draws, drawn)
     if not np.isfinite(value):
         f = f * 0.0
-        value, grad = _growth(f, p, b, rho, draws, seed)
+        value, grad = _growth(f, b, draws, drawn)
     length = 0.02
     for _ in range(STEPS):
         if gap_of(grad, f, top, total) <= GAP:
             break
         while True:
             g = _projected(f + length * grad, top, total)
-            better, slope = _growth(g, p, b, rho, draws, seed)
+            better, slope = _growth(g, b, draws, drawn)
             if better >= value + grad @ (g - f) - ((g - f) ** 2).sum() / (2 * length) - 1e-15 or length < 1e-12:
                 break
             length /= 2

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from matchgrid.operators import injuries as inj, ratings, simulation as sim
@@ -68,3 +69,14 @@ def test_market_fields_are_read_once(spark):
     out = markets.event_prices(events)
     assert [tuple(r)[3:] for r in out.collect()] == [("CHI", "MIA", 0.4, 0.6)]
     assert out._jdf.queryExecution().analyzed().toString().count("from_json") == 2  # outcomes and prices
+
+
+def test_results_of_a_slate_are_drawn_once(monkeypatch):
+    p, m = np.linspace(0.4, 0.7, 25), np.linspace(0.35, 0.6, 25)
+    drawn, outcomes = [], sim._outcomes
+    monkeypatch.setattr(sim, "_outcomes", lambda *args: drawn.append(1) or outcomes(*args))
+    f, growth, gap = sim.optimum(p, m)
+    assert len(drawn) == 1 and gap <= sim.GAP
+    monkeypatch.setattr(sim, "KEPT", 0)  # drawn again for each step
+    again = sim.optimum(p, m)
+    assert len(drawn) > 3 and (again[0] == f).all() and again[1:] == (growth, gap)
