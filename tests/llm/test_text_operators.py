@@ -210,3 +210,43 @@ def test_line_dedup_finds_what_edit_similarity_finds(spark):
     out = line_dedup.without_repeated_lines(table(spark, list(enumerate(lines)))).where("n_dropped > 0")
     gone = {row["doc_id"] for row in out.collect()}
     assert gone <= again and len(gone) >= 0.98 * len(again) > 30
+
+
+def test_line_marks_never_refuse_similar_lines():
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    words = ["a", "of", "die", "über", "слово", "漢字", "0000", "internationalisation", "word", "lines", "x", "été"]
+    pairs = []
+    for _ in range(3000):
+        x = " ".join(r.choices(words, k=r.choice((1, 2, 3, 5, 9, 30, 120))))
+        y = list(x)
+        for _ in range(r.randrange(1 + len(x) // 4)):
+            k = r.randrange(len(y) + 1)
+            y[k : k + r.randrange(2)] = r.choice("ab é漢")
+        if y := " ".join("".join(y).split()):
+            pairs.append((x, y))
+    x, y = (line_dedup.marks(list(side)) for side in zip(*pairs))
+    assert x[0].tolist() == [len(a) for a, _ in pairs] and x[1].tolist() == [len(set(a.split(" "))) for a, _ in pairs]
+    may = line_dedup.may_be_similar(x, y, 80)
+    close = np.array([line_dedup.similar(a, b, 80) for a, b in pairs])
+    assert close.sum() > 500 and may[close].all() and not may.all()
+
+
+def test_line_dedup_compares_all_lines_of_a_block(spark, monkeypatch):
+    """Lines that share one part with many others, and with their own copy nothing else."""
+    import random
+
+    r = random.Random(11)
+    make = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = []
+    for i in range(70):
+        a, b, c, d, e = (make() for _ in range(5))
+        rows.append((i, f"{a} {b} see our annual report {c} {d} {e}"))
+        rows.append((1000 + (i * 37) % 70, f"{a} {b[:3]}{b[4:]} see our annual report {c[:5]}{c[6:]} {d} {e}"))
+    for tile in (2048, 16):
+        monkeypatch.setattr(line_dedup, "TILE", tile)
+        out = line_dedup.without_repeated_lines(table(spark, rows)).where("n_dropped > 0").collect()
+        assert sorted(x["doc_id"] for x in out) == list(range(1000, 1070))
