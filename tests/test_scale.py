@@ -80,3 +80,15 @@ def test_results_of_a_slate_are_drawn_once(monkeypatch):
     monkeypatch.setattr(sim, "KEPT", 0)  # drawn again for each step
     again = sim.optimum(p, m)
     assert len(drawn) > 3 and (again[0] == f).all() and again[1:] == (growth, gap)
+
+
+def test_form_of_last_games_orders_last_days_only(spark):
+    from matchgrid.operators import windows as wn
+
+    rows = [(t, i, dt.date(2000, 1, 1) + dt.timedelta(i * 7 % 40), float(i * t % 11)) for t in (1, 2, 3) for i in range(9 if t == 3 else 200)]
+    rows += [(2, 500 + i, None, 1.0) for i in range(3)]
+    stats = spark.createDataFrame(rows, "team_id long, game_id long, date date, plus_minus double").repartition(3)
+    whole = wn.latest_rows(wn.with_rolling(stats, ["plus_minus"]))
+    last = wn.last_rows(stats, 21)
+    assert last.groupBy("team_id").count().orderBy("team_id").collect() == [(1, 21), (2, 21), (3, 9)]
+    assert wn.latest_rows(wn.with_rolling(last, ["plus_minus"])).orderBy("team_id").collect() == whole.orderBy("team_id").collect()
