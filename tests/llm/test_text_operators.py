@@ -250,3 +250,25 @@ def test_line_dedup_compares_all_lines_of_a_block(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "TILE", tile)
         out = line_dedup.without_repeated_lines(table(spark, rows)).where("n_dropped > 0").collect()
         assert sorted(x["doc_id"] for x in out) == list(range(1000, 1070))
+
+
+def test_line_dedup_makes_no_more_links_than_lines(spark):
+    """Of lines that are all alike, a task links each once, and of those that aren't, none; edits counted side by side refuse no similar pair."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    base = [word() for _ in range(9)]
+    alike = [" ".join([*base[:k % 9], word()[:6], *base[k % 9 + 1 :]]) for k in range(150)]
+    apart = [" ".join([*base[:4], *(word() for _ in range(4))]) for _ in range(150)]
+    lines = alike + apart
+    rows = [([(7, 1), (9, 1)], i, i, *map(int, m.view(np.int64)), t) for i, (t, m) in enumerate(zip(lines, line_dedup.marks(lines).T, strict=True))]
+    members = spark.createDataFrame(rows, "blocks array<struct<block: long, parts: long>>, nid long, root long, " + ", ".join(f"{m} long" for m in line_dedup.MARKS) + ", own string")
+    links = line_dedup._linked(members, 80).collect()
+    assert len(links) == 149 and {x for p in links for x in p} == set(range(150))
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(0, 300, 3), np.arange(1, 300, 3)))
+    most = np.array([max(len(lines[i]), len(lines[j])) // 5 for i, j in zip(a, b, strict=True)])
+    exact = [line_dedup.edit_distance(lines[i], lines[j]) <= m for i, j, m in zip(a, b, most, strict=True)]
+    assert line_dedup.few_edits(lines, a, b, most).tolist() == exact and 0 < sum(exact) < len(exact)
