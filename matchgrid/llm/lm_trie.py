@@ -29,9 +29,9 @@ from .elias_fano import EliasFano
 #: Absolute discount of successor counts.
 DISCOUNT = 0.75
 #: Bytes of text, and keys, that a task holds at a time.
-CHUNK, HELD = 4 << 20, 3_000_000
+CHUNK, HELD = 2 << 20, 2_000_000
 #: Occurrences for which a shard of levels 2 and 3 is planned; a context with more is split over several.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: Bytes of text for which a shard of level 1 is planned.
 WORDS_SHARD = 256 << 20
 #: Files that a worker keeps mapped.
@@ -174,10 +174,20 @@ def _gathered(texts: DataFrame, turn, cut) -> DataFrame:
 
 
 def _merged(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a shard, from all its rows."""
-    keys = [np.cumsum(_unpacked(k, "<u8"), dtype=np.uint64) for k in rows["keys"]]
-    counts = [_unpacked(c, "<u4").astype(np.int64) for c in rows["counts"]]
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+    """Keys and counts of a shard, from all its rows; rows are unpacked one by one into their place."""
+    parts = list(zip(rows["keys"], rows["counts"], strict=True))
+    ends = np.cumsum([zstandard.frame_content_size(k) // 8 for k, _ in parts])
+    keys, counts, lo = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32), 0
+    for (k, c), hi in zip(parts, ends.tolist(), strict=True):
+        np.cumsum(_unpacked(k, "<u8"), dtype=np.uint64, out=keys[lo:hi])
+        counts[lo:hi] = _unpacked(c, "<u4")
+        lo = hi
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    counts = counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 # The model ------------------------------------------------------------------

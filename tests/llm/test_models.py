@@ -169,6 +169,29 @@ def test_lm_split_shards(spark, texts):
     assert (abs(a["score"] - b["score"]) <= 0.04 * a["n_tokens"]).all() and (a["base_score"] == b["base_score"]).all()
 
 
+def test_lm_merges_a_shard_in_little_memory():
+    """Keys and counts of a shard's rows, with at most 48 bytes for each key that comes in."""
+    import tracemalloc
+
+    import numpy as np
+
+    from matchgrid.llm import lm_trie
+
+    r, rows, seen = np.random.default_rng(1), {"keys": [], "counts": []}, []
+    for _ in range(20):
+        keys = np.unique(r.integers(0, 1 << 22, 50_000, dtype=np.uint64))
+        rows["keys"].append(lm_trie._packed(np.diff(keys, prepend=np.uint64(0))))
+        rows["counts"].append(lm_trie._packed(np.full(len(keys), 3, np.uint32)))
+        seen.append(keys)
+    tracemalloc.start()
+    keys, counts = lm_trie._merged(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own, n = np.unique(np.concatenate(seen), return_counts=True)
+    assert (keys == own).all() and (counts == 3 * n).all()
+    assert peak <= 48 * sum(map(len, seen))
+
+
 def test_lm_probabilities_sum_to_one(spark, texts):
     """After a word, and after a pair, over all known words, the end and one unknown."""
     model = lm_trie.build(table(spark, texts).select(F.coalesce("text", F.lit(""))))
