@@ -9,22 +9,48 @@ _POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _PLACE = np.array([[next((i for i in range(8) if b >> i & 1 and bin(b & ((1 << i) - 1)).count("1") == r), 8) for r in range(8)] for b in range(256)], np.uint8)
 
 
+#: Every byte of a word as 1, its highest bits, and masks that add up bits.
+_ONES, _HIGH, _TWOS, _FOURS, _EIGHTS = (np.uint64(int(x * 8, 16)) for x in ("01", "80", "55", "33", "0F"))
+#: Words between those among which zeros are looked up first, where few are asked for.
+_STRIDE = 64
+
+
+def _inside(words: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Place of the rest-th (from 0) one in each word: bits are added up by bytes, side by side in the word."""
+    u = np.uint64
+    sums = words - (words >> u(1) & _TWOS)
+    sums = (sums & _FOURS) + (sums >> u(2) & _FOURS)
+    sums = (sums + (sums >> u(4)) & _EIGHTS) * _ONES  # byte i: ones up to it
+    rest = rest.astype(u)
+    shift = (((rest * _ONES | _HIGH) - sums & _HIGH) >> u(7)) * _ONES >> u(56) << u(3)  # bytes whose ones are all passed by
+    inner = rest - (sums << u(8) >> shift & u(255))
+    return shift.astype(np.int64) + _PLACE[words >> shift & u(255), inner]
+
+
+def _zero_words(before: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The words with the k-th zeros. Zeros before word j are 64 * j - before[j]; few k are narrowed down, so that their cost doesn't follow the size of the vector."""
+    n = len(before)
+    if 16 * len(k) > n:
+        return np.searchsorted(64 * np.arange(n) - before.astype(np.int64), k, "right") - 1
+    some = np.arange(0, n, _STRIDE)
+    lo = (np.searchsorted(64 * some - before[::_STRIDE].astype(np.int64), k, "right") - 1) * _STRIDE
+    step = _STRIDE // 2
+    while step:
+        at = np.minimum(lo + step, n - 1)
+        lo = np.where((lo + step < n) & (64 * at - before[at].astype(np.int64) <= k), at, lo)
+        step //= 2
+    return lo
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
     """Place of the k-th (from 0) one or zero in a bit vector; before: ones before each word."""
     if ones:
         j = np.searchsorted(before, k, "right") - 1
         rest = k - before[j]
     else:
-        # Zeros before word j are 64 * j - before[j].
-        j = np.searchsorted(64 * np.arange(len(words)) - before.astype(np.int64), k, "right") - 1
+        j = _zero_words(before, k)
         rest = k - (64 * j - before[j].astype(np.int64))
-    own = words[j] if ones else ~words[j]
-    parts = np.ascontiguousarray(own).view(np.uint8).reshape(-1, 8)
-    sums = np.cumsum(_POP[parts], axis=1, dtype=np.int64)
-    byte = np.minimum((sums <= rest[:, None]).sum(1), 7)
-    row = np.arange(len(k))
-    inner = rest - np.where(byte > 0, sums[row, byte - 1], 0)
-    return 64 * j.astype(np.int64) + 8 * byte + _PLACE[parts[row, byte], inner]
+    return 64 * j.astype(np.int64) + _inside(words[j] if ones else ~words[j], rest)
 
 
 class EliasFano:
@@ -83,7 +109,7 @@ class EliasFano:
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         top = (x >> np.uint64(self.width)).astype(np.int64)
-        a, b = self._starts(top), self._starts(top + 1)
+        a, b = np.split(self._starts(np.concatenate([top, top + 1])), 2)
         if lo is not None:
             a, b = np.maximum(a, lo), np.minimum(b, hi)
         end, want = b.copy(), x & np.uint64((1 << self.width) - 1)

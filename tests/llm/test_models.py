@@ -359,3 +359,22 @@ def test_secrets_of_long_texts_and_repeated_rows(spark):
     assert len(out) == 5 and sorted(r["n_secrets"] for r in out) == [0, 1, 1, 1, 500]
     long = next(r for r in out if r["doc_id"] == 4)["secrets"].split(",")
     assert long == [f"{1 + 9 + k * len(one)}:{1 + 49 + k * len(one)}" for k in range(500)]
+
+
+def test_few_keys_cost_no_pass_over_a_sequence():
+    import tracemalloc
+
+    from matchgrid.llm.elias_fano import EliasFano
+
+    rng = np.random.default_rng(5)
+    values = np.unique(rng.integers(0, 1 << 40, 500_000).astype(np.uint64))
+    s = EliasFano.build(values, 1 << 40)
+    keys = np.sort(np.concatenate([values[::20_000], rng.integers(0, 1 << 40, 25).astype(np.uint64), values[[0, -1]]]))
+    at = np.searchsorted(values, keys)
+    wanted = np.where(values[np.minimum(at, len(values) - 1)] == keys, at, -1)
+    tracemalloc.start()
+    got = s.find(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == wanted).all() and (s.get(np.arange(len(values))) == values).all()
+    assert peak < 8 * len(s.high) / 2
