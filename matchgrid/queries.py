@@ -734,8 +734,9 @@ w as (select game_id, team_id, {", ".join(f"{roll('net', n, n // 2)} as net{n},
 @query(f"{_OPPONENT} select game_id, team_id, {', '.join(r(f'net{n} / least(greatest(1 + (opp{n} - 1500) / 500, 0.5e0), 1.5e0)', f'adj_net_rtg_roll_{n}') + ', ' + r(f'opp{n}', f'opp_elo_roll_{n}') for n in config.WINDOWS)} from w")
 def sos_adjusted_rating(spark, sf):
     history = _history(spark, sf)
-    rows = ratings.with_opponent_elo(wn.with_derived(view(spark, sf, "game_stats")), history)
-    rows = wn.with_adjusted(wn.with_rolling(rows, ["net_rtg_game", "opp_elo"]))
+    # Places come before ratings, which are then joined once.
+    rows = wn.ranged(ratings.with_opponent_elo(wn.with_derived(wn.placed(view(spark, sf, "game_stats"))), history))
+    rows = wn.unranged(wn.with_adjusted(wn.with_rolling(rows, ["net_rtg_game", "opp_elo"])))
     return rounded(rows.select("game_id", "team_id", *(f"adj_net_rtg_roll_{n}" for n in config.WINDOWS), *(f"opp_elo_roll_{n}" for n in config.WINDOWS)))
 
 

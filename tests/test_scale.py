@@ -92,3 +92,10 @@ def test_form_of_last_games_orders_last_days_only(spark):
     last = wn.last_rows(stats, 21)
     assert last.groupBy("team_id").count().orderBy("team_id").collect() == [(1, 21), (2, 21), (3, 9)]
     assert wn.latest_rows(wn.with_rolling(last, ["plus_minus"])).orderBy("team_id").collect() == whole.orderBy("team_id").collect()
+
+
+def test_adjusted_ratings_join_opponents_once(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["sos_adjusted_rating"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
