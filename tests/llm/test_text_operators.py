@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from matchgrid.llm import decontaminate, line_dedup, near_dup, quality_rules
+from matchgrid.llm import decontaminate, graph, line_dedup, near_dup, quality_rules
 
 from . import brute
 
@@ -148,6 +148,13 @@ def test_line_dedup(spark, docs):
     assert line_dedup.without_repeated_lines(table(spark, [])).count() == 0
 
 
+def test_components_state_holds_millions_of_edges(spark):
+    """Sums of 44 bits of each edge's hash overflowed from about a million edges on."""
+    edges = spark.range(2_200_000).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
+    state = graph._state(edges)
+    assert state[0] == 2_200_000 and state == graph._state(edges.repartition(3)) != graph._state(edges.where("u <> 77"))
+
+
 def test_line_dedup_against_all_pairs(spark, docs):
     """Edit similarity of all pairs of lines, without blocks: no other line goes, and nearly all of those do."""
     import random
