@@ -259,6 +259,21 @@ def test_line_dedup_compares_all_lines_of_a_block(spark, monkeypatch):
         assert sorted(x["doc_id"] for x in out) == list(range(1000, 1070))
 
 
+def test_line_dedup_needs_no_words_the_same(spark):
+    """Lines of which most words differ by a letter are similar by their edits alone."""
+    import random
+
+    r = random.Random(17)
+    make = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+    rows = []
+    for i in range(40):
+        own = [make() for _ in range(8)]
+        rows += [(i, " ".join(own)), (1000 + i, " ".join([*own[:3], *(f"{w[:4]}0{w[5:]}" for w in own[3:])]))]
+    assert line_dedup.similar(rows[0][1], rows[1][1], 80)
+    out = line_dedup.without_repeated_lines(table(spark, rows)).where("n_dropped > 0").collect()
+    assert sorted(x["doc_id"] for x in out) == list(range(1000, 1040))
+
+
 def test_line_dedup_makes_no_more_links_than_lines(spark):
     """Of lines that are all alike, a task links each once, and of those that aren't, none; edits counted side by side refuse no similar pair."""
     import random
