@@ -29,7 +29,7 @@ def uniform(*parts: Column) -> Column:
     return mixed / F.lit(float(MODULUS))
 
 
-#: Bets up to which every worker reads all of them from the shared folder (8 bytes each, 24 where the market is right).
+#: Bets up to which every worker reads all of them from the shared folder (8 bytes each, 20 where the market is right).
 BROADCAST_BETS = 64_000_000
 
 
@@ -43,7 +43,7 @@ def bankroll_paths(bets: DataFrame, n_sims: int, mode: str = "market_right", n_b
     market's probability (``market_right``). Draws follow from (sim, step), so a
     repeated task draws the same. Simulations are dealt out to tasks, whose workers
     read all bets from the shared folder, column by column, where they may hold them
-    (see BROADCAST_BETS); none pass through the driver. Else draws meet bets in a
+    (see BROADCAST_BETS and _paths_in_tasks); none pass through the driver. Else draws meet bets in a
     join, and segments of a simulation's steps are ordered windows of their own,
     whose sums, tops and falls merge.
     """
@@ -65,32 +65,64 @@ PATHS = "sim long, log_growth double, final_bankroll double, max_drawdown double
 SEGMENT = 1 << 16
 
 
-#: Steps that a task draws at a time.
-DRAWS = 1 << 16
+#: Draws that a task works on at a time, and consecutive draws that it takes over for all simulations that have them; steps of a path that are added up side by side with others (both are multiples of them).
+DRAWS, PIECE, RUN = 1 << 16, 1 << 20, 16
 #: The bets that a worker holds: those of the last simulation it took part in.
 _HELD: dict[tuple, list[np.ndarray]] = {}
 
 
+def _limits(p: np.ndarray) -> np.ndarray:
+    """How many states uniform() gives less than p for: those below the number (none where p isn't known)."""
+    t = np.clip(np.ceil(np.nan_to_num(p) * MODULUS), 0, MODULUS)
+    t -= (t > 0) & ((t - 1) / MODULUS >= p)
+    t += (t < MODULUS) & (t / MODULUS < p)
+    return t.astype(np.uint32)
+
+
 def _held(files: tuple[str, ...], names: tuple[str, ...], n: int) -> list[np.ndarray]:
-    """Columns of the bets in files by idx, read in pieces once in a worker."""
+    """Columns of the bets in files by idx, read in pieces once in a worker; market_prob as _limits."""
     if (files, names) not in _HELD:
         _HELD.clear()
-        out = [np.zeros(n) for _ in names]
+        out = [np.zeros(n, np.uint32 if c == "market_prob" else float) for c in names]
         for uri in files:
             fs, path = FileSystem.from_uri(uri)
             with fs.open_input_file(path) as f:
                 for batch in pq.ParquetFile(f).iter_batches(1 << 17, columns=["idx", *names]):
                     idx = batch.column("idx").to_numpy()
                     for own, c in zip(out, names, strict=True):
-                        own[idx] = batch.column(c).to_numpy(zero_copy_only=False)
+                        x = batch.column(c).to_numpy(zero_copy_only=False)
+                        own[idx] = _limits(x) if c == "market_prob" else x
         _HELD[files, names] = out
     return _HELD[files, names]
 
 
-def _steps_from(first: int, steps: np.ndarray) -> np.ndarray:
-    """uniform() of draws whose state before mixing is first, and steps (states mixed) further on."""
-    x = steps + np.uint32(first * _MIX % MODULUS)
-    return np.minimum(x, x - np.uint32(MODULUS)) / float(MODULUS)  # a state that is too great less the modulus, others stay
+def _later(first: int, steps: np.ndarray) -> np.ndarray:
+    """States of uniform() that are steps (states) further on than a state."""
+    x = steps + np.uint32(first)
+    return np.minimum(x, x - np.uint32(MODULUS))  # a state that is too great less the modulus, others stay
+
+
+def _chosen(wins: np.ndarray, up: np.ndarray, down: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """up where wins, else down, by their bits (np.where takes several times as long); wins and wide are used up."""
+    bits = wins.view(np.int8)
+    np.copyto(wide, np.negative(bits, out=bits))
+    wide &= up.view(np.int64) ^ down.view(np.int64)
+    wide ^= down.view(np.int64)
+    return wide.view(float)
+
+
+def _runs(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of steps (a column each), from 0 on: the end, the top, the low and the largest fall."""
+    end, fall = steps[0].copy(), np.zeros(steps.shape[1])
+    top, low, gap = np.maximum(end, 0), np.minimum(end, 0), np.empty_like(end)
+    np.subtract(top, end, out=fall)
+    for row in steps[1:]:
+        end += row
+        np.maximum(top, end, out=top)
+        np.minimum(low, end, out=low)
+        np.subtract(top, end, out=gap)
+        np.maximum(fall, gap, out=fall)
+    return end, top, low, fall
 
 
 #: Three times FACTOR: uniform() is linear in its parts, so the states of later steps are sums.
@@ -98,37 +130,76 @@ _MIX = pow(FACTOR, 3, MODULUS)
 
 
 def _paths_in_tasks(logs: DataFrame, n_source: int, n_sims: int, steps: int, mode: str) -> DataFrame:
+    """Paths by pieces of the draws that simulations share.
+
+    Step k of a simulation draws the bet of state (k + start) * 104729 * _MIX, so all
+    simulations are spans of one sequence of bets, each from a start of its own. A
+    task takes pieces of that sequence: it looks up a piece's bets once, and goes
+    over them for each simulation whose span has them, with results of its own.
+    """
     spark = logs.sparkSession
     names = ("own",) if mode == "empirical" else ("market_prob", "up", "down")
     files = tuple(sorted(logs.inputFiles()))
-    size = min(DRAWS, steps)
+    # Constants are taken along, as tasks don't see what a driver has set.
+    size, piece_size, back = DRAWS, PIECE, pow(104729, -1, MODULUS)
+    starts = spark.range(n_sims).select(F.col("id").alias("sim"), ((F.col("id") * 7919 + 12345) % MODULUS * back % MODULUS).alias("start"))
+    spans = starts.select("sim", "start", F.explode(F.sequence(F.expr(f"start div {piece_size}"), F.expr(f"(start + {steps - 1}) div {piece_size}"))).alias("piece"))
+    pieces = spans.groupBy("piece").agg(F.collect_list(F.struct("sim", "start")).alias("spans")).repartition(8 * spark.sparkContext.defaultParallelism, "piece")
 
     def work(batches):
         bets = _held(files, names, n_source)
-        along, across = ((np.arange(size) * (k * _MIX % MODULUS) % MODULUS).astype(np.uint32) for k in (104729, 7919))
+        along, across = (np.ascontiguousarray((np.arange(size) * (k * _MIX % MODULUS) % MODULUS).astype(np.uint32).reshape(-1, RUN).T) for k in (104729, 7919))
+        wide = np.empty(along.shape, np.int64)
         for batch in batches:
-            out = []
-            for sim in batch.column(0).to_pylist():
-                value, peak, fall = 0.0, 0.0, 0.0  # fall: the largest, as a logarithm
-                for lo in range(0, steps, size):
-                    n = min(size, steps - lo)
-                    idx = (_steps_from(sim * 7919 + lo * 104729 + 12345, along[:n]) * n_source).astype(np.int64)
-                    if mode == "empirical":
-                        path = bets[0].take(idx)
-                    else:
-                        win = _steps_from(lo * 7919 + sim * 104729 + 7 * 1299709 + 12345, across[:n]) < bets[0].take(idx)
-                        path = np.where(win, bets[1].take(idx), bets[2].take(idx))
-                    path[0] += value
-                    np.cumsum(path, out=path)
-                    peaks = np.maximum(np.maximum.accumulate(path), peak)
-                    value, peak, fall = path[-1], peaks[-1], max(fall, float((peaks - path).max()))
-                with np.errstate(over="ignore"):
-                    out.append((sim, float(value), config.BANKROLL * float(np.exp(value)), -float(np.expm1(-fall)), steps))
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["sim", "log_growth", "final_bankroll", "max_drawdown", "n_bets"])
-
-    tasks = max(1, min(n_sims, 8 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, n_sims, 1, tasks).mapInArrow(work, PATHS)
+            for piece, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sims = [(x["sim"], x["start"]) for x in spans]
+                shift = [((s * 104729 + 7 * 1299709 + 12345 - 7919 * j) * _MIX) % MODULUS for s, j in sims]  # of the states that decide results
+                total, low, n = np.zeros(len(sims)), np.zeros(len(sims)), np.zeros(len(sims), np.int64)
+                top, fall = np.zeros(len(sims)), np.zeros(len(sims))  # falls are logarithms
+                first, end = piece * piece_size, (piece + 1) * piece_size
+                blocks = {k for _, j in sims for k in range((max(j, first) - first) // size, (min(j + steps, end) - 1 - first) // size + 1)}
+                for lo in (first + k * size for k in sorted(blocks)):
+                    own = [(i, max(j - lo, 0), min(j + steps - lo, size)) for i, (_, j) in enumerate(sims) if j < lo + size and j + steps > lo]
+                    idx = (_later(lo * 104729 * _MIX % MODULUS, along) / float(MODULUS) * n_source).astype(np.int64)
+                    held = [b.take(idx) for b in bets]
+                    after = _later(lo * 7919 * _MIX % MODULUS, across)
+                    for i, a, b in own:
+                        part = slice(a // RUN, -(-b // RUN))
+                        path = held[-1][:, part]
+                        if mode == "market_right":
+                            path = _chosen(_later(shift[i], after[:, part]) < held[0][:, part], held[1][:, part], path, wide[:, part])
+                        if a % RUN or b % RUN:  # a span that begins or ends within a run has no steps beyond
+                            path = path.copy()
+                            path[: a % RUN, 0] = 0
+                            path[(b - 1) % RUN + 1 :, -1] = 0
+                        ends, tops, lows, falls = _runs(path)
+                        ends[0] += total[i]
+                        np.cumsum(ends, out=ends)
+                        begins = np.append(total[i], ends[:-1])
+                        tops += begins
+                        lows += begins
+                        peaks = np.maximum.accumulate(np.append(top[i], tops))
+                        fall[i] = max(fall[i], falls.max(), (peaks[:-1] - lows).max())
+                        total[i], top[i], low[i], n[i] = ends[-1], peaks[-1], min(low[i], lows.min()), n[i] + b - a
+                columns = [np.array([s for s, _ in sims], np.int64), np.full(len(sims), piece), total, top, low, fall, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sim", "segment", "total", "top", "low", "fall", "n"])
+
+    parts = pieces.mapInArrow(work, "sim long, segment long, total double, top double, low double, fall double, n long")
+
+    def joined(x, p):
+        """A path, and the part that goes on from its end."""
+        fall = F.greatest(x["fall"], p["fall"], x["top"] - x["total"] - p["low"])
+        return F.struct((x["total"] + p["total"]).alias("total"), F.greatest(x["top"], x["total"] + p["top"]).alias("top"), fall.alias("fall"), (x["n"] + p["n"]).alias("n"))
+
+    every = F.array_sort(F.collect_list(F.struct("segment", "total", "top", "low", "fall", "n")))
+    none = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("top"), F.lit(0.0).alias("fall"), F.lit(0).cast("long").alias("n"))
+    out = parts.groupBy("sim").agg(every.alias("parts")).select("sim", F.aggregate("parts", none, joined).alias("x"))
+    return _as_paths(out.select("sim", F.col("x.total").alias("log_growth"), "x.fall", F.col("x.n").alias("n_bets")))
+
+
+def _as_paths(paths: DataFrame) -> DataFrame:
+    """PATHS of sim, log_growth, fall (the largest, as a logarithm) and n_bets."""
+    return paths.select("sim", "log_growth", (config.BANKROLL * F.exp("log_growth")).alias("final_bankroll"), (-F.expm1(-F.col("fall"))).alias("max_drawdown"), "n_bets")
 
 
 def _paths_by_windows(logs: DataFrame, n_source: int, n_sims: int, steps: int, mode: str) -> DataFrame:
@@ -145,8 +216,7 @@ def _paths_by_windows(logs: DataFrame, n_source: int, n_sims: int, steps: int, m
     parts = parts.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
     parts = parts.withColumn("peak", F.greatest(F.lit(0.0), F.max(F.col("start") + F.col("top")).over(before)))
     falls = F.greatest("fall", F.col("peak") - F.col("start") - F.col("low"))
-    out = parts.groupBy("sim").agg(F.sum("total").alias("log_growth"), F.max(falls).alias("fall"), F.sum("n").alias("n_bets"))
-    return out.select("sim", "log_growth", (config.BANKROLL * F.exp("log_growth")).alias("final_bankroll"), (-F.expm1(-F.col("fall"))).alias("max_drawdown"), "n_bets")
+    return _as_paths(parts.groupBy("sim").agg(F.sum("total").alias("log_growth"), F.max(falls).alias("fall"), F.sum("n").alias("n_bets")))
 
 
 def simulation_summary(paths: DataFrame) -> DataFrame:

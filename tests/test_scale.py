@@ -1,10 +1,12 @@
 """Steps that have to stay bounded as tables grow."""
 
 import datetime as dt
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from matchgrid.functions import betting as bet
 from matchgrid.operators import injuries as inj, ratings, simulation as sim
 
 
@@ -99,3 +101,34 @@ def test_adjusted_ratings_join_opponents_once(spark):
 
     plan = queries()["sos_adjusted_rating"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1
+
+
+def test_simulations_share_pieces_of_draws(spark, monkeypatch):
+    """Paths by pieces are those that go draw by draw, and bets are looked up once for all simulations that draw them."""
+    rows = [(i, 0.3 + i % 60 / 100, 0.35 + i % 31 / 100, i % 5 < 3) for i in range(700)]
+    bets = spark.createDataFrame(rows, "idx long, model_prob double, market_prob double, won boolean").repartition(3)
+    model, market, won = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    stake = np.array([r["f"] for r in bets.orderBy("idx").select(bet.kelly(F.col("model_prob"), F.col("market_prob")).alias("f")).collect()])
+    up, down = np.log1p(stake * (1 / market - 1)), np.log1p(-stake)
+    number = lambda x: x * pow(sim.FACTOR, 3, sim.MODULUS) % sim.MODULUS / float(sim.MODULUS)
+    step = np.arange(5000)
+    for piece in (1 << 20, 1 << 10):
+        monkeypatch.setattr(sim, "PIECE", piece)
+        monkeypatch.setattr(sim, "DRAWS", 256)
+        for mode in ("empirical", "market_right"):
+            got = {r["sim"]: r for r in sim.bankroll_paths(bets, 6, mode, len(step)).collect()}
+            for s in range(6):
+                i = (number((s * 7919 + step * 104729 + 12345) % sim.MODULUS) * 700).astype(int)
+                wins = won[i] if mode == "empirical" else number((step * 7919 + s * 104729 + 7 * 1299709 + 12345) % sim.MODULUS) < market[i]
+                path = np.cumsum(np.where(wins, up[i], down[i]))
+                fall = (np.maximum(np.maximum.accumulate(path), 0) - path).max()
+                assert math.isclose(got[s]["log_growth"], path[-1], abs_tol=1e-9) and math.isclose(got[s]["max_drawdown"], -math.expm1(-fall), abs_tol=1e-9) and got[s]["n_bets"] == 5000
+
+
+def test_market_limits_are_exact():
+    """A state wins against a probability as its number does, next to the limit too."""
+    p = np.concatenate([np.random.default_rng(4).random(2000), np.arange(0, 101) / 100, [np.nan, -1.0, 2.0]])
+    limit = sim._limits(p).astype(np.int64)
+    for off in (-2, -1, 0, 1):
+        x = np.clip(limit + off, 0, sim.MODULUS - 1)
+        assert ((x < limit) == (x / float(sim.MODULUS) < p)).all()
